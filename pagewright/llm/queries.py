@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.pii import pii_digest
 from pagewright.llm.secrets import secrets_digest
+from pagewright.llm.weak_quality import quality_digest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(_documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(_documents(spark, sf_dir))
 
@@ -21,7 +26,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    own = [op5_secret_scan, op10_personal_data]
+    own = [op4_weak_quality, op5_secret_scan, op10_personal_data]
     return {f.__name__: f for f in own}
 
 
