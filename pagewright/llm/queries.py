@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.near_dup import near_duplicates
+from pagewright.llm.packing import pack
 from pagewright.llm.pii import pii_digest
 from pagewright.llm.secrets import secrets_digest
 from pagewright.llm.weak_quality import quality_digest
@@ -26,12 +27,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_documents(spark, sf_dir))
 
 
 def llm_queries() -> dict:
-    own = [op4_weak_quality, op5_secret_scan, op8_near_duplicates, op10_personal_data]
+    own = [op4_weak_quality, op5_secret_scan, op8_near_duplicates, op9_packing, op10_personal_data]
     return {f.__name__: f for f in own}
 
 
