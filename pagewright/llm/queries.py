@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm.decontaminate import contamination
 from pagewright.llm.near_dup import near_duplicates
 from pagewright.llm.packing import pack
 from pagewright.llm.pii import pii_digest
@@ -15,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_documents(spark, sf_dir))
 
@@ -36,7 +41,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    own = [op4_weak_quality, op5_secret_scan, op8_near_duplicates, op9_packing, op10_personal_data]
+    own = [op1_decontamination, op4_weak_quality, op5_secret_scan, op8_near_duplicates, op9_packing, op10_personal_data]
     return {f.__name__: f for f in own}
 
 
