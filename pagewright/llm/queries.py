@@ -9,6 +9,7 @@ from pagewright.llm.near_dup import near_duplicates
 from pagewright.llm.packing import pack
 from pagewright.llm.pii import pii_digest
 from pagewright.llm.secrets import secrets_digest
+from pagewright.llm.substring_dedup import deduplicate
 from pagewright.llm.weak_quality import quality_digest
 
 
@@ -28,6 +29,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(_documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(_documents(spark, sf_dir)).drop("kept")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -41,7 +46,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    own = [op1_decontamination, op4_weak_quality, op5_secret_scan, op8_near_duplicates, op9_packing, op10_personal_data]
+    own = [op1_decontamination, op4_weak_quality, op5_secret_scan, op7_substring_dedup, op8_near_duplicates, op9_packing, op10_personal_data]
     return {f.__name__: f for f in own}
 
 
