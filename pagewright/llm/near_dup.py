@@ -7,9 +7,11 @@ Work and data movement:
 
 * identical texts meet first, on a hash of the text, with map-side combining, so a huge group of copies is one node;
 * signatures need no shuffle; bands move as (key, node) pairs, and only keys with two nodes or more go on;
-* in each bucket every node is compared with the bucket's lowest node only. Buckets that still hold several
-  classes after that have their pairs of *different* classes compared too, so no link between classes that share
-  a bucket is lost, while the pairs inside a class are never spelled out;
+* in each bucket every node is compared with the bucket's lowest node only. In buckets that still hold several
+  classes, nodes are dropped whose shingles are their own by more than a similarity of 0.8 allows (exact, from
+  counts of shingles), the rest is compared with the bucket's most typical node, and what is then left of pairs of
+  *different* classes is compared too. So no link between classes that share a bucket is lost, while the pairs
+  inside a class are never spelled out;
 * hot keys meet in joins of two plain exchanges, which adaptive execution splits.
 
 Signatures miss a pair of exactly 0.8 with chance (1 - 0.8**ROWS)**BANDS, about 6e-5, and closer pairs less.
@@ -171,6 +173,22 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def own_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, own: how many of its shingles (the second of a kind counted apart from the first) no other node has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, row, count = multisets(*shingles(Texts(part.column("text"))))
+                rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                each = mix(np.repeat(h, count) + rank.astype(U) * GOLD)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(row, count))), pa.array(each.view(np.int64))], ["node", "shingle"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_side(nodes), "node", "left_semi").dropDuplicates(["node"])
+    held = texts.mapInArrow(run, "node bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    return held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): lowest node of each connected component, for nodes with an edge; alternating star contraction."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
@@ -208,11 +226,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = saved(verified(tested, docs).union(aliases))
     root = saved(components(edges))
 
-    placed = saved(members.join(small_side(root), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
-    mixed = saved(placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 != r2 and n > 2").select("key"))
-    inner = saved(placed.join(small_side(mixed), "key", "left_semi"))
-    left, right = inner.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a")), inner.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    rest = saved(left.join(right, "key").where("a < b and root_a != root_b").where(close_sizes("size_a", "size_b")).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    def mixed(nodes_in: DataFrame, root: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several classes and three nodes or more."""
+        placed = saved(nodes_in.join(small_side(root), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        several = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 != r2 and n > 2").select("key")
+        return saved(placed.join(small_side(saved(several)), "key", "left_semi"))
+
+    some = mixed(members.select("key", "node", "size"), root)
+    own = saved(own_shingles(saved(some.select("node").distinct()), docs))
+    able = some.drop("root").join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
+    some = mixed(saved(able), root)
+    typical = saved(some.groupBy("key").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), F.col("node"), F.col("root"), F.col("size"))).alias("t")))
+    star = some.join(small_side(typical), "key").where((F.col("root") != F.col("t.root")) & close_sizes("size", "t.size")).select(F.least("node", "t.node").alias("a"), F.greatest("node", "t.node").alias("b"))
+    star = saved(star.distinct().join(tested, ["a", "b"], "left_anti"))
+    edges = saved(edges.union(verified(star, docs)))
+    root = saved(components(edges))
+    tested = saved(tested.union(star))
+
+    some = mixed(some.select("key", "node", "size", "common"), root)
+    left, right = (some.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "common", "root")]) for side in "ab")
+    reach = F.least("common_a", "common_b") * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b"))
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & reach & close_sizes("size_a", "size_b"))
+    rest = saved(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         root = saved(components(edges.union(verified(rest, docs))))
 

@@ -101,3 +101,17 @@ def test_overlaps_equal_counters():
     assert np.allclose(got, [jaccard(bag(x), bag(y)) for x, y in zip(a, b, strict=True)])
     h, row = shingles(Texts(pa.array(a, pa.string())))
     assert multisets(h, row)[2].sum() == sum(bag(t).total() for t in a)
+
+
+def test_one_wide_group(spark):
+    """Copies with many or few edits of one text: the lowest ids are far from all others."""
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.randint(5, 30) if i < 60 else rng.randint(0, 7)):
+            t[rng.randrange(150)] = f"e{rng.random()}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
