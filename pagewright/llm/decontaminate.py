@@ -118,3 +118,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (HIT_FACTOR * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, by id."""
+    gone = saved(contamination(docs, benchmark).where("contaminated").select("doc_id").distinct())
+    return docs.join(small_side(gone), "doc_id", "left_anti")

@@ -254,3 +254,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = saved(nodes.select("h", "node").join(small_side(root), "node", "left").select("h", F.coalesce("root", "node").alias("class_id")))
     out = sig.select(F.col("node").alias("doc_id"), "h").join(small_side(classes), "h", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their class. Only ids are looked up; texts stay where they are unless more
+    documents go than a broadcast may hold, or ids repeat."""
+    judged = saved(near_duplicates(docs))
+    gone = saved(judged.where("not kept").select("doc_id").distinct())
+    left = docs.join(small_side(gone), "doc_id", "left_anti")
+    again = saved(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return left.join(small_side(again), "doc_id", "left_anti").unionByName(left.join(small_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -85,7 +85,7 @@ def score(x: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``pii``: spans (kind, s, e, m, before, score) by kind, then start. All columns of ``docs`` stay."""
+    """Adds ``pii``: spans (kind, s, e, m, before, score) by kind, then start. All columns of ``docs`` stay, but for one of that name."""
     t = text_or_empty(text)
     digit = t.rlike("[0-9]{2}|[0-9][ .-][0-9]")
 

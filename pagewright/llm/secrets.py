@@ -72,7 +72,7 @@ def hot_windows(m: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``secrets``: spans (kind, s, e, m, before) by start, then kind. All columns of ``docs`` stay.
+    """Adds ``secrets``: spans (kind, s, e, m, before) by start, then kind. All columns of ``docs`` stay, but for one of that name.
 
     Entropy spans that touch a pattern's span are left out, as are candidates on the allow-list.
     """

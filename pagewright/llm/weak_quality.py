@@ -101,17 +101,22 @@ def measure(arr: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def quality_features(docs: DataFrame) -> DataFrame:
-    """doc_id and ``FEATURES`` (long) of every whole text."""
-    schema = "doc_id bigint, " + ", ".join(f"{f} bigint" for f in FEATURES)
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``FEATURES`` (long) of every whole text in front; columns of those names are replaced."""
+    kept = docs.drop(*FEATURES)
+    schema = ", ".join([*[f"{f} bigint" for f in FEATURES], *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                got = measure(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(got[f].astype(np.int64)) for f in FEATURES]], ["doc_id", *FEATURES])
+            for part in slices(batch, text):
+                got = measure(part.column(text))
+                yield pa.RecordBatch.from_arrays([*[pa.array(got[f].astype(np.int64)) for f in FEATURES], *part.columns], [*FEATURES, *part.schema.names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
+
+
+def voted(features: DataFrame) -> DataFrame:
+    return features.select("*", *[rule().alias(f"vote_{k}") for k, rule in RULES.items()])
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, np.ndarray]:
@@ -145,18 +150,36 @@ def evidence(rates: np.ndarray, voted: np.ndarray, bad: np.ndarray) -> np.ndarra
     return np.where(voted, np.where(bad, on_bad, on_good), 0).sum(1)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Per document: features, one vote per rule, ``quality`` (posterior of good), base_failed, kept."""
-    voted = saved(quality_features(docs)).select("*", *[rule().alias(f"vote_{k}") for k, rule in RULES.items()])
+def learn(features: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+    """Prior and rates from the votes on all documents: at most 3 ** len(RULES) counted patterns reach the driver."""
     votes = [f"vote_{k}" for k in RULES]
-    # At most 3 ** len(RULES) rows.
-    counted = [(tuple(r[v] for v in votes), r["n"]) for r in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()]
+    counted = [(tuple(r[v] for v in votes), r["n"]) for r in voted(features).groupBy(*votes).agg(F.count("*").alias("n")).collect()]
     prior, rates = fit(sorted(counted), len(votes))
+    return prior, [(float(a), float(b)) for a, b in rates]
+
+
+def scored(features: DataFrame, model: tuple[float, list[tuple[float, float]]]) -> DataFrame:
+    """Adds one vote per rule, ``quality`` (posterior of good), base_failed and kept."""
+    prior, rates = model
     logit = F.lit(float(np.log(prior / (1 - prior))))
-    for v, (on_bad, on_good) in zip(votes, rates, strict=True):
-        logit = logit + F.when(F.col(v) == 0, float(np.log(on_good / on_bad))).when(F.col(v) == 1, float(np.log((1 - on_good) / (1 - on_bad)))).otherwise(0.0)
+    for k, (on_bad, on_good) in zip(RULES, rates, strict=True):
+        v = F.col(f"vote_{k}")
+        logit = logit + F.when(v == 0, float(np.log(on_good / on_bad))).when(v == 1, float(np.log((1 - on_good) / (1 - on_bad)))).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return voted.withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= MIN_PROBABILITY))
+    return voted(features).withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= MIN_PROBABILITY))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, features, votes, quality, base_failed, kept. Features are measured once and written."""
+    features = saved(with_features(docs.select(F.col("doc_id").cast("long"), "text")).drop("text"))
+    return scored(features, learn(features))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns; texts are measured twice and never move."""
+    model = learn(saved(with_features(docs.select("text")).drop("text")))
+    own = docs.toDF(*[f"_{c}" for c in docs.columns])  # no column of the rows meets a feature's name
+    return scored(with_features(own, "_text"), model).where("kept").select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
