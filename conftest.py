@@ -1,0 +1 @@
+"""Puts the repository on the path of tests."""
