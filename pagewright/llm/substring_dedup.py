@@ -207,9 +207,9 @@ def sort_buckets(packed: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """did, rid, lo, hi: ranges of words that repeated windows cover."""
-    runs = saved(find_super_kmers(docs))
+    runs = find_super_kmers(docs)  # found twice: that costs less than keeping every run on disk
     often = saved(runs.groupBy("mini").agg(F.sum("weight").alias("c")).where("c > 1"))
-    shared = saved(runs.join(small_side(often), "mini").select("did", "rid", F.struct("mini", "start", "n", F.ceil(F.col("c") / BUCKET_ROWS).cast("int").alias("buckets")).alias("run")))
+    shared = saved(runs.join(often, "mini").select("did", "rid", F.struct("mini", "start", "n", F.ceil(F.col("c") / BUCKET_ROWS).cast("int").alias("buckets")).alias("run")))
     touched = small_side(saved(shared.select("did", "rid").distinct()))
     texts = saved(keyed(docs).select("did", "rid", "text").join(touched, ["did", "rid"], "left_semi").dropDuplicates(["did", "rid"]))
     by_doc = shared.groupBy("did", "rid").agg(F.collect_list("run").alias("runs"))
