@@ -9,8 +9,8 @@ Work and data movement:
 * signatures need no shuffle; bands move as (key, node) pairs, and only keys with two nodes or more go on;
 * in each bucket every node is compared with the bucket's lowest node only. In buckets that still hold several
   classes, nodes are dropped whose shingles are their own by more than a similarity of 0.8 allows (exact, from
-  counts of shingles), the rest is compared with the bucket's most typical node, and what is then left of pairs of
-  *different* classes is compared too. So no link between classes that share a bucket is lost, while the pairs
+  counts of shingles), the rest is compared with the bucket's most typical node, and those pairs of *different*
+  classes are compared too that what they share with it and with others leaves possible. So no link between classes that share a bucket is lost, while the pairs
   inside a class are never spelled out;
 * hot keys meet in joins of two plain exchanges, which adaptive execution splits.
 
@@ -141,8 +141,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return source.mapInArrow(run, "node bigint, h string, size bigint, keys array<bigint>")
 
 
-def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard of each pair of texts, from exact multisets of shingles; 0 where neither has words."""
+def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shared shingles and weighted Jaccard of each pair of texts, from exact multisets; 0 where neither has words."""
     n = len(texts_a)
     sides, sizes = [], np.zeros(n)
     for arr in (texts_a, texts_b):
@@ -153,11 +153,11 @@ def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
     (ka, ra, ca), (kb, _, cb) = sides
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     shared = np.bincount(ra[ia], weights=np.minimum(ca[ia], cb[ib]), minlength=n)
-    return shared / np.maximum(sizes - shared, 1)
+    return shared.astype(np.int64), shared / np.maximum(sizes - shared, 1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts reach ``similarity``. Only texts of documents in pairs move."""
+def measured(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) with their shared shingles, and whether they are linked. Only texts of documents in pairs move."""
     pairs = saved(pairs)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = saved(docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(small_side(saved(needed)), "node", "left_semi").dropDuplicates(["node"]))
@@ -165,12 +165,17 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a", 1 << 20):
-                close = overlaps(part.column("text_a"), part.column("text_b"))
-                yield part.select(["a", "b"]).filter(pa.array(close >= similarity))
+                shared, close = overlaps(part.column("text_a"), part.column("text_b"))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(shared), pa.array(close >= similarity)], ["a", "b", "shared", "linked"])
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, shared bigint, linked boolean")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (a, b)."""
+    return measured(pairs, docs).where("linked").select("a", "b")
 
 
 def own_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -236,18 +241,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = saved(own_shingles(saved(some.select("node").distinct()), docs))
     able = some.drop("root").join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
     some = mixed(saved(able), root)
-    typical = saved(some.groupBy("key").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), F.col("node"), F.col("root"), F.col("size"))).alias("t")))
-    star = some.join(small_side(typical), "key").where((F.col("root") != F.col("t.root")) & close_sizes("size", "t.size")).select(F.least("node", "t.node").alias("a"), F.greatest("node", "t.node").alias("b"))
-    star = saved(star.distinct().join(tested, ["a", "b"], "left_anti"))
-    edges = saved(edges.union(verified(star, docs)))
+    typical = saved(some.groupBy("key").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), F.col("node"))).alias("t")).select("key", F.col("t.node").alias("t")))
+    held = saved(some.join(small_side(typical), "key").select("key", "node", "size", "common", "t"))
+    star = saved(measured(held.where("node != t").select(F.col("t").alias("a"), F.col("node").alias("b")).distinct(), docs))
+    edges = saved(edges.union(star.where("linked").select("a", "b")))
     root = saved(components(edges))
-    tested = saved(tested.union(star))
 
-    some = mixed(some.select("key", "node", "size", "common"), root)
-    left, right = (some.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "common", "root")]) for side in "ab")
-    reach = F.least("common_a", "common_b") * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b"))
+    # Shared with the typical node, and at most shared otherwise, for each node of a bucket.
+    known = held.join(star.select(F.col("a").alias("t"), F.col("b").alias("node"), "shared"), ["t", "node"], "left").withColumn("shared", F.coalesce("shared", "size"))
+    some = mixed(saved(known.withColumn("other", F.col("common") - F.col("shared")).drop("t")), root)
+    left, right = (some.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "common", "shared", "other", "root")]) for side in "ab")
+    most = F.least(F.least("common_a", "common_b"), F.least("shared_a", "shared_b") + F.least("other_a", "other_b"))
+    reach = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b")) - 1e-6
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & reach & close_sizes("size_a", "size_b"))
-    rest = saved(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    done = tested.union(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rest = saved(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         root = saved(components(edges.union(verified(rest, docs))))
 

@@ -97,7 +97,8 @@ def test_signatures_are_unbiased():
 def test_overlaps_equal_counters():
     rows = [t for _, t in chains(5)][:60]
     a, b = rows[:30], rows[30:]
-    got = overlaps(pa.array(a, pa.string()), pa.array(b, pa.string()))
+    shared, got = overlaps(pa.array(a, pa.string()), pa.array(b, pa.string()))
+    assert shared.tolist() == [(bag(x) & bag(y)).total() for x, y in zip(a, b, strict=True)]
     assert np.allclose(got, [jaccard(bag(x), bag(y)) for x, y in zip(a, b, strict=True)])
     h, row = shingles(Texts(pa.array(a, pa.string())))
     assert multisets(h, row)[2].sum() == sum(bag(t).total() for t in a)
