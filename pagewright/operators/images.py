@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import once
+
 TARGET, LEAST_SCALE, MOST_SCALE, MOST_PIXELS, PADDING = 2200, 1.5, 4.0, 30_000_000, 160
 SMALL_SIDE, LAYOUT_SIDE = 300, 600
 
@@ -81,9 +83,10 @@ def moment(hist: Column, power: int) -> Column:
 
 
 def entropy(hist: Column) -> Column:
-    total = hist_total(hist)
-    terms = F.transform(hist, lambda n: F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    def terms(total: Column) -> Column:
+        return F.aggregate(F.transform(hist, lambda n: F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+    return once(hist_total(hist), terms)
 
 
 def contrast(hist: Column) -> Column:
@@ -137,18 +140,24 @@ def upscale_plan(images: DataFrame) -> DataFrame:
 
 def otsu(hist: Column) -> Column:
     """The first threshold of greatest variance between the classes below (and at) it and above."""
-    total, sum_all = hist_total(hist), moment(hist, 1)
-
-    def step(acc: Column, x: Column) -> Column:
-        n, s = acc["n"] + x["n"], acc["s"] + x["n"] * x["i"]
-        gap = s / n - (sum_all - s) / (total - n)
-        between = F.when((n > 0) & (n < total), n * (total - n) * gap * gap).otherwise(0.0)
-        better = between > acc["best"]
-        return F.struct(n.alias("n"), s.alias("s"), F.when(better, between).otherwise(acc["best"]).alias("best"), F.when(better, x["i"]).otherwise(acc["t"]).cast("int").alias("t"))
-
-    bins = F.transform(hist, lambda n, i: F.struct(n.cast("double").alias("n"), i.alias("i")))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("t"))
-    return F.aggregate(bins, start, step, lambda acc: acc["t"])
+
+    def best(sums: Column) -> Column:
+        total, sum_all = sums["n"], sums["s"]
+
+        def step(acc: Column, x: Column) -> Column:
+            n, s = acc["n"] + x["n"], acc["s"] + x["n"] * x["i"]
+            gap = s / n - (sum_all - s) / (total - n)
+            between = F.when((x["n"] > 0) & (n < total), n * (total - n) * gap * gap).otherwise(0.0)
+            return once(
+                F.struct(n.alias("n"), s.alias("s"), between.alias("v")),
+                lambda k: F.struct(k["n"].alias("n"), k["s"].alias("s"), F.greatest(k["v"], acc["best"]).alias("best"), F.when(k["v"] > acc["best"], x["i"]).otherwise(acc["t"]).cast("int").alias("t")),
+            )
+
+        bins = F.transform(hist, lambda n, i: F.struct(n.cast("double").alias("n"), i.alias("i")))
+        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("t"))
+        return F.aggregate(bins, start, step, lambda acc: acc["t"])
+
+    return once(F.struct(hist_total(hist).cast("double").alias("n"), moment(hist, 1).alias("s")), best)
 
 
 def text_density(hist: Column, threshold: Column) -> Column:
