@@ -34,10 +34,12 @@ RULES = {
     ),
     "digits": lambda: _vote(_share("n_digits", "word_chars") > 0.30, _share("n_digits", "word_chars") < 0.10),
 }
-#: A rule's accuracy has two sides: how often it votes bad on bad and on good documents. EM starts from, and leans
-#: on, these rates as if seen on ``PRIOR_DOCS`` documents of each class; bounds keep it from turning the classes round.
-BAD_RATE = {"bad": 0.35, "good": 0.01}
-PRIOR_DOCS, LEAST_RATIO = 20, 10.0
+#: A rule's accuracy has two sides: how often it votes bad on bad and on good documents. EM starts from these rates
+#: and leans on them with a share of each class, at any size of corpus: the defects hardly ever meet in one document,
+#: and without that weight EM would explain them by one large class of all kinds. Rules rarely err on good documents.
+BAD_RATE = {"bad": 0.35, "good": 0.001}
+PRIOR_SHARE, PRIOR_DOCS = 0.3, 2
+RATE_BOUNDS = {"bad": (0.02, 0.97), "good": (0.0002, 0.005)}
 PRIOR_BOUNDS, ROUNDS = (0.05, 0.95), 200
 MIN_PROBABILITY = 0.5
 
@@ -131,12 +133,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[floa
     prior = 0.5
     for _ in range(ROUNDS):
         prior = float(np.clip((q * n).sum() / n.sum(), *PRIOR_BOUNDS))
-        for side, share in enumerate((1 - q, q)):
+        for side, (name, share) in enumerate((("bad", 1 - q), ("good", q))):
             w = (share * n)[:, None]
-            start = BAD_RATE["good"] if side else BAD_RATE["bad"]
-            rates[:, side] = ((w * bad).sum(0) + start * PRIOR_DOCS) / ((w * voted).sum(0) + PRIOR_DOCS)
-        rates[:, 0] = np.clip(rates[:, 0], 0.01, 0.97)
-        rates[:, 1] = np.clip(rates[:, 1], 0.0005, rates[:, 0] / LEAST_RATIO)
+            mass = (w * voted).sum(0)
+            lean = PRIOR_SHARE * mass + PRIOR_DOCS
+            rates[:, side] = np.clip(((w * bad).sum(0) + BAD_RATE[name] * lean) / (mass + lean), *RATE_BOUNDS[name])
         new = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + evidence(rates, voted, bad))))
         moved, q = abs(new - q).max(), new
         if moved < 1e-9:
