@@ -193,3 +193,17 @@ def preview(text: Column, n: int = V.PREVIEW_LINES) -> Column:
 def output_name(path: Column, run_ts: Column, ext: str) -> Column:
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     return F.concat(stem, F.lit("_"), F.date_format(run_ts, "yyyy-MM-dd_HH-mm-ss"), F.lit(f".{ext}"))
+
+
+def one_decimal(x: Column) -> Column:
+    """``x`` with one decimal, rounded from its exact binary value, halves to even.
+
+    Only values whose shortest form ends in 5 at the second decimal need care: the sign of 20 * x minus the nearest
+    integer, taken from an exact product of halves of x, tells on which side of the tie they lie.
+    """
+    near = F.round(x * 20)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    off = (high * 20 - near) + (x - high) * 20
+    below = F.floor((near - 1) / 2)
+    tenths = F.when(off > 0, below + 1).when(off < 0, below).otherwise(below + F.pmod(below, F.lit(2)))
+    return F.when((x * 20 == near) & (F.pmod(near, F.lit(2)) == 1), F.format_string("%.1f", tenths / 10)).otherwise(F.format_string("%.1f", x))

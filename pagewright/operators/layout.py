@@ -21,16 +21,19 @@ MAX_INDENT, TEXT_COLUMNS, LEAST_INDENT_PX = 20, 80, 15
 def join_words(words: Column) -> Column:
     """Text of a line's words, sorted left to right: three spaces where a gap is over three times the usual one."""
 
-    def text(gaps: Column) -> Column:
-        usual = F.greatest(F.element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1), F.lit(1))
-        pieces = F.transform(words, lambda w, i: F.concat(F.when(i == 0, "").when(F.get(gaps, i - 1) / usual > WIDE_GAP, "   ").otherwise(" "), w["text"]))
+    def text(x: Column) -> Column:
+        pieces = F.transform(words, lambda w, i: F.concat(F.when(i == 0, "").when(F.get(x["gaps"], i - 1) / x["usual"] > WIDE_GAP, "   ").otherwise(" "), w["text"]))
         return F.array_join(pieces, "")
 
+    def with_usual(gaps: Column) -> Column:
+        middle = F.element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1)
+        return F.struct(gaps.alias("gaps"), F.greatest(middle, F.lit(1)).alias("usual"))
+
     gaps = F.when(
         F.size(words) > 1,
         F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.get(words, i)["left"] - (F.get(words, i - 1)["left"] + F.get(words, i - 1)["width"])),
     ).otherwise(F.array(F.lit(1)))
-    return once(gaps, text)
+    return once(once(gaps, with_usual), text)
 
 
 def build_lines(words: DataFrame) -> DataFrame:

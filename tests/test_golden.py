@@ -99,3 +99,9 @@ def test_images_are_read_and_rejected(spark, tmp_path):
     good, bad = io.read_images(spark, str(tmp_path))
     assert [r.image.width for r in good.collect()] == [4]
     assert sorted(r.path[-5:] for r in bad.collect()) == [".webp", "b.gif"]
+
+
+def test_one_decimal(spark):
+    values = [k / 20 for k in range(0, 2001)] + [k / 140 for k in range(0, 14001, 7)] + [0.25, 0.35, 0.15, 53.25, 1e-9, 99.95]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.t for r in df.select(T.one_decimal(F.col("x")).alias("t")).collect()] == [f"{v:.1f}" for v in values]
