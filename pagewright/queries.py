@@ -450,13 +450,44 @@ def e8c(spark, d):
     return X.dirty_lines(spark, d).select("image_id", "line_no", T.clean_option_text(T.strip(F.col("line"))).alias("fixed"))
 
 
-@query("e8d_rebuild_exam_text")
+def rebuilt_ctes() -> str:
+    """Cleaned options, question blocks and the rebuilt text of every page with questions."""
+    step1 = regexes("s", [(r"^[○☐☑]\s*", "")])
+    joined = f"regexp_matches(t0, '^[Oo0][a-záéíóúñ\\\\.].*$') AND NOT regexp_matches(t0, '^O[{V.AFTER_BIG_O}]|^o[{V.AFTER_SMALL_O}]') AND NOT regexp_matches(t0, '^[Oo]({STEMS})([^a-záéíóúñA-ZÁÉÍÓÚÑ]|$)')"
+    rest = regexes("t1", [(r"^[Oo0]\s+", ""), (r"^[a-dA-D][).]\s*", ""), (r"^[Oo0][).]\s*", ""), (r"^[©®™¢Øø]\s*", ""), (r"^\(\)\s*", ""), (r"^\[\]\s*", ""), (r"^[\-–—]\s+", "")])
+    return f"""opts AS (SELECT image_id, q_no, string_agg('○ ' || o, chr(10) ORDER BY j) FILTER (o <> '') AS options FROM (
+        SELECT image_id, q_no, j, {trim(rest)} AS o FROM (SELECT *, CASE WHEN {joined} THEN substr(t0, 2) ELSE t0 END AS t1 FROM (SELECT *, {step1} AS t0 FROM parts WHERE part = 'option'))) GROUP BY image_id, q_no),
+      body AS (SELECT image_id, q_no, string_agg(line, chr(10) ORDER BY j) FILTER (part = 'statement') AS statement, string_agg(line, chr(10) ORDER BY j) FILTER (part = 'code') AS code FROM parts GROUP BY image_id, q_no),
+      qs AS (SELECT h.image_id, h.q_no, code IS NOT NULL AND options IS NULL AS ends_blank,
+          repeat('─', 50) || chr(10) || chr(10) || h.s || coalesce(chr(10) || statement, '') || coalesce(chr(10) || chr(10) || code || chr(10), '') || coalesce(chr(10) || options, '') AS block
+        FROM segs h LEFT JOIN body b ON h.image_id = b.image_id AND h.q_no = b.q_no LEFT JOIN opts o ON h.image_id = o.image_id AND h.q_no = o.q_no WHERE h.is_head),
+      pre AS (SELECT image_id, 0 AS q_no, arg_max(s, line_no) = '' AS ends_blank, string_agg(line, chr(10) ORDER BY line_no) AS block FROM segs WHERE q_no = 0 AND image_id IN (SELECT image_id FROM qs) GROUP BY image_id),
+      every AS (SELECT *, lag(ends_blank) OVER (PARTITION BY image_id ORDER BY q_no) AS after_blank FROM (SELECT * FROM qs UNION ALL SELECT * FROM pre)),
+      rebuilt AS (SELECT image_id, string_agg(CASE WHEN after_blank IS NULL THEN '' WHEN after_blank THEN chr(10) ELSE chr(10) || chr(10) END || block, '' ORDER BY q_no) AS text FROM every GROUP BY image_id)"""
+
+
+def with_rebuilt(body: str) -> str:
+    return sql("SELECT 1 FROM parts, segs").replace("SELECT 1 FROM parts, segs", f", {rebuilt_ctes()} {body}")
+
+
+@query("e8d_rebuild_exam_text", with_rebuilt("SELECT image_id, text FROM rebuilt"))
 def e8d(spark, d):
     lines = X.exam_lines(spark, d)
     return E.rebuild_exam_text(lines, E.extract_questions(lines))
 
 
-@query("e9_post_process_document")
+def routed_sql() -> str:
+    lines = f"""routes AS (SELECT image_id, CASE WHEN h < 2 AND o < 4 THEN 'plain' WHEN h = 0 THEN 'options' ELSE 'exam' END AS route FROM (SELECT image_id, count(*) FILTER (is_head) AS h, count(*) FILTER (is_option) AS o FROM marked GROUP BY image_id)),
+      before AS (SELECT image_id, route, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM rebuilt JOIN routes USING (image_id) WHERE route = 'exam'
+        UNION ALL SELECT m.image_id, route, line_no, CASE WHEN route = 'options' THEN {OPTION_SQL} ELSE line END FROM exam_lines m JOIN routes USING (image_id) WHERE route <> 'exam')"""
+    inner = "SELECT * FROM before"
+    for step in G_STEPS:
+        inner = f"SELECT image_id, route, line_no, {step} AS line FROM ({inner})"
+    joined = f"SELECT image_id, route, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER ({NOISE_SQL}), '') AS text FROM ({inner}) GROUP BY image_id, route"
+    return with_rebuilt(f", {lines} SELECT image_id, route, CASE WHEN route = 'exam' THEN regexp_replace(text, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') ELSE text END AS text FROM ({joined})")
+
+
+@query("e9_post_process_document", routed_sql())
 def e9(spark, d):
     return E.post_process_documents(joined_lines(X.exam_lines(spark, d)))
 
