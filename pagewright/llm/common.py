@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own_scratch: list[str] = []
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,10 +30,21 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> int:
+    """Delete the tables that ``saved`` wrote in this process, once no result needs them; returns how many."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay within ``limit``, else unchanged (shuffle join)."""
     n = df.count() if rows is None else rows

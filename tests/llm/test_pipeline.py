@@ -1,6 +1,7 @@
 """Each stage of the pipeline against the brute-force versions of its operator."""
 
 import corpus_pipeline as cp
+from pagewright.llm.common import drop_saved
 from pagewright.llm.weak_quality import judge
 from tests.llm.test_decontaminate import brute as brute_contamination
 from tests.llm.test_near_dup import brute as brute_classes
@@ -45,3 +46,9 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert [r.doc_id for r in cp.near_duplicates(spark, df, DATA).orderBy("doc_id").collect()] == [1, 3]
     assert sorted(r.doc_id for r in cp.quality(spark, df, DATA).collect()) == [1, 1, 2]
     assert {(r.quality, r.text) for r in cp.quality(spark, df, DATA).collect()} == {(0.5, text)}
+
+
+def test_saved_tables_can_be_dropped(spark):
+    kept = cp.saved(spark.range(5))
+    assert kept.count() == 5
+    assert drop_saved(spark) >= 1 and drop_saved(spark) == 0
