@@ -592,6 +592,20 @@ def s1(spark, d):
     return named.where(S.accepted_suffix(F.col("url")))
 
 
+@query("s2_read_ocr_words", sql(f"""SELECT image_id, ord, text, conf, "left", top, width, height, line_num, word_num FROM ocr_words WHERE regexp_matches(text, '^[^\\s]+$')"""))
+def s2(spark, d):
+    words = X.ocr_words(spark, d).where(F.col("text").rlike(r"^[^\s]+$"))
+    names = [c.split()[0] for c in S.WORD_SCHEMA.split(", ")]
+    rows = words.select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in names]).alias("value"))
+    return S.parse_word_rows(rows).select("image_id", "ord", "text", "conf", "left", "top", "width", "height", "line_num", "word_num")
+
+
+@query("s5_export_sinks", """SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['txt'] WHEN 1 THEN ['json'] WHEN 2 THEN ['docx'] WHEN 3 THEN ['txt', 'json', 'docx'] ELSE [] END) AS sink FROM documents""")
+def s5(spark, d):
+    asked = F.element_at(F.array(*[F.lit(x) for x in (" TXT", "json ", "Docx", " ALL ", "pdf")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(S.sinks_of(asked)).alias("sink"))
+
+
 @query("s3_txt_content", sql("""SELECT t.image_id, repeat('=', 60) || chr(10) || 'TEXTO EXTRAÍDO POR OCR' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'Idioma: spa' || chr(10) || 'Palabras detectadas: ' || word_count || chr(10)
   || 'Confianza promedio: ' || printf('%.1f', avg_confidence) || '%' || chr(10) || 'Bloques: ' || n_blocks || chr(10) || 'Columnas: ' || CAST(column_count AS BIGINT) || chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) || formatted_text || chr(10) || chr(10) || repeat('-', 60) || chr(10) || 'Fin del documento' AS content
   FROM texts t JOIN counts c ON t.image_id = c.image_id"""))
