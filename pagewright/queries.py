@@ -58,7 +58,7 @@ CTES = {
     "blocks": """SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x, block_num) AS block_ord FROM (
       SELECT image_id, block_num, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, max(image_width) AS image_width, count(*) AS n_lines
       FROM plines GROUP BY image_id, block_num)""",
-    "placed": """SELECT *, sum(CASE WHEN step > floor(image_width * 0.15) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY cx, block_ord) AS column_id FROM (
+    "placed": """SELECT *, CAST(sum(CASE WHEN step > floor(image_width * 0.15) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY cx, block_ord) AS BIGINT) AS column_id FROM (
       SELECT *, cx - lag(cx) OVER (PARTITION BY image_id ORDER BY cx, block_ord) AS step FROM (SELECT *, x + width // 2 AS cx FROM blocks))""",
     "reading": "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY column_id, y, cx, block_ord) AS read_ord FROM placed",
     "formatted": """SELECT *, repeat(' ', CAST(indent AS BIGINT)) || text AS formatted FROM (
@@ -632,7 +632,7 @@ def s6(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.output_name(path, F.lit("2026-03-01 14:30:25").cast("timestamp"), "txt").alias("name"))
 
 
-@query("s7_export_paragraphs", sql("SELECT r.image_id, kind, count(*) AS n, coalesce(sum(length(text)), 0) AS chars FROM (SELECT image_id, 'line' AS kind, text FROM plines UNION ALL SELECT image_id, 'blank', '' FROM reading WHERE read_ord > 1) r GROUP BY ALL"))
+@query("s7_export_paragraphs", sql("SELECT r.image_id, kind, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM (SELECT image_id, 'line' AS kind, text FROM plines UNION ALL SELECT image_id, 'blank', '' FROM reading WHERE read_ord > 1) r GROUP BY ALL"))
 def s7(spark, d):
     p = pages(spark, d)
     rows = S.export_paragraphs(p.docs, p.blocks, p.lines).where(F.col("kind").isin("line", "blank"))
