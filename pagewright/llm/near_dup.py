@@ -231,16 +231,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = saved(verified(tested, docs).union(aliases))
     root = saved(components(edges))
 
-    def mixed(nodes_in: DataFrame, root: DataFrame) -> DataFrame:
-        """The rows of buckets that hold several classes and three nodes or more."""
+    def mixed(nodes_in: DataFrame, root: DataFrame, least: int = 3) -> DataFrame:
+        """The rows of buckets that hold several classes and ``least`` nodes or more: three where one of them was compared with all."""
         placed = saved(nodes_in.join(small_side(root), "node", "left").withColumn("root", F.coalesce("root", "node")))
-        several = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 != r2 and n > 2").select("key")
+        several = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where(f"r1 != r2 and n >= {least}").select("key")
         return saved(placed.join(small_side(saved(several)), "key", "left_semi"))
 
     some = mixed(members.select("key", "node", "size"), root)
     own = saved(own_shingles(saved(some.select("node").distinct()), docs))
     able = some.drop("root").join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
-    some = mixed(saved(able), root)
+    # The lowest node may be gone now, so the last two of a bucket need not have been compared.
+    some = mixed(saved(able), root, least=2)
     typical = saved(some.groupBy("key").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), F.col("node"))).alias("t")).select("key", F.col("t.node").alias("t")))
     held = saved(some.join(small_side(typical), "key").select("key", "node", "size", "common", "t"))
     star = saved(measured(held.where("node != t").select(F.col("t").alias("a"), F.col("node").alias("b")).distinct(), docs))

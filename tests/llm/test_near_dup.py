@@ -116,3 +116,14 @@ def test_one_wide_group(spark):
         rows.append((i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
+
+
+def test_two_close_texts_in_a_hot_bucket(spark):
+    """A passage in many texts that are far apart, with lower ids, and in exactly two close ones."""
+    rng = random.Random(7)
+    passage = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(passage + [f"e{rng.random()}" for _ in range(30 if i < 200 else 9)])) for i in range(202)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    assert expected[201] == 200 and len(set(expected.values())) == 201
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
