@@ -33,46 +33,46 @@ FROM tokens
 EXAM_LINES = """
 SELECT doc_id AS image_id, line_no,
        CASE WHEN doc_id % 5 = 4 THEN line
-            WHEN line_no % 8 = 0 AND doc_id % 3 = 2 THEN substr(line, 1, 30)
+            WHEN line_no % 8 = 0 AND doc_id % 3 = 2 THEN line
             WHEN line_no % 8 = 0 THEN 'Pregunta ' || CAST(line_no AS STRING)
-            WHEN line_no % 8 = 1 THEN substr(line, 1, 40) || ':'
+            WHEN line_no % 8 = 1 THEN line || ':'
             WHEN line_no % 8 = 2 THEN 'x = ' || CAST(line_no AS STRING)
             WHEN line_no % 8 = 3 THEN 'print(x)'
-            WHEN line_no % 8 = 4 THEN 'O ' || substr(line, 1, 25)
-            WHEN line_no % 8 = 5 THEN 'a) ' || substr(line, 1, 20)
+            WHEN line_no % 8 = 4 THEN 'O ' || line
+            WHEN line_no % 8 = 5 THEN 'a) ' || line
             WHEN line_no % 8 = 6 THEN ''
             ELSE line END AS line
 FROM lines0
 """
 
-#: Lines that trigger every repair rule.
+#: Whole lines with literals that trigger every repair rule; only literals that must stand alone replace a line.
 DIRTY_LINES = """
 SELECT doc_id AS image_id, line_no,
        CASE line_no % 25
-         WHEN 0 THEN '“' || substr(line, 1, 9) || '” — ﬁn ﬂor «a» „b’'
-         WHEN 1 THEN 'str(¡+1) (¡) x=¡+1 ¡hola'
-         WHEN 2 THEN '____esun ' || substr(line, 1, 12) || ' snake_case'
-         WHEN 3 THEN 'O' || substr(line, 1, 12)
-         WHEN 4 THEN 'o ' || substr(line, 1, 12)
-         WHEN 5 THEN '() ' || substr(line, 1, 12)
-         WHEN 6 THEN '[]' || substr(line, 1, 12)
-         WHEN 7 THEN '[x] ' || substr(line, 1, 12) || ' [V]si'
-         WHEN 8 THEN substr(line, 1, 12) || ' © ' || substr(line, 1, 5)
-         WHEN 9 THEN '   ' || substr(line, 1, 8) || '    ' || substr(line, 1, 5) || '  b'
-         WHEN 10 THEN 'Ist Ien iflint ifllint prinl printt inpul (' || substr(line, 1, 3)
-         WHEN 11 THEN 'Genero  (M/P) o (M/P)'
-         WHEN 12 THEN 'esun esuna noexiste noes dela delante delos porquees'
-         WHEN 13 THEN 'diferencía funcíón operacíón condícíón varíable'
-         WHEN 14 THEN '1l0 y 1O0 y 2l3 al'
-         WHEN 15 THEN '............ ------------ ____________'
+         WHEN 0 THEN '“' || line || '” — ﬁn ﬂor «a» „b’'
+         WHEN 1 THEN 'str(¡+1) (¡) x=¡+1 ¡hola ' || line
+         WHEN 2 THEN '____esun ' || line || ' snake_case'
+         WHEN 3 THEN 'O' || line
+         WHEN 4 THEN 'o ' || line
+         WHEN 5 THEN '() ' || line
+         WHEN 6 THEN '[]' || line
+         WHEN 7 THEN '[x] ' || line || ' [V]si'
+         WHEN 8 THEN line || ' © ' || line
+         WHEN 9 THEN '   ' || line || '    ' || line || '  b'
+         WHEN 10 THEN 'Ist Ien iflint ifllint prinl printt inpul (' || line
+         WHEN 11 THEN 'Genero  (M/P) o (M/P) ' || line
+         WHEN 12 THEN 'esun esuna noexiste noes dela delante delos porquees ' || line
+         WHEN 13 THEN 'diferencía funcíón operacíón condícíón varíable ' || line
+         WHEN 14 THEN '1l0 y 1O0 y 2l3 al ' || line
+         WHEN 15 THEN '............ ------------ ____________ ' || line
          WHEN 16 THEN '||'
          WHEN 17 THEN 'ab'
          WHEN 18 THEN '○'
-         WHEN 19 THEN 'b. ' || substr(line, 1, 10)
-         WHEN 20 THEN 'Orden ' || substr(line, 1, 6)
+         WHEN 19 THEN 'b. ' || line
+         WHEN 20 THEN 'Orden ' || line
          WHEN 21 THEN 'O rden'
-         WHEN 22 THEN '0.' || substr(line, 1, 6)
-         WHEN 23 THEN '© ' || substr(line, 1, 6)
+         WHEN 22 THEN '0.' || line
+         WHEN 23 THEN '© ' || line
          ELSE line END AS line
 FROM lines0
 """

@@ -84,3 +84,16 @@ def test_reading_order_permutes_blocks(spark):
 def test_failed_candidates_are_skipped(spark):
     empty = spark.createDataFrame([], "image_id long, variant int, psm int, text string, conf double")
     assert candidates.score_candidates(empty).count() == 0
+
+
+LONE = {"||", "ab", "○", "O rden"}
+
+
+def test_derived_lines_hold_whole_lines(spark):
+    lines0 = spark.sql(fixtures.SPARK_LINES, documents=spark.read.parquet(f"{DATA}/documents.parquet"))
+    lines0 = lines0.select(F.col("doc_id").alias("image_id"), "line_no", F.col("line").alias("given"))
+    cut = fixtures.dirty_lines(spark, DATA).join(lines0, ["image_id", "line_no"]).where(~F.col("line").contains(F.col("given")) & ~F.col("line").isin(*LONE))
+    assert cut.count() == 0
+    alone = F.col("line").rlike(r"^(Pregunta \d+|x = \d+|print\(x\)|)$")
+    cut = fixtures.exam_lines(spark, DATA).join(lines0, ["image_id", "line_no"]).where(~F.col("line").contains(F.col("given")) & ~alone)
+    assert cut.count() == 0
