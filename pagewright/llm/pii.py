@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_or_empty
-from pagewright.llm.spans import SPANS, count_kind, find_spans, joined
+from pagewright.llm.common import let, text_or_empty
+from pagewright.llm.spans import SPANS, count_kind, find_spans, joined, no_spans
 
 KINDS = ["email", "ip", "card", "phone", "iban"]
 
@@ -24,9 +24,19 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # A run of digits with single separators; the bounds are those of the digit count, tested on the whole run.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-
-#: Score of a span whose pattern and validator agree, before context; spans below ``MIN_SCORE`` go, base ones stay.
+# The head of an account number, and ahead of it the longest rest that ends with a word; heads inside a rest are proposed too.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9]))"
+IBAN_LEAST = 15
+# Countries with the length of their account numbers.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 "
+    "MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 "
+    "TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+
+#: Score of a span whose pattern and validator agree, before context; spans below ``MIN_SCORE`` go, base ones stay. With
+#: these values no account number falls below it: context moves scores and decides nothing.
 START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
 CONTEXT_STEP = 0.2
 MIN_SCORE = 0.5
@@ -62,10 +72,13 @@ def luhn_ok(m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(rev)), F.lit(0), add) % 10 == 0
 
 
+def packed(m: Column) -> Column:
+    return F.regexp_replace(m, " ", "")
+
+
 def mod97_ok(m: Column) -> Column:
     """ISO 7064 mod 97-10: first four characters moved to the end, letters as 10 to 35, remainder 1."""
-    packed = F.regexp_replace(m, " ", "")
-    turned = F.concat(F.substring(packed, 5, 64), F.substring(packed, 1, 4))
+    turned = F.concat(F.substring(packed(m), 5, 64), F.substring(packed(m), 1, 4))
 
     def add(acc: Column, i: Column) -> Column:
         code = F.ascii(F.substring(turned, i, F.lit(1)))
@@ -74,6 +87,33 @@ def mod97_ok(m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def account_numbers(spans: Column) -> Column:
+    """Each proposal cut to a part that ends with a word and passes mod 97: the one as long as its country's numbers are,
+    else the longest. Proposals without one go, and those that start inside the last one kept."""
+
+    def cut(x: Column) -> Column:
+        m = x["m"]
+
+        def fits(n: Column) -> Column:
+            part = F.substring(m, F.lit(1), n)
+            at_end = (F.substring(m, n, F.lit(1)) != " ") & F.substring(m, n + 1, F.lit(1)).isin(" ", "")
+            return at_end & (F.length(packed(part)) >= IBAN_LEAST) & mod97_ok(part)
+
+        def registered(n: Column) -> Column:
+            length = F.length(packed(F.substring(m, F.lit(1), n)))
+            return F.lit(IBAN_LENGTHS).contains(F.concat(F.substring(m, 1, 2), length.cast("string")))
+
+        ends = F.filter(F.sequence(F.lit(IBAN_LEAST), F.length(m)), fits)
+        n = let(ends, lambda e: F.coalesce(F.array_max(F.filter(e, registered)), F.array_max(e)))
+        return let(n, lambda n: F.struct(x["kind"], x["s"], (x["s"] + n).alias("e"), F.substring(m, F.lit(1), n).alias("m"), x["before"]))
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.when(x["s"] < acc["e"], acc).otherwise(F.struct(x["e"].alias("e"), F.concat(acc["out"], F.array(x)).cast(SPANS).alias("out")))
+
+    passed = F.filter(F.transform(spans, cut), lambda x: x["e"].isNotNull()).cast(SPANS)
+    return F.aggregate(passed, F.struct(F.lit(0).alias("e"), no_spans().alias("out")), add, lambda acc: acc["out"])
+
+
 def score(x: Column) -> Column:
     """Validated spans start at their kind's score; a context word for or against it moves that."""
     out = F.lit(0.0)
@@ -97,7 +137,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
         "ip": F.filter(find_spans(t, "ip", IP, t.rlike(r"[0-9]\.[0-9]")), lambda x: x["m"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
         "card": F.filter(find_spans(t, "card", CARD, digit), lambda x: luhn_ok(x["m"])),
         "phone": F.filter(find_spans(t, "phone", PHONE, t.contains("+")), length_between(9, 15)),
-        "iban": F.filter(find_spans(t, "iban", IBAN, digit), lambda x: mod97_ok(x["m"])),
+        "iban": account_numbers(find_spans(t, "iban", IBAN, digit, ahead=True)),
     }
     scored = docs.withColumn("_pii", F.concat(*[found[k] for k in KINDS]).cast(SPANS))
     kept = F.filter(

@@ -20,30 +20,39 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def find_spans(text: Column, kind: str, pattern: str, needs: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches in order. ``needs`` is a cheap condition without which nothing matches."""
+def last_chars(text: Column) -> Column:
+    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
+def find_spans(text: Column, kind: str, pattern: str, needs: Column | None = None, ahead: bool = False) -> Column:
+    """Leftmost non-overlapping matches in order. ``needs`` is a cheap condition without which nothing matches. With
+    ``ahead``, what group 1 of the pattern sees ahead of the match is added to the span, so spans may overlap."""
+    heads = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    tails = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if ahead else F.transform(heads, lambda _: F.lit(""))
     pairs = F.zip_with(
         F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")),
+        F.zip_with(heads, tails, lambda m, tail: F.struct(m.alias("m"), tail.alias("tail"))),
+        lambda gap, x: F.struct(gap.alias("gap"), x["m"].alias("m"), x["tail"].alias("tail")),
     )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["m"])
+        before = last_chars(F.concat(acc["seen"], last_chars(x["gap"])))
         span = F.struct(
             F.lit(kind).alias("kind"),
             start.cast("int").alias("s"),
-            end.cast("int").alias("e"),
-            x["m"].alias("m"),
-            F.substring(x["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
+            (end + F.length(x["tail"])).cast("int").alias("e"),
+            F.concat(x["m"], x["tail"]).alias("m"),
+            before.alias("before"),
         )
-        return F.struct(end.cast("int").alias("pos"), F.concat(acc["out"], F.array(span)).cast(SPANS).alias("out"))
+        seen = last_chars(F.concat(before, last_chars(x["m"])))
+        return F.struct(end.cast("int").alias("pos"), seen.alias("seen"), F.concat(acc["out"], F.array(span)).cast(SPANS).alias("out"))
 
     # Without the gap after the last match, both arrays are equally long.
     whole = F.aggregate(
         F.filter(pairs, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), no_spans().alias("out")),
+        F.struct(F.lit(0).alias("pos"), F.lit("").alias("seen"), no_spans().alias("out")),
         step,
         lambda acc: acc["out"],
     )
