@@ -2,59 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side that has been counted is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+from pagewright.tables import drop_saved, is_small, rows_of, saved, scratch_dir, small_side, workspace
 
-_own_scratch: list[str] = []
-_written: list[str] = []
+__all__ = ["drop_saved", "free_name", "in_steps", "is_small", "let", "rows_of", "saved", "scratch_dir", "small_side", "text_hash", "text_or_empty", "workspace"]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where that is unset, a local one is made."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _own_scratch:
-        _own_scratch.append(tempfile.mkdtemp(prefix="spark-scratch-"))
-    return _own_scratch[0]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
 
 
-def drop_saved(spark: SparkSession) -> int:
-    """Delete the tables that ``saved`` wrote in this process, once no result needs them; returns how many."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
+def text_hash(text: str = "text") -> Column:
+    """128 bits of a cryptographic hash that stand for a text; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(text_or_empty(text), 256), 1, 32))
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows stay within ``limit``, else unchanged (shuffle join)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def free_name(df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    name = "_own"
+    while name in df.columns:
+        name += "_"
+    return name
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
+def in_steps(df: DataFrame, steps: dict[str, Callable[[Callable[[str], Column]], Column]], out: str) -> DataFrame:
+    """``df`` with column ``out``: the last of ``steps``, each of which may look at the columns of earlier ones by name.
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    Deep expressions take the analyzer many rounds; one step at a time takes few, and the optimizer joins them again.
+    """
+    own = free_name(df)
+    now = df
+    for name, step in steps.items():
+        now = now.withColumn(f"{own}{name}", step(lambda other: F.col(f"{own}{other}")))
+    return now.withColumn(out, F.col(f"{own}{name}")).drop(*[f"{own}{name}" for name in steps])

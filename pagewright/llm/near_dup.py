@@ -5,19 +5,24 @@ Jaccard of two multisets; texts of 0.8 or more are linked, and classes are what
 
 Work and data movement:
 
-* identical texts meet first, on a hash of the text, with map-side combining, so a huge group of copies is one node;
+* identical texts meet first, on 128 bits of a hash of the text, with map-side combining, so a huge group of copies is
+  one node; from then on nodes are texts, not ids, and have a number of their own;
 * signatures need no shuffle; bands move as (key, node) pairs, and only keys with two nodes or more go on;
 * in each bucket every node is compared with the bucket's lowest node only. In buckets that still hold several
   classes, nodes are dropped whose shingles are their own by more than a similarity of 0.8 allows (exact, from
   counts of shingles), the rest is compared with the bucket's most typical node, and those pairs of *different*
-  classes are compared too that what they share with it and with others leaves possible. So no link between classes that share a bucket is lost, while the pairs
-  inside a class are never spelled out;
-* hot keys meet in joins of two plain exchanges, which adaptive execution splits.
+  classes are compared too that what they share with it and with others, and their sizes, leave possible. So no link
+  between classes that share a bucket is lost, while the pairs inside a class are never spelled out;
+* texts of candidates move once. They meet their pairs by broadcast where their measured bytes allow it; beyond, each
+  text goes to as many of ``SLOTS`` places as its partners fall into, so a node met by many is not one task's;
+* every step works on classes found so far: the later ones join whole classes, not nodes.
 
 Signatures miss a pair of exactly 0.8 with chance (1 - 0.8**ROWS)**BANDS, about 6e-5, and closer pairs less.
 
-Null text counts as empty; texts without words are linked to identical texts only. A null doc_id gets a null
-class. Rows with one id and different texts join their classes. An empty table gives an empty result.
+Null text counts as empty; texts without words are linked to identical texts only. A class is named by its lowest
+doc_id, which is null if all its ids are, and kept in the document of that id (of the least text hash, if several have
+it). Rows with one id and different texts join their classes; rows equal in id and text are alike. An empty table
+gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,15 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import saved, small_side, text_or_empty
+from pagewright.llm.common import free_name, is_small, rows_of, saved, small_side, text_hash, text_or_empty, workspace
 from pagewright.llm.wordscan import Texts, grams, inside, mix, row_index, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 POINTS_MARGIN = 4.6
+#: Places that the pairs of one node are dealt to, by their other node.
+SLOTS = 256
+#: Bytes of candidates' texts up to which they are broadcast to their pairs.
+TEXT_BYTES = 32 << 20
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 
@@ -123,7 +132,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """node (doc_id), h (hash of the text), size (number of shingles), keys (band keys; empty without words)."""
+    """doc_id, h (hash of the text), size (number of shingles), keys (band keys; empty without words)."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +144,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 full = size > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(size.astype(np.int64)), lists], ["node", "h", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(size.astype(np.int64)), lists], ["doc_id", "h", "size", "keys"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.sha2(text_or_empty(), 256).alias("h"), "text")
-    return source.mapInArrow(run, "node bigint, h string, size bigint, keys array<bigint>")
+    source = docs.select(F.col("doc_id").cast("long"), text_hash().alias("h"), "text")
+    return source.mapInArrow(run, "doc_id bigint, h binary, size bigint, keys array<bigint>")
 
 
 def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,29 +165,31 @@ def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarr
     return shared.astype(np.int64), shared / np.maximum(sizes - shared, 1)
 
 
-def measured(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) with their shared shingles, and whether they are linked. Only texts of documents in pairs move."""
-    pairs = saved(pairs)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = saved(docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(small_side(saved(needed)), "node", "left_semi").dropDuplicates(["node"]))
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ra, rb: nodes and their classes; a saved table) with their shared shingles, and whether they are
+    linked. ``texts`` (node, text) is a saved table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a", 1 << 20):
                 shared, close = overlaps(part.column("text_a"), part.column("text_b"))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(shared), pa.array(close >= similarity)], ["a", "b", "shared", "linked"])
-
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, shared bigint, linked boolean")
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (a, b)."""
-    return measured(pairs, docs).where("linked").select("a", "b")
-
-
-def own_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(shared), pa.array(close >= SIMILARITY)], ["a", "b", "ra", "rb", "shared", "linked"])
+
+    if is_small(texts, TEXT_BYTES):
+        tasks = max(1, min(4 * pairs.sparkSession.sparkContext.defaultParallelism, rows_of(pairs) // 256))
+        left, right = (F.broadcast(texts.toDF(side, f"text_{side}")) for side in "ab")
+        both = pairs.repartition(tasks).join(left, "a").join(right, "b")
+    else:
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+        dealt = pairs.select("*", slot("b").alias("slot_a"), slot("a").alias("slot_b"))
+        ends = dealt.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("slot_a").alias("slot")), F.struct(F.col("b").alias("node"), F.col("slot_b").alias("slot")))).alias("x")).select("x.*").distinct()
+        held = saved(texts.join(small_side(saved(ends)), "node").select("node", "slot", "text"))
+        left, right = (held.toDF(side, f"slot_{side}", f"text_{side}") for side in "ab")
+        both = dealt.join(left, ["a", "slot_a"]).join(right, ["b", "slot_b"])
+    return both.select("a", "b", "ra", "rb", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint, shared bigint, linked boolean")
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
     """node, own: how many of its shingles (the second of a kind counted apart from the first) no other node has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,89 +200,155 @@ def own_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 each = mix(np.repeat(h, count) + rank.astype(U) * GOLD)
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(row, count))), pa.array(each.view(np.int64))], ["node", "shingle"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_side(nodes), "node", "left_semi").dropDuplicates(["node"])
-    held = texts.mapInArrow(run, "node bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    held = texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     return held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): lowest node of each connected component, for nodes with an edge; alternating star contraction."""
+    """(node, root) for nodes with an edge (a, b); one root for each connected component.
+
+    Each round hooks every node to the first of itself and its neighbours, in an order shuffled for the round, and joins
+    the edges' ends to that: the last node of a component goes at least, and a constant share of the nodes as a rule.
+    A hub costs nothing extra: minima are combined before they move.
+    """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    mark = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        mark = seen
-
-
-def close_sizes(a: str, b: str):
+    labels, turn = None, 0
+    while n := rows_of(now):
+        turn += 1
+        order = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: E731, B023  a bijection of longs
+        up = now.union(now.select("v", "u")).groupBy("u").agg(F.min_by("v", order("v")).alias("m"))
+        up = saved(up.select("u", F.when(order("u") < order("m"), F.col("u")).otherwise(F.col("m")).alias("m")), 2 * n)
+        to = lambda end, name: small_side(up.toDF(end, name), size_of=up)  # noqa: E731, B023
+        moved = now.join(to("u", "a"), "u").join(to("v", "b"), "v").where("a != b")
+        now = saved(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
+        if labels is None:
+            labels = up
+        else:
+            labels = labels.join(to("m", "next"), "m", "left").select("u", F.coalesce("next", "m").alias("m"))
+    return saved((now if labels is None else labels).toDF("node", "root"))
+
+
+def close_sizes(a: str, b: str) -> Column:
     """Texts reach the similarity only if the smaller has that share of the larger's shingles."""
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (lowest doc_id of its class), kept (true for that document)."""
-    sig = saved(signatures(docs))
-    nodes = saved(sig.where("node is not null").groupBy("h").agg(F.min("node").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    exploded = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = saved(exploded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("key", F.col("low.node").alias("low"), F.col("low.size").alias("low_size")))
-    members = saved(exploded.join(small_side(shared), "key"))
-
-    tested = saved(members.where("node > low").where(close_sizes("size", "low_size")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    # A doc_id that stands for several different texts links them.
-    same_id = sig.join(nodes.select("h", F.col("node").alias("rep")), "h").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    aliases = same_id.join(nodes.select(F.col("node").alias("b")), "b").select("a", "b").distinct()
-    edges = saved(verified(tested, docs).union(aliases))
-    root = saved(components(edges))
-
-    def mixed(nodes_in: DataFrame, root: DataFrame, least: int = 3) -> DataFrame:
-        """The rows of buckets that hold several classes and ``least`` nodes or more: three where one of them was compared with all."""
-        placed = saved(nodes_in.join(small_side(root), "node", "left").withColumn("root", F.coalesce("root", "node")))
-        several = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where(f"r1 != r2 and n >= {least}").select("key")
-        return saved(placed.join(small_side(saved(several)), "key", "left_semi"))
-
-    some = mixed(members.select("key", "node", "size"), root)
-    own = saved(own_shingles(saved(some.select("node").distinct()), docs))
-    able = some.drop("root").join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
-    # The lowest node may be gone now, so the last two of a bucket need not have been compared.
-    some = mixed(saved(able), root, least=2)
-    typical = saved(some.groupBy("key").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), F.col("node"))).alias("t")).select("key", F.col("t.node").alias("t")))
-    held = saved(some.join(small_side(typical), "key").select("key", "node", "size", "common", "t"))
-    star = saved(measured(held.where("node != t").select(F.col("t").alias("a"), F.col("node").alias("b")).distinct(), docs))
-    edges = saved(edges.union(star.where("linked").select("a", "b")))
-    root = saved(components(edges))
+def placed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column``, a node or class, replaced by its root in ``roots``, if it has one."""
+    at = small_side(roots.toDF(column, "_root"), size_of=roots)
+    return rows.join(at, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+
+
+def mixed(rows: DataFrame, more_than: int = 1) -> DataFrame:
+    """The rows of keys that hold several classes and more than so many nodes."""
+    several = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"))
+    return saved(rows.join(small_side(saved(several.where(f"r1 != r2 and n > {more_than}").select("key"))), "key", "left_semi"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    return pairs.where("linked and ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def several_texts(sig: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of ids that stand for different texts."""
+    hashed = F.xxhash64("h")
+    ids = saved(sig.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("h1"), F.max(hashed).alias("h2")).where("h1 != h2").select("doc_id"))
+    if not rows_of(ids):
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    held = sig.select("doc_id", "h").join(small_side(ids), "doc_id").distinct().join(nodes.select("h", "node"), "h").select("doc_id", "node")
+    held = saved(held)
+    return held.join(held.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+
+
+def rest_of(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Roots of the links that comparing with the lowest node left out, to be applied in turn: classes of classes.
+
+    ``members``: key, node, size, root (the class so far)."""
+    some = mixed(members, 2)  # of two, one was compared with the other
+    if not rows_of(some):
+        return []
+    own = saved(own_shingles(texts.join(small_side(some.select("node"), size_of=some), "node", "left_semi")))
+    able = some.join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
+    typical = able.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct((F.col("size") - F.col("common")).alias("own"), "node", "root")).alias("t"))
+    typical = saved(typical.where("r1 != r2").select("key", F.col("t.node").alias("t"), F.col("t.root").alias("t_root")))
+    if not rows_of(typical):
+        return []
+    held = saved(able.join(small_side(typical), "key"))
+    pairs = saved(held.where("node != t").select(F.col("t").alias("a"), F.col("node").alias("b"), F.col("t_root").alias("ra"), F.col("root").alias("rb")).distinct())
+    star = saved(measured(pairs, texts))
+    roots = components(linked(star))
 
     # Shared with the typical node, and at most shared otherwise, for each node of a bucket.
-    known = held.join(star.select(F.col("a").alias("t"), F.col("b").alias("node"), "shared"), ["t", "node"], "left").withColumn("shared", F.coalesce("shared", "size"))
-    some = mixed(saved(known.withColumn("other", F.col("common") - F.col("shared")).drop("t")), root)
-    left, right = (some.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "common", "shared", "other", "root")]) for side in "ab")
+    met = small_side(star.select(F.col("a").alias("t"), F.col("b").alias("node"), "shared"), size_of=star)
+    known = held.join(met, ["t", "node"], "left").withColumn("shared", F.coalesce("shared", "size")).withColumn("other", F.col("common") - F.col("shared"))
+    some = mixed(placed(known.where("node != t").drop("t", "t_root"), roots, "root"))
+    if not rows_of(some):
+        return [roots]
+    # Sizes that may be close lie in the same band or in neighbouring ones.
+    band = F.floor(F.log("size") / np.log(1.01 / SIMILARITY))
+    left, right = (some.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "common", "shared", "other", "root")], at.alias("band")) for side, at in (("a", F.explode(F.array(band - 1, band, band + 1))), ("b", band)))
     most = F.least(F.least("common_a", "common_b"), F.least("shared_a", "shared_b") + F.least("other_a", "other_b"))
     reach = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b")) - 1e-6
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & reach & close_sizes("size_a", "size_b"))
-    done = tested.union(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    rest = saved(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        root = saved(components(edges.union(verified(rest, docs))))
+    both = left.join(right, ["key", "band"]).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & reach & close_sizes("size_a", "size_b"))
+    pairs = saved(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb")).distinct())
+    return [roots, components(linked(measured(pairs, texts)))] if rows_of(pairs) else [roots]
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``, as a saved table: doc_id, h (hash of the text), class_id and kept."""
+    with workspace(docs.sparkSession) as keep:
+        sig = saved(signatures(docs))
+        nodes = sig.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+        nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
+        exploded = nodes.select("node", "size", F.explode("keys").alias("key"))
+        shared = saved(exploded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("key", F.col("low.node").alias("low"), F.col("low.size").alias("low_size")))
+        members = saved(exploded.join(small_side(shared), "key"))
+        met = saved(nodes.select("h", "doc", "node").join(small_side(saved(members.select("node").distinct())), "node", "left_semi"))
+        # One row of each text, or the rows alike in id and text.
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), text_or_empty().alias("text"))
+        there = own.join(small_side(met.withColumnRenamed("h", "of"), size_of=met), (F.col("h") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("doc")))
+        texts = saved(there.groupBy("node").agg(F.first("text").alias("text")))
+
+        pairs = members.where("node > low").where(close_sizes("size", "low_size")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+        star = measured(saved(pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))), texts)
+        roots = [components(linked(star).union(several_texts(sig, nodes)))]
+        roots += rest_of(placed(members.select("key", "node", "size", F.col("node").alias("root")), roots[0], "root"), texts)
+
+        named = nodes.select("h", "copies", "doc", F.col("node").alias("root"))
+        for r in roots:
+            named = placed(named, r, "root")
+        named = saved(named)
+        best = named.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "h")).alias("best")).where("n > 1")
+        best = saved(best.select("root", F.col("best.doc").alias("class_id"), F.col("best.h").alias("at")))
+        # Rows without copies or links stand for themselves and need not be looked up.
+        found = named.join(small_side(best), "root", "left").where("copies > 1 or at is not null")
+        found = saved(found.select("h", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("at", "h").alias("at"), F.lit(True).alias("found")))
+        out = sig.select("doc_id", "h").join(small_side(found), "h", "left")
+        kept = F.when(F.col("found"), (F.col("at") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).otherwise(True)
+        out = saved(out.select("doc_id", "h", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), kept.alias("kept")))
+        keep.append(out)
+    return out
+
 
-    classes = saved(nodes.select("h", "node").join(small_side(root), "node", "left").select("h", F.coalesce("root", "node").alias("class_id")))
-    out = sig.select(F.col("node").alias("doc_id"), "h").join(small_side(classes), "h", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (lowest doc_id of its class), kept (true for that document)."""
+    return classified(docs).select("doc_id", "class_id", "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class. Only ids are looked up; texts stay where they are unless more
-    documents go than a broadcast may hold, or ids repeat."""
-    judged = saved(near_duplicates(docs))
-    gone = saved(judged.where("not kept").select("doc_id").distinct())
-    left = docs.join(small_side(gone), "doc_id", "left_anti")
-    again = saved(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    return left.join(small_side(again), "doc_id", "left_anti").unionByName(left.join(small_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that stand for their class, one for each. Ids and text hashes are looked up; texts stay
+    where they are unless more go than a broadcast may hold, or rows are alike in id and text."""
+    judged = classified(docs)
+    gone = saved(judged.where("not kept").select("doc_id", "h").distinct())
+    again = saved(judged.where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "h"))
+    h = free_name(docs)
+    own = docs.withColumn(h, text_hash())
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        at = small_side(keys.toDF("_id", "_of"), size_of=keys)
+        return rows.join(at, (rows[h] == at["_of"]) & rows["doc_id"].cast("long").eqNullSafe(at["_id"]), how)
+
+    left = among(own, gone, "left_anti")
+    if rows_of(again):
+        left = among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates(["doc_id", h]))
+    return left.drop(h)

@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from pagewright.llm.near_dup import bag_signatures, multisets, near_duplicates, overlaps, shingles
+from pyspark.sql import functions as F
+
+from pagewright.llm.near_dup import bag_signatures, components, multisets, near_duplicates, one_of_each, overlaps, shingles
 from pagewright.llm.wordscan import Texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,9 +72,9 @@ def test_classes_on_documents(spark):
 
 
 def test_odd_tables(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "z"), (None, "z")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.kept) for r in near_duplicates(df).collect()), key=str)
-    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (None, None, True)]
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (None, 1, False), (None, None, True), (None, None, True)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
 
 
@@ -127,3 +129,34 @@ def test_two_close_texts_in_a_hot_bucket(spark):
     expected = brute(rows)
     assert expected[201] == 200 and len(set(expected.values())) == 201
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
+
+
+def test_one_id_with_two_texts(spark):
+    """Links found through either text of an id hold, on every run; its texts share a class."""
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (7, "alone " * 9), (None, b), (8, a), (8, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted({(r.doc_id, r.class_id) for r in near_duplicates(df).collect()}, key=str)
+    assert got == [(1, 1), (5, 1), (6, 1), (7, 7), (8, 1), (None, 1)]
+    left = one_of_each(df.withColumn("h", F.lit(0)).withColumn("_h", F.lit(1))).collect()
+    assert sorted(r.doc_id for r in left) == [1, 7] and left[0].asDict().keys() == {"doc_id", "text", "h", "_h"}
+    alike = spark.createDataFrame([(4, a), (4, a), (None, b), (None, b)], "doc_id long, text string")
+    assert sorted((r.doc_id for r in one_of_each(alike).collect()), key=str) == [4, None]
+
+
+def test_texts_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("pagewright.llm.near_dup.TEXT_BYTES", 0)
+    monkeypatch.setattr("pagewright.llm.near_dup.SLOTS", 3)
+    rows = [(i, t) for i, t in chains(21) if t][:120]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 200), (7, 7)]
+    got = {}
+    for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert all(root in nodes for root, nodes in got.items())
+    assert sorted(got.values(), key=min) == [set(range(61)), set(range(100, 140)), {200, 201}]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
