@@ -3,6 +3,10 @@
 One pass over the texts gives a narrow feature table, written once; votes have at most 3**rules patterns, whose
 counts over all documents are all that EM sees, so the driver holds a few thousand numbers at any corpus size.
 
+Rules look at overlapping sides of a text, so most defects draw several votes. A rule's rates of bad votes on bad and
+on good documents are free: they come from the company its votes keep, with a prior worth ``PRIOR_DOCS`` documents.
+So one bad vote of a rule that errs often is outvoted, and two mild ones may decide.
+
 Null or empty text has no words and fails the base rule. Repeated rows are judged alike; an empty table gives an
 empty result; further columns are not looked at.
 """
@@ -16,37 +20,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import saved
-from pagewright.llm.wordscan import SPACE, Texts, grams, inside, mix, row_index, slices, sum_by_row
+from pagewright.llm.common import saved, workspace
+from pagewright.llm.wordscan import SPACE, Texts, gram_ids, inside, row_index, slices, span_ids, sum_by_row
 
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_distinct"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_distinct", "n_letters", "n_upper", "n_ends"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: A rule votes bad (0) beyond its first bound, good (1) within the second, and abstains between.
+#: A rule votes bad (0) on the first condition, good (1) on the second, and abstains on neither.
 RULES = {
-    "length": lambda: _vote(F.col("n_words") < 50, F.col("n_words") >= 80),
-    "word_size": lambda: _vote(~_share("word_chars", "n_words").between(2.5, 14.0), _share("word_chars", "n_words").between(3.0, 11.0)),
-    "symbols": lambda: _vote(_share("n_symbols", "word_chars") > 0.10, _share("n_symbols", "word_chars") < 0.02),
-    # One rule for the ways to repeat: rules that err together would count as several witnesses.
-    "repetition": lambda: _vote(
-        (_share("n_repeat_words", "n_words") > 0.50) | ((F.col("n_dup_lines") > 5) & (_share("n_dup_lines", "n_lines") > 0.30)) | (_share("n_distinct", "n_words") < 0.05),
-        (_share("n_repeat_words", "n_words") < 0.30) & (_share("n_dup_lines", "n_lines") < 0.15) & (_share("n_distinct", "n_words") > 0.10),
-    ),
-    "digits": lambda: _vote(_share("n_digits", "word_chars") > 0.30, _share("n_digits", "word_chars") < 0.10),
+    "length": lambda: _vote(F.col("n_words") < 40, F.col("n_words") >= 120),
+    "word_size": lambda: _vote(~_share("word_chars", "n_words").between(3.8, 7.0), _share("word_chars", "n_words").between(4.4, 6.0)),
+    "symbols": lambda: _vote(_share("n_symbols", "word_chars") > 0.04, _share("n_symbols", "word_chars") < 0.005),
+    "letters": lambda: _vote(_share("n_letters", "word_chars") < 0.88, _share("n_letters", "word_chars") > 0.93),
+    "digits": lambda: _vote(_share("n_digits", "word_chars") > 0.15, _share("n_digits", "word_chars") < 0.03),
+    "windows": lambda: _vote(_share("n_repeat_words", "n_words") > 0.25, _share("n_repeat_words", "n_words") < 0.05),
+    "vocabulary": lambda: _vote(_share("n_distinct", "n_words") < 0.40, _share("n_distinct", "n_words") > 0.55),
+    "lines": lambda: _when_enough("n_lines", 4, _share("n_dup_lines", "n_lines") > 0.20, _share("n_dup_lines", "n_lines") < 0.05),
+    "sentences": lambda: _when_enough("n_words", 40, _share("n_ends", "n_words") < 0.01, _share("n_ends", "n_words").between(0.03, 0.25)),
+    "capitals": lambda: _when_enough("n_letters", 100, ~_share("n_upper", "n_letters").between(0.002, 0.20), _share("n_upper", "n_letters").between(0.008, 0.10)),
 }
-#: A rule's accuracy has two sides: how often it votes bad on bad and on good documents. EM starts from these rates
-#: and leans on them with a share of each class, at any size of corpus: the defects hardly ever meet in one document,
-#: and without that weight EM would explain them by one large class of all kinds. Rules rarely err on good documents.
-BAD_RATE = {"bad": 0.35, "good": 0.001}
-PRIOR_SHARE, PRIOR_DOCS = 0.3, 2
-RATE_BOUNDS = {"bad": (0.02, 0.97), "good": (0.0002, 0.005)}
-PRIOR_BOUNDS, ROUNDS = (0.05, 0.95), 200
+#: Where EM starts and what it leans on where votes are few: how often a rule votes bad on bad and on good documents,
+#: and how much of a corpus is good. The leaning is worth so many documents, at any size.
+BAD_RATE = {"bad": 0.4, "good": 0.05}
+GOOD_SHARE, PRIOR_DOCS = 0.9, 10
+#: Start of the posterior by number of bad votes: one says little.
+START = (0.98, 0.7, 0.1)
+ROUNDS = 500
 MIN_PROBABILITY = 0.5
 
-SYMBOL = np.zeros(256, bool)
-SYMBOL[list(b"#*$%&|<>")] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[48:58] = True
+
+def _table(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+SYMBOL, DIGIT, ENDS = _table(b"#*$%&|<>"), _table(bytes(range(48, 58))), _table(b".!?")
+UPPER = _table(bytes(range(65, 91)))
+#: ASCII letters, and first bytes of all characters beyond ASCII.
+LETTER = UPPER | _table(bytes(range(97, 123))) | _table(bytes(range(0xC0, 0x100)))
 
 
 def _share(a: str, b: str) -> Column:
@@ -57,6 +69,11 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, 0).when(good, 1).otherwise(-1)
 
 
+def _when_enough(what: str, least: int, bad: Column, good: Column) -> Column:
+    """A vote on texts with enough to judge by, else none."""
+    return F.when(F.col(what) >= least, _vote(bad, good)).otherwise(-1)
+
+
 def _repeats(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     ordered = np.sort(keys)
@@ -74,20 +91,19 @@ def measure(arr: pa.Array) -> dict[str, np.ndarray]:
     n_words = np.diff(off)
     solid = ~SPACE[t.bytes]
     per_row = lambda flags: sum_by_row(flags.astype(np.int64), t.edges)
-    h = t.hashes(starts, ends)
-    row = row_index(off)
-    salt = mix(np.arange(t.n, dtype=np.uint64) + np.uint64(1))
-    first = np.unique(h ^ salt[row], return_index=True)[1]
+    ids, row = span_ids(t, starts, ends), row_index(off)
+    own = lambda number, rows: number * t.n + rows  # noqa: E731  a number within its row
+    first = np.unique(own(ids, row), return_index=True)[1]
     ok = inside(off, 3)
-    covered = np.zeros(len(h), bool)
+    covered = np.zeros(len(ids), bool)
     if ok.any():
         at = np.flatnonzero(ok)
-        twice = at[_repeats(grams(h, 3)[at] ^ salt[row[at]])]
+        twice = at[_repeats(own(gram_ids(ids, 3)[at], row[at]))]
         for d in range(3):
             covered[twice + d] = True
     l_start, l_end, l_off = t.lines()
     has_word = np.searchsorted(starts, l_end) > np.searchsorted(starts, l_start)
-    keys = (t.hashes(l_start, l_end) ^ salt[row_index(l_off)])[has_word]
+    keys = own(span_ids(t, l_start, l_end), row_index(l_off))[has_word]
     again = np.ones(len(keys), bool)
     again[np.unique(keys, return_index=True)[1]] = False
     line_rows = row_index(l_off)[has_word]
@@ -100,6 +116,9 @@ def measure(arr: pa.Array) -> dict[str, np.ndarray]:
         "n_lines": np.bincount(line_rows, minlength=t.n),
         "n_digits": per_row(DIGIT[t.bytes]),
         "n_distinct": np.bincount(row[first], minlength=t.n),
+        "n_letters": per_row(LETTER[t.bytes]),
+        "n_upper": per_row(UPPER[t.bytes]),
+        "n_ends": per_row(ENDS[t.bytes]),
     }
 
 
@@ -123,21 +142,20 @@ def voted(features: DataFrame) -> DataFrame:
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, np.ndarray]:
     """EM over counted vote patterns: prior of good, and per rule the rates of a bad vote on (bad, good) documents."""
-    rates = np.tile([BAD_RATE["bad"], BAD_RATE["good"]], (n_rules, 1))
+    lean = np.array([BAD_RATE["bad"], BAD_RATE["good"]])
+    rates = np.tile(lean, (n_rules, 1))
     if not patterns:
-        return 0.5, rates
+        return GOOD_SHARE, rates
     v = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
     voted, bad = v >= 0, v == 0
-    q = np.where(bad.any(1), 0.02, 0.98)
-    prior = 0.5
+    q = np.array(START)[np.minimum(bad.sum(1), len(START) - 1)]
+    prior = GOOD_SHARE
     for _ in range(ROUNDS):
-        prior = float(np.clip((q * n).sum() / n.sum(), *PRIOR_BOUNDS))
-        for side, (name, share) in enumerate((("bad", 1 - q), ("good", q))):
+        prior = float(((q * n).sum() + GOOD_SHARE * PRIOR_DOCS) / (n.sum() + PRIOR_DOCS))
+        for side, share in enumerate((1 - q, q)):
             w = (share * n)[:, None]
-            mass = (w * voted).sum(0)
-            lean = PRIOR_SHARE * mass + PRIOR_DOCS
-            rates[:, side] = np.clip(((w * bad).sum(0) + BAD_RATE[name] * lean) / (mass + lean), *RATE_BOUNDS[name])
+            rates[:, side] = ((w * bad).sum(0) + lean[side] * PRIOR_DOCS) / ((w * voted).sum(0) + PRIOR_DOCS)
         new = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + evidence(rates, voted, bad))))
         moved, q = abs(new - q).max(), new
         if moved < 1e-9:
@@ -178,7 +196,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; texts are measured twice and never move."""
-    model = learn(saved(with_features(docs.select("text")).drop("text")))
+    with workspace(docs.sparkSession):
+        model = learn(saved(with_features(docs.select("text")).drop("text")))
     own = docs.toDF(*[f"_{c}" for c in docs.columns])  # no column of the rows meets a feature's name
     return scored(with_features(own, "_text"), model).where("kept").select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
 

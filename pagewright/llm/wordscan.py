@@ -1,7 +1,8 @@
 """Vectorised work on words, lines and their hashes in Arrow batches.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. A span's hash is a polynomial over its bytes, taken from
-running sums, then mixed; sequences of words hash the same way over their words' hashes. Everything works on
+running sums, then mixed; sequences of words hash the same way over their words' hashes. Such hashes only say where
+to look: equality is settled by ``span_ids`` and ``gram_ids``, which number spans by their bytes. Everything works on
 slices of a few megabytes, so memory stays flat however long a batch is; a single longer text is one slice.
 """
 
@@ -104,6 +105,42 @@ class Texts:
         return mix((at_end - at_start) * back + (ends - starts).astype(U))
 
 
+def span_ids(t: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span (ascending, not overlapping): equal if and only if all bytes are."""
+    mark = np.zeros(len(t.bytes) + 1, np.int8)
+    full = ends > starts
+    mark[starts[full]] += 1
+    mark[ends[full]] -= 1  # where a span begins as another ends, the bytes of both are inside
+    data = t.bytes[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of values, equal if and only if both are; values are at least 0 and below 2**31."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return pa.array(a * (int(b.max()) + 1) + b).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def gram_ids(ids: np.ndarray, k: int) -> np.ndarray:
+    """A number for every ``k`` consecutive values of ``ids``, equal if and only if all values are."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out, done, part, size = None, 0, ids, 1
+    while True:  # binary parts of k: part numbers runs of ``size``
+        if k & size:
+            piece = part[done : done + n]
+            out = piece if out is None else paired(out, piece)
+            done += size
+        if size * 2 > k:
+            return out
+        part = paired(part[:-size], part[size:])
+        size *= 2
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` consecutive values of ``h``; rows are not looked at. Length len(h) - k + 1 or 0."""
     n = len(h) - k + 1
