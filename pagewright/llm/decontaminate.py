@@ -6,19 +6,22 @@ propose is then checked word by word, which settles hash collisions and finds wh
 Benchmark items shorter than a window are matched whole: a fingerprint over all their words.
 
 The documents are read three times (fingerprints, texts of candidates, word counts) and never shuffled while the
-benchmark's fingerprints and the candidates stay within a counted bound; beyond it both joins shuffle.
-
-Null text has no words: such documents are clean, such items occur nowhere. Items with one id count once. An empty
-benchmark leaves every document clean. Words: A-Z in lower case, runs of digits, a-z and anything beyond ASCII.
+benchmark's fingerprints and the candidates stay within a measured bound; beyond it both joins shuffle. The alignments
+of a document are gathered before its text meets them, so a text is split into words once, however many there are.
+
+Documents are told apart by id and text, null ids included, so rows that share an id are judged each by its own text.
+Null text has no words: such documents are clean, such items occur nowhere. Items with one id count once; those
+without an id count as one item, which hits words but has no name in the digest. An empty benchmark leaves every
+document clean, an empty table gives an empty result; further columns are not looked at. Words: A-Z in lower case,
+runs of digits, a-z and anything beyond ASCII.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagewright.llm.common import let, saved, small_side, text_or_empty
+from pagewright.llm.common import free_name, let, saved, small_side, text_hash, text_or_empty, workspace
 
 SPAN = 13
 GRAM = 5
@@ -81,46 +84,79 @@ def shared_runs(w: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(starts, F.array().cast(RUNS), grow)
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, s, e: ranges of document words that windows of the item cover."""
-    items = saved(benchmark.select("item_id", words(text_or_empty()).alias("item")).where("size(item) > 0"))
+def covered(runs: Column) -> Column:
+    """Number of places in the union of ``runs``."""
+    state = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def add(acc: Column, x: Column) -> Column:
+        new = F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["end"]))
+        return F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + new).alias("n"))
+
+    return F.aggregate(F.array_sort(runs), state, add, lambda acc: acc["n"])
+
+
+def same_document(docs: DataFrame, keys: DataFrame) -> Column:
+    """``keys`` has the columns did and dh; ``docs`` doc_id and h."""
+    return (docs["h"] == keys["dh"]) & docs["doc_id"].eqNullSafe(keys["did"])
+
+
+def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """did, dh, hits: for each document that shares a fingerprint, the items (id, words) with the places where word 0
+    of the item would lie in the document."""
+    items = benchmark.select("item_id", words(text_or_empty()).alias("item")).where("size(item) > 0")
+    items = saved(items.withColumn("no", F.monotonically_increasing_id()))
     lengths = items.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().collect()  # at most SPAN rows
     short = sorted(r["n"] for r in lengths if r["n"] < SPAN)
-    item_prints = saved(
-        items.select("item_id", F.explode(F.concat(fingerprints(F.col("item"), []), *[F.when(F.size("item") == k, fingerprints(F.col("item"), [k])).otherwise(F.array().cast("array<struct<fp:bigint,k:int,at:int>>")) for k in short])).alias("f"))
-        .select("item_id", "f.fp", "f.k", F.col("f.at").alias("item_at"))
-    )
-    prints = docs.select("doc_id", F.explode(let(words(text_or_empty()), lambda w: fingerprints(w, short))).alias("f")).select("doc_id", "f.fp", "f.k", "f.at")
-    met = saved(prints.join(small_side(item_prints), ["fp", "k"]).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-    wanted = small_side(met.select("doc_id").distinct())
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", words(text_or_empty()).alias("w"))
-    # The texts of candidates only; where these are few they are the side that stays put.
-    both = texts.join(small_side(met), "doc_id").join(small_side(items), "item_id")
-    return both.select("doc_id", "item_id", F.explode(shared_runs(F.col("w"), F.col("item"), F.col("shift"))).alias("r")).select("doc_id", "item_id", "r.s", "r.e")
+    whole = [F.when(F.size("item") == k, fingerprints(F.col("item"), [k])).otherwise(F.array().cast("array<struct<fp:bigint,k:int,at:int>>")) for k in short]
+    item_prints = saved(items.select("no", F.explode(F.concat(fingerprints(F.col("item"), []), *whole)).alias("f")).select("no", "f.fp", "f.k", F.col("f.at").alias("item_at")))
+    prints = docs.select("doc_id", "h", F.explode(let(words(F.col("text")), lambda w: fingerprints(w, short))).alias("f")).select("doc_id", "h", "f.fp", "f.k", "f.at")
+    met = prints.join(small_side(item_prints), ["fp", "k"]).groupBy("doc_id", "h", "no").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+    named = met.join(small_side(items), "no").select("doc_id", "h", F.struct("item_id", "item", "shifts").alias("hit"))
+    return named.groupBy(F.col("doc_id").alias("did"), F.col("h").alias("dh")).agg(F.collect_list("hit").alias("hits"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_hash().alias("h"), text_or_empty().alias("text"))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """did, dh, n_hit, items (their ids), contaminated: of the documents with a hit, as a saved table."""
+    with workspace(docs.sparkSession) as keep:
+        docs = keyed(docs)
+        met = saved(alignments(docs, benchmark))
+
+        def checked(w: Column, hits: Column) -> Column:
+            runs = lambda x: F.flatten(F.transform(x["shifts"], lambda shift: shared_runs(w, x["item"], shift)))
+            return F.filter(F.transform(hits, lambda x: F.struct(x["item_id"].alias("item_id"), runs(x).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
+
+        both = docs.join(small_side(met), same_document(docs, met))
+        found = both.select("did", "dh", let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), checked(w, F.col("hits")).alias("hits"))).alias("x")).where(F.size("x.hits") > 0)
+        n_hit = covered(F.flatten("x.hits.runs"))
+        found = found.select("did", "dh", F.col("x.n_words").alias("n_words"), n_hit.alias("n_hit"), F.array_distinct(F.col("x.hits.item_id").cast("array<string>")).alias("items"))
+        # Rows alike in id and text are judged alike.
+        out = saved(found.select("did", "dh", "n_hit", "items", (HIT_FACTOR * F.col("n_hit") >= F.col("n_words")).alias("contaminated")).dropDuplicates(["did", "dh"]))
+        keep.append(out)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    found = saved(occurrences(docs, benchmark).distinct())
-    before = F.max("e").over(Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(before, F.col("s"))))
-    per_doc = found.select("doc_id", "item_id", new.alias("new")).groupBy("doc_id").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    per_doc = saved(per_doc)
-    counted = docs.select("doc_id", F.size(words(text_or_empty())).cast("long").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    found = judged(docs, benchmark)
+    counted = keyed(docs).select("doc_id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return counted.join(small_side(per_doc), "doc_id", "left").select(
+    return counted.join(small_side(found), same_document(counted, found), "left").select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (HIT_FACTOR * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, by id."""
-    gone = saved(contamination(docs, benchmark).where("contaminated").select("doc_id").distinct())
-    return docs.join(small_side(gone), "doc_id", "left_anti")
+    """The rows of ``docs`` that are not contaminated, each judged by its own text."""
+    gone = saved(judged(docs, benchmark).where("contaminated").select("did", "dh"))
+    h = free_name(docs)
+    own = docs.withColumn(h, text_hash())
+    return own.join(small_side(gone), (own[h] == gone["dh"]) & own["doc_id"].eqNullSafe(gone["did"]), "left_anti").drop(h)

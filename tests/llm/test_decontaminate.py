@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from pagewright.llm.decontaminate import contamination
+from pagewright.llm.decontaminate import clean_documents, contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -80,3 +80,30 @@ def test_given_tables(spark):
 def test_empty_sides(spark):
     assert run(spark, [], [(1, "a b")]) == {}
     assert run(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
+
+
+def by_row(spark, docs, items):
+    d = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, h int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(d, b).collect()]
+    return rows, [(r.doc_id, r.text) for r in clean_documents(d, b).collect()]
+
+
+def test_rows_without_ids_or_with_one_id(spark):
+    """Each row is judged by its own text."""
+    item = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    docs = [(1, item), (None, item), (2, item), (2, item + " and " + other + " end"), (2, "clean text"), (None, "clean too"), (3, item), (3, item), (None, None)]
+    rows, clean = by_row(spark, docs, [(1, item), (1, other), (None, other[:60])])
+    want = []
+    for d, t in docs:
+        (x,) = brute([(d, t)], [(1, item), (1, other)]).values()
+        n_items = x[2] + ("v" in (t or ""))  # the item without an id counts, and has no name
+        want.append((d, x[0], x[1], n_items, x[3], x[4]))
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert sorted(clean, key=str) == sorted([(2, "clean text"), (None, "clean too"), (None, None)], key=str)
+
+
+def test_many_places_of_a_short_item(spark):
+    docs = [(1, "la " * 30_000 + "end"), (2, "no")]
+    assert run(spark, docs, [(1, "la"), (2, "la la"), (3, "end")]) == brute(docs, [(1, "la"), (2, "la la"), (3, "end")])
