@@ -8,12 +8,14 @@ neighbouring windows mostly share one. A maximal run of windows with one minimis
    window and go.
 3. The remaining super-k-mers are cut from their texts and travel as packed strings to their minimiser's bucket.
    A minimiser with more than ``BUCKET_ROWS`` of them gets several buckets, dealt by position.
-4. Each bucket sorts its windows; windows met twice are repeats. Split buckets also hand out one row per distinct
-   window, and those met in two buckets of a minimiser are repeats as well.
+4. Each bucket sorts its windows; windows met twice, by all their words' bytes, are repeats. Split buckets also hand
+   out one row per distinct window with a cryptographic digest, and those met in two buckets of a minimiser are
+   repeats as well.
 5. Covered word ranges go back to their documents, which keep the other words.
 
-Null text has no words. Rows equal in id and text count as one document, and each is returned. Documents of fewer
-words than a window keep all. An empty table gives an empty result; further columns are not looked at.
+Null text has no words. Each row is a document of its own: rows equal in id and text (or both without an id) repeat
+each other, and lose all words if they have a window. Documents of fewer words than a window keep all. An empty table
+gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import saved, small_side, text_or_empty
-from pagewright.llm.wordscan import Texts, grams, inside, mix, row_index, slices
+from pagewright.llm.common import saved, small_side, text_or_empty, workspace
+from pagewright.llm.wordscan import Texts, grams, inside, mix, row_index, slices, span_ids
 
 WINDOW, GRAM = 35, 8
 #: Windows in one super-k-mer at most, super-k-mers in one bucket about at most.
-RUN_WINDOWS, BUCKET_ROWS = 256, 4096
+RUN_WINDOWS, BUCKET_ROWS = 256, 1024
+#: End of a range that covers a whole document.
+ALL = 2**31 - 1
 CHUNK_BYTES = 4 << 20
 U = np.uint64
 PLACE_BITS = U(30)
-OTHER = U(0xA24BAED4963EE407)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -135,20 +138,19 @@ def count_windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     t = Texts(rows.column("packed").combine_chunks())
     s, e, off = t.words()
-    h = t.hashes(s, e)
     at = np.flatnonzero(inside(off, WINDOW))
     if not len(at):
         return
+    word = span_ids(t, s, e)
     row = row_index(off)[at]
     group = np.cumsum(np.concatenate([[0], (np.diff(mini) != 0) | (np.diff(bucket) != 0)]))
-    d1 = grams(h, WINDOW)[at]
-    key = d1 ^ mix(group[row].astype(U) + U(1))
+    key = grams(mix(word.astype(U) + U(1)), WINDOW)[at] ^ mix(group[row].astype(U) + U(1))
     order = np.argsort(key)
     ordered, place = key[order], at[order]
     again = ordered[1:] == ordered[:-1]
     pairs = np.flatnonzero(again)
-    for d in range(WINDOW):  # equal hashes count only if all words agree
-        again[pairs] &= h[place[pairs] + d] == h[place[pairs + 1] + d]
+    for d in range(WINDOW):  # equal hashes count only if all words are the same
+        again[pairs] &= word[place[pairs] + d] == word[place[pairs + 1] + d]
     twice = np.zeros(len(order), bool)
     twice[1:] |= again
     twice[:-1] |= again
@@ -169,8 +171,10 @@ def count_windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     if len(head):
         r = row[head]
         lo = start[r] + at[head] - off[r]
-        d2 = grams(mix(h ^ OTHER), WINDOW)[at[head]]
-        yield found(np.where(hot[head], OFTEN, ONCE), mini[r], d1[head], d2, did[r], rid[r], lo, lo + WINDOW)
+        spans = zip(s[at[head]].tolist(), e[at[head] + WINDOW - 1].tolist(), strict=True)  # packed words stand one space apart
+        data = t.bytes.tobytes()
+        digest = np.frombuffer(b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans), U).reshape(-1, 2)
+        yield found(np.where(hot[head], OFTEN, ONCE), mini[r], digest[:, 0].copy(), digest[:, 1].copy(), did[r], rid[r], lo, lo + WINDOW)
 
 
 def found(kind, mini, d1, d2, did, rid, lo, hi) -> pa.RecordBatch:
@@ -218,12 +222,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     across = split.groupBy("mini", "d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("mini", "d1", "d2")
     late = split.where(f"kind = {ONCE}").join(across, ["mini", "d1", "d2"])
     cols = ["did", "rid", "lo", "hi"]
-    return hits.where(f"kind = {RANGE}").select(cols).union(late.select(cols))
+    copies = keyed(docs).groupBy("did", "rid").agg(F.count("*").alias("c")).where("c > 1")
+    return hits.where(f"kind = {RANGE}").select(cols).union(late.select(cols)).union(copies.select("did", "rid", F.lit(0).alias("lo"), F.lit(ALL).alias("hi")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and ``kept``, the remaining words."""
-    ranges = saved(repeated_ranges(docs).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    with workspace(docs.sparkSession) as keep:
+        ranges = saved(repeated_ranges(docs).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+        keep.append(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +239,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 for text, cuts in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                     w = (text or "").encode().split()
                     total.append(len(w))
-                    if cuts:
+                    if cuts and len(w) >= WINDOW:
                         keep = np.ones(len(w), bool)
                         for c in cuts:
                             keep[c["lo"] : c["hi"]] = False
