@@ -1,6 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust a score.
 
-Built-in functions only, one narrow projection over the documents, no shuffle.
+A confirmed span starts at its kind's score; whole words for or against the kind within 48 characters on either side
+move it. The base kinds (email, ip, card, phone) are always kept, and carry their score. Account numbers and the loose
+kinds (telephone numbers without a country, national identity numbers, dates of birth) are kept from ``MIN_SCORE``:
+the former unless context speaks against them, the latter only where it speaks for them.
+
+Built-in functions only, one narrow projection over the documents, no shuffle. Work is linear in the text.
 
 Null text counts as empty and gives no spans; rows are independent, so ties, repeated rows, empty tables and
 further columns change nothing. Offsets are code points, ends exclusive.
@@ -11,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import let, text_or_empty
-from pagewright.llm.spans import SPANS, count_kind, find_spans, joined, no_spans
+from pagewright.llm.common import in_steps, let, text_or_empty
+from pagewright.llm.spans import SPANS, count_kind, find_spans, joined, running
 
-KINDS = ["email", "ip", "card", "phone", "iban"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "iban", "local_phone", "national_id", "birth"]
 
 # The proposing patterns. Possessive loops run without recursion, so long inputs are safe.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -35,25 +41,37 @@ IBAN_LENGTHS = (
     "TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 )
 
-#: Score of a span whose pattern and validator agree, before context; spans below ``MIN_SCORE`` go, base ones stay. With
-#: these values no account number falls below it: context moves scores and decides nothing.
-START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
+# A number in groups without a country, a nine-digit identity number in groups of 3, 2 and 4, a date.
+LOCAL_PHONE = r"(?<![0-9+.-])(?<![0-9+] )(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ /.-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,5}(?![0-9.-]*[0-9])"
+NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+NATIONAL_ID_OK = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+BIRTH = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9/-])"
+BIRTH_OK = r"^(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|[12][0-9]|3[01])[./](?:19|20)[0-9]{2})$"
+
+#: Score of a span whose pattern and validator agree, before context; what one side's words add or take; least score.
+START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.6, "local_phone": 0.3, "national_id": 0.4, "birth": 0.3}
 CONTEXT_STEP = 0.2
 MIN_SCORE = 0.5
-# Words before a span that speak for or against its kind.
+# Whole words near a span that speak for or against its kind, in lower case.
 FOR = {
-    "email": "mail|contact|correo|courriel",
+    "email": "e-?mail|mail|contact|correo|courriel",
     "ip": "ip|host|server|address|login",
-    "card": "card|visa|master|credit|payment|tarjeta|carte|karte",
-    "phone": "phone|tel|call|mobile|fax|contact",
+    "card": "card|visa|mastercard|credit|payment|tarjeta|carte|karte",
+    "phone": "phone|telephone|tel|call|mobile|fax|contact",
     "iban": "iban|account|bank|konto|cuenta|compte",
+    "local_phone": "phone|telephone|tel|call|mobile|fax|telefon|teléfono|téléphone",
+    "national_id": "ssn|social security|tax id|national id",
+    "birth": "born|birth|birthday|dob|geboren|nacido|nacida|née|né",
 }
 AGAINST = {
     "email": "example|noreply",
     "ip": "version|release|section",
     "card": "order|serial|isbn|tracking",
     "phone": "order|serial|isbn|tracking",
-    "iban": "serial|model|sku",
+    "iban": "serial|model|sku|example",
+    "local_phone": "order|serial|isbn|tracking|invoice",
+    "national_id": "order|serial|part|model|sku",
+    "birth": "published|released|version|deadline",
 }
 
 
@@ -105,58 +123,64 @@ def account_numbers(spans: Column) -> Column:
 
         ends = F.filter(F.sequence(F.lit(IBAN_LEAST), F.length(m)), fits)
         n = let(ends, lambda e: F.coalesce(F.array_max(F.filter(e, registered)), F.array_max(e)))
-        return let(n, lambda n: F.struct(x["kind"], x["s"], (x["s"] + n).alias("e"), F.substring(m, F.lit(1), n).alias("m"), x["before"]))
-
-    def add(acc: Column, x: Column) -> Column:
-        return F.when(x["s"] < acc["e"], acc).otherwise(F.struct(x["e"].alias("e"), F.concat(acc["out"], F.array(x)).cast(SPANS).alias("out")))
+        return let(n, lambda n: F.struct(x["kind"], x["s"], (x["s"] + n).alias("e"), F.substring(m, F.lit(1), n).alias("m"), x["before"], x["after"]))
 
     passed = F.filter(F.transform(spans, cut), lambda x: x["e"].isNotNull()).cast(SPANS)
-    return F.aggregate(passed, F.struct(F.lit(0).alias("e"), no_spans().alias("out")), add, lambda acc: acc["out"])
+    # A span that starts inside an earlier one goes, also where that one goes itself.
+    apart = lambda p: let(running(F.transform(p, lambda x: x["e"]), F.lit(0), lambda a, b: F.greatest(a, b)), lambda r: F.filter(p, lambda x, i: (i == 0) | (x["s"] >= r[F.greatest(i - 1, F.lit(0))])))
+    return let(passed, apart)
+
+
+def near(x: Column, words: str) -> Column:
+    """Whether one of ``words`` stands as a whole word before or after the span."""
+    return F.lower(F.concat_ws(" \n ", x["before"], x["after"])).rlike(rf"(?U)(?<![\w])(?:{words})(?![\w])")
 
 
 def score(x: Column) -> Column:
-    """Validated spans start at their kind's score; a context word for or against it moves that."""
+    """Validated spans start at their kind's score; context words for or against it move that."""
     out = F.lit(0.0)
     for k in KINDS:
-        near = F.lower(x["before"])
-        s = F.lit(START_SCORE[k]) + F.when(near.rlike(FOR[k]), CONTEXT_STEP).otherwise(0.0) - F.when(near.rlike(AGAINST[k]), CONTEXT_STEP).otherwise(0.0)
-        out = F.when(x["kind"] == k, F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))).otherwise(out)
+        s = F.lit(START_SCORE[k]) + F.when(near(x, FOR[k]), CONTEXT_STEP).otherwise(0.0) - F.when(near(x, AGAINST[k]), CONTEXT_STEP).otherwise(0.0)
+        out = F.when(x["kind"] == k, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 3)).otherwise(out)
     return out
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``pii``: spans (kind, s, e, m, before, score) by kind, then start. All columns of ``docs`` stay, but for one of that name."""
+    """Adds ``pii``: spans (kind, s, e, m, before, after, score) by kind, then start. All columns of ``docs`` stay, but for one of that name."""
     t = text_or_empty(text)
     digit = t.rlike("[0-9]{2}|[0-9][ .-][0-9]")
+    dashed = t.rlike("[0-9][./-][0-9]")
 
     def length_between(lo: int, hi: int):
         return lambda x: F.length(digits(x["m"])).between(lo, hi)
 
-    found = {
-        "email": find_spans(t, "email", EMAIL, t.contains("@")),
-        "ip": F.filter(find_spans(t, "ip", IP, t.rlike(r"[0-9]\.[0-9]")), lambda x: x["m"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
-        "card": F.filter(find_spans(t, "card", CARD, digit), lambda x: luhn_ok(x["m"])),
-        "phone": F.filter(find_spans(t, "phone", PHONE, t.contains("+")), length_between(9, 15)),
-        "iban": account_numbers(find_spans(t, "iban", IBAN, digit, ahead=True)),
+    steps = {
+        "email": lambda c: find_spans(t, "email", EMAIL, t.contains("@"), context=True),
+        "ip": lambda c: F.filter(find_spans(t, "ip", IP, t.rlike(r"[0-9]\.[0-9]"), context=True), lambda x: x["m"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
+        "card": lambda c: F.filter(find_spans(t, "card", CARD, digit, context=True), lambda x: luhn_ok(x["m"])),
+        "phone": lambda c: F.filter(find_spans(t, "phone", PHONE, t.contains("+"), context=True), length_between(9, 15)),
+        "iban_head": lambda c: find_spans(t, "iban", IBAN, digit, ahead=True, context=True),
+        "iban": lambda c: account_numbers(c("iban_head")),
+        "local_phone": lambda c: F.filter(find_spans(t, "local_phone", LOCAL_PHONE, digit, context=True), length_between(7, 12)),
+        "national_id": lambda c: F.filter(find_spans(t, "national_id", NATIONAL_ID, dashed, context=True), lambda x: x["m"].rlike(NATIONAL_ID_OK)),
+        "birth": lambda c: F.filter(find_spans(t, "birth", BIRTH, dashed, context=True), lambda x: x["m"].rlike(BIRTH_OK)),
+        "all": lambda c: F.concat(*[c(k) for k in KINDS]).cast(SPANS),
+        "scored": lambda c: F.transform(c("all"), lambda x: F.struct(x["kind"], x["s"], x["e"], x["m"], x["before"], x["after"], score(x).alias("score"))),
+        "kept": lambda c: F.filter(c("scored"), lambda x: x["kind"].isin(BASE_KINDS) | (x["score"] >= MIN_SCORE)),
     }
-    scored = docs.withColumn("_pii", F.concat(*[found[k] for k in KINDS]).cast(SPANS))
-    kept = F.filter(
-        F.transform("_pii", lambda x: F.struct(x["kind"], x["s"], x["e"], x["m"], x["before"], score(x).alias("score"))),
-        lambda x: (x["kind"] != "iban") | (x["score"] >= MIN_SCORE),
-    )
-    return scored.withColumn("pii", kept).drop("_pii")
+    return in_steps(docs, steps, "pii")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the four base kinds, digest of base spans, all spans."""
+    """One row per document: counts of the four base kinds, digest of base spans, all spans with their scores."""
     found = find_personal_data(docs.select("doc_id", "text")).select("doc_id", "pii")
-    base = F.filter("pii", lambda x: x["kind"] != "iban")
+    base = F.filter("pii", lambda x: x["kind"].isin(BASE_KINDS))
     count = [count_kind("pii", k) for k in KINDS]
     return found.select(
         "doc_id",
         *count[:4],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
-        count[4],
+        *count[4:],
         F.array_join(F.transform("pii", lambda x: F.format_string("%.1f", x["score"])), ",").alias("scores"),
     )
