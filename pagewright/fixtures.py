@@ -79,7 +79,7 @@ FROM lines0
 
 #: Six variants in two modes, with shifted confidences and lost words.
 CANDIDATE_WORDS = """
-SELECT image_id, CAST(v AS INT) AS variant, CAST(p AS INT) AS psm, image_width, image_height, ord, text, `left`, top, width, height, block_num, par_num, line_num, word_num,
+SELECT image_id, CAST(v AS INT) AS variant, CAST(p AS INT) AS psm, language, image_width, image_height, ord, text, `left`, top, width, height, block_num, par_num, line_num, word_num,
        CAST(least(100, greatest(0, conf + (v * 13 + p * 5) % 29)) AS DOUBLE) AS conf
 FROM ocr_words, (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) a, (SELECT 3 AS p UNION ALL SELECT 6) b
 WHERE (word_num + v) % (p + 2) <> 0

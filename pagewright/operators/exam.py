@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import values as V
-from pagewright.functions.text import apply_global_fixes, clean_option_text, is_code_line, is_option_line, is_question_head, n_words, normalize_option_lines, strip
+from pagewright.functions.text import apply_global_fixes, clean_option_text, is_code_line, is_option_line, is_question_head, n_words, normalize_option_line, once, strip
 
 RULE = "─" * V.RULE_WIDTH
 STRINGS = "array<string>"
 
 
-def text_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """image_id, line_no, line of each page's text."""
-    return docs.select("image_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+def text_lines(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """image_id, line_no, line of each page's text, and the columns in ``carry``."""
+    return docs.select("image_id", *carry, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
 def mark_lines(lines: DataFrame) -> DataFrame:
@@ -78,60 +78,114 @@ def question_bodies(segmented: DataFrame) -> DataFrame:
     return inner.withColumn("j", F.col("line_no") - F.col("lo")).drop("lo", "hi")
 
 
-def split_code_options(ends: DataFrame) -> DataFrame:
-    """Non-blank body lines with ``part``: statement, code or option."""
+def with_parts(ends: DataFrame) -> DataFrame:
+    """Body lines with ``part``: statement, code or option; null for blank lines."""
     question = Window.partitionBy("image_id", "q_no")
-    rest = F.col("j") >= F.col("rest_start")
+    filled = F.col("s") != ""
+    rest = filled & (F.col("j") >= F.col("rest_start"))
     code = is_code_line(F.col("s"))
-    lines = ends.where("s != ''").withColumn("is_code", code).withColumn("first_text", F.min(F.when(rest & ~code, F.col("j"))).over(question))
+    lines = ends.withColumn("first_text", F.min(F.when(rest & ~code, F.col("j"))).over(question))
     option = rest & F.col("first_text").isNotNull() & (F.col("j") >= F.col("first_text"))
-    lines = lines.withColumn("part", F.when(~rest, "statement").when(option, "option").otherwise("code"))
+    lines = lines.withColumn("part", F.when(~filled, None).when(~rest, "statement").when(option, "option").otherwise("code"))
     # Without any option, the last three of three or more code lines are the options.
     n_code = F.count_if(F.col("part") == "code").over(question)
     n_option = F.count_if(F.col("part") == "option").over(question)
-    last = F.row_number().over(question.orderBy(F.desc("j")))
+    last = F.sum(filled.cast("int")).over(question.orderBy(F.desc("j")))
     lines = lines.withColumn("n_code", n_code).withColumn("n_option", n_option).withColumn("last", last)
     hidden = (F.col("part") == "code") & (F.col("n_option") == 0) & (F.col("n_code") >= 3) & (F.col("last") <= 3)
-    return lines.withColumn("part", F.when(hidden, "option").otherwise(F.col("part"))).drop("n_code", "n_option", "last", "first_text", "is_code")
+    return lines.withColumn("part", F.when(hidden, "option").otherwise(F.col("part"))).drop("n_code", "n_option", "last", "first_text")
 
 
-def extract_questions(lines: DataFrame) -> DataFrame:
-    """image_id, q_no, header, statement, code, options of every question in lines of text."""
-    marked = segment_questions(mark_lines(lines))
-    parts = split_code_options(statement_ends(question_bodies(marked)))
+def split_code_options(ends: DataFrame) -> DataFrame:
+    """Non-blank body lines with ``part``: statement, code or option."""
+    return with_parts(ends).where("part is not null")
+
+
+def all_parts(marked: DataFrame, *carried: str) -> DataFrame:
+    """All lines of ``segment_questions``, with the columns ``carried`` and ``part``: preamble, head, statement, code or option, null for blank lines
+    in and around bodies. One pass: bodies keep apart from other lines by the sign of their question's number."""
+    question = Window.partitionBy("image_id", "q_no")
+    below = (F.col("q_no") > 0) & ~F.col("is_head")
+    filled = F.when(below & (F.col("s") != ""), F.col("line_no"))
+    placed = marked.withColumn("lo", F.min(filled).over(question)).withColumn("hi", F.max(filled).over(question))
+    inner = F.coalesce(below & F.col("line_no").between(F.col("lo"), F.col("hi")), F.lit(False))
+    body = placed.withColumn("inner", inner).withColumn("q_no", F.when(F.col("inner"), F.col("q_no")).otherwise(-F.col("q_no") - 1))
+    parts = with_parts(statement_ends(body.withColumn("j", F.col("line_no") - F.coalesce("lo", F.lit(0)))))
+    number = F.when(F.col("inner"), F.col("q_no")).otherwise(-F.col("q_no") - 1)
+    part = F.when(F.col("inner"), F.col("part")).when(F.col("is_head"), "head").when(number == 0, "preamble")
+    return parts.select("image_id", number.alias("q_no"), "line_no", "line", "s", part.alias("part"), *carried)
+
+
+def gathered(parts: DataFrame, *carried: Column) -> DataFrame:
+    """image_id, q_no, preamble, header, statement, code, options: the lines of each question, and of what precedes the first."""
 
     def lines_of(part: str, value: Column) -> Column:
-        held = F.collect_list(F.when(F.col("part") == part, F.struct("j", value.alias("v"))))
+        held = F.collect_list(F.when(F.col("part") == part, F.struct("line_no", value.alias("v"))))
         return F.transform(F.array_sort(held), lambda x: x["v"])
 
-    bodies = parts.groupBy("image_id", "q_no").agg(lines_of("statement", F.col("line")).alias("statement"), lines_of("code", F.col("line")).alias("code"), lines_of("option", F.col("s")).alias("options"))
-    heads = marked.where("is_head").select("image_id", "q_no", F.col("s").alias("header"))
-    none = F.array().cast(STRINGS)
-    return heads.join(bodies, ["image_id", "q_no"], "left").select("image_id", "q_no", "header", *[F.coalesce(c, none).alias(c) for c in ("statement", "code", "options")])
+    return parts.groupBy("image_id", "q_no").agg(
+        lines_of("preamble", F.col("line")).alias("preamble"),
+        F.max(F.when(F.col("part") == "head", F.col("s"))).alias("header"),
+        lines_of("statement", F.col("line")).alias("statement"),
+        lines_of("code", F.col("line")).alias("code"),
+        lines_of("option", F.col("s")).alias("options"),
+        *carried,
+    )
+
+
+def extract_questions(lines: DataFrame) -> DataFrame:
+    """image_id, q_no, header, statement, code, options of every question in lines of text."""
+    return gathered(all_parts(segment_questions(mark_lines(lines)))).where("q_no > 0").drop("preamble")
+
+
+def exam_text(blocks: Column) -> Column:
+    """Preamble, then each question under a rule, options marked. ``blocks``: array of ``gathered`` structs in order."""
+    none, blank = F.array().cast(STRINGS), F.array(F.lit(""))
+
+    def lines(b: Column) -> Column:
+        options = F.transform(F.filter(F.transform(b["options"], clean_option_text), lambda o: o != ""), lambda o: F.concat(F.lit(f"{V.RADIO} "), o))
+        code = F.when(F.size(b["code"]) > 0, F.concat(blank, b["code"], blank)).otherwise(none)
+        return F.when(b["header"].isNull(), b["preamble"]).otherwise(F.concat(F.array(F.lit(RULE), F.lit("")), F.array(b["header"]), b["statement"], code, options))
+
+    def joined(parts: Column) -> Column:
+        # A blank line goes before a rule only if something not blank precedes it.
+        gap = F.transform(parts, lambda b, i: F.when((i > 0) & (strip(F.element_at(parts[F.greatest(i - 1, F.lit(0))], -1)) != ""), F.concat(blank, b)).otherwise(b))
+        return F.array_join(F.flatten(gap), "\n")
+
+    return once(F.transform(blocks, lines), joined)
+
+
+def in_order(*columns: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct("q_no", *columns)))
+
+
+PARTS = ["preamble", "header", "statement", "code", "options"]
 
 
 def rebuild_exam_text(lines: DataFrame, questions: DataFrame) -> DataFrame:
     """Per page with questions: preamble, then each question under a rule, options marked; before global fixes."""
-    marked = segment_questions(mark_lines(lines))
-    preamble = marked.where("q_no = 0").groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("preamble"))
-    options = F.transform(F.filter(F.transform("options", clean_option_text), lambda o: o != ""), lambda o: F.concat(F.lit(f"{V.RADIO} "), o))
-    blank = F.array(F.lit(""))
-    code = F.when(F.size("code") > 0, F.concat(blank, "code", blank)).otherwise(F.array().cast(STRINGS))
-    block = F.concat(F.array(F.lit(RULE), F.lit("")), F.array("header"), "statement", code, options)
-    blocks = questions.select("image_id", "q_no", block.alias("block")).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("q_no", "block"))), lambda x: x["block"]).alias("blocks"))
-    # A blank line goes before a rule only if something not blank precedes it.
-    add = lambda acc, b: F.concat(acc, F.when((F.size(acc) > 0) & (strip(F.element_at(acc, -1)) != ""), F.array(F.lit(""))).otherwise(F.array().cast(STRINGS)), b)
-    whole = F.aggregate("blocks", F.coalesce("preamble", F.array().cast(STRINGS)), add)
-    return blocks.join(preamble, "image_id", "left").select("image_id", F.array_join(whole, "\n").alias("text"))
-
-
-def post_process_documents(docs: DataFrame) -> DataFrame:
-    """image_id, route and text after the route's repairs. ``docs``: image_id, text."""
-    docs = docs.select("image_id", "text")
-    lines = text_lines(docs)
-    routes = classify_documents(lines).select("image_id", "route")
-    routed = docs.join(routes, "image_id")
-    exam_lines = text_lines(routed.where("route = 'exam'"))
-    exam = rebuild_exam_text(exam_lines, extract_questions(exam_lines)).select("image_id", F.lit("exam").alias("route"), F.regexp_replace(apply_global_fixes(F.col("text")), "\n{4,}", "\n\n\n").alias("text"))
-    other = routed.where("route != 'exam'").select("image_id", "route", apply_global_fixes(F.when(F.col("route") == "options", normalize_option_lines(F.col("text"))).otherwise(F.col("text"))).alias("text"))
-    return exam.unionByName(other)
+    none = F.array().cast(STRINGS)
+    first = segment_questions(mark_lines(lines)).where("q_no = 0").groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("preamble"))
+    first = first.select("image_id", F.lit(0).cast("long").alias("q_no"), "preamble", F.lit(None).cast("string").alias("header"), *[none.alias(c) for c in PARTS[2:]])
+    every = questions.withColumn("preamble", none).select("image_id", "q_no", *PARTS).unionByName(first)
+    pages = every.groupBy("image_id").agg(in_order(*PARTS).alias("blocks"), F.max("q_no").alias("last"))
+    return pages.where("last > 0").select("image_id", exam_text(F.col("blocks")).alias("text"))
+
+
+def post_process_documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """image_id, route and text after the route's repairs, and the columns in ``carry``. ``docs``: image_id, text.
+
+    One exchange on the page, none if the pages are dealt by it: lines are marked, routed, cut into questions and put
+    together again where they lie. Pages of other routes have no heads, so all their lines are preamble.
+    """
+    page = Window.partitionBy("image_id")
+    lines = mark_lines(text_lines(docs, carry=carry))
+    routed = lines.withColumn("route", route(F.count_if("is_head").over(page), F.count_if("is_option").over(page)))
+    routed = routed.withColumn("is_head", F.col("is_head") & (F.col("route") == "exam"))
+    options = F.when(F.col("route") == "options", normalize_option_line(F.col("line"))).otherwise(F.col("line"))
+    segmented = segment_questions(routed.withColumn("line", options))
+    kept = ["route", *carry]
+    blocks = gathered(all_parts(segmented, *kept), *[F.max(c).alias(c) for c in kept])
+    pages = blocks.groupBy("image_id").agg(*[F.max(c).alias(c) for c in kept], in_order(*PARTS).alias("blocks"))
+    whole = pages.select("image_id", *kept, apply_global_fixes(exam_text(F.col("blocks"))).alias("text"))
+    return whole.withColumn("text", F.when(F.col("route") == "exam", F.regexp_replace("text", "\n{4,}", "\n\n\n")).otherwise(F.col("text")))

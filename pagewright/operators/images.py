@@ -177,8 +177,8 @@ def segment_stats(segments: DataFrame) -> DataFrame:
 def block_count(contours: DataFrame, images: DataFrame) -> DataFrame:
     """Per page: contours over a two-thousandth of the reduced image."""
     area = F.least(F.col("height"), F.lit(LAYOUT_SIDE)) * F.least(F.col("width"), F.lit(LAYOUT_SIDE))
-    counted = contours.join(images.select("image_id", "height", "width"), "image_id").groupBy("image_id").agg(F.count_if(F.col("area") > area * 0.0005).alias("n_blocks"))
-    return images.select("image_id").join(counted, "image_id", "left").select("image_id", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
+    held = images.select("image_id", "height", "width").join(contours.select("image_id", "area"), "image_id", "left")
+    return held.groupBy("image_id").agg(F.count_if(F.col("area") > area * 0.0005).alias("n_blocks"))
 
 
 def rank_psm(features: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ def build_lines(words: DataFrame) -> DataFrame:
         (F.max(F.col("top") + F.col("height")) - F.min("top")).alias("height"),
         F.max("image_width").alias("image_width"),
         F.max("image_height").alias("image_height"),
+        *[F.max("language").alias("language")] * ("language" in words.columns),
         F.array_sort(F.collect_list(F.struct("left", "ord", "text", "conf", "top", "width", "height"))).alias("words"),
     )
     order = Window.partitionBy("image_id", "block_num").orderBy("y", "line_key")
@@ -134,6 +135,49 @@ def format_text(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def place_lines(lines: DataFrame) -> DataFrame:
+    """Lines of ``format_lines`` with their block's box (bx, by, bw, bh), ``block_ord``, ``cx``, ``column_id`` and
+    ``read_ord``: what ``build_blocks``, ``detect_columns`` and ``reading_order`` give, as windows on the line rows, so
+    that lines need no join with their blocks."""
+    page, block = Window.partitionBy("image_id"), Window.partitionBy("image_id", "block_num")
+    end = lambda at, size: F.max(F.col(at) + F.col(size)).over(block)
+    boxed = lines.withColumn("bx", F.min("x").over(block)).withColumn("by", F.min("y").over(block))
+    boxed = boxed.withColumn("bw", end("x", "width") - F.col("bx")).withColumn("bh", end("y", "height") - F.col("by"))
+    ordered = boxed.withColumn("block_ord", F.dense_rank().over(page.orderBy("by", "bx", "block_num"))).withColumn("cx", F.col("bx") + F.floor(F.col("bw") / 2))
+    # Between lines of one block the centre does not step.
+    order = page.orderBy("cx", "block_ord", "line_ord")
+    step = F.col("cx") - F.lag("cx").over(order)
+    stepped = ordered.withColumn("new", F.when(step > F.floor(F.col("image_width") * COLUMN_GAP), 1).otherwise(0))
+    columns = stepped.withColumn("column_id", F.sum("new").over(order)).drop("new")
+    return columns.withColumn("read_ord", F.dense_rank().over(page.orderBy("column_id", "by", "cx", "block_ord")))
+
+
+#: Columns that ``format_lines`` and ``place_lines`` add.
+PLACES = ["blank_before", "indent", "formatted", "bx", "by", "bw", "bh", "block_ord", "cx", "column_id", "read_ord"]
+
+
+def blocks_of(placed: DataFrame) -> DataFrame:
+    """The blocks of ``place_lines``, as ``reading_order`` gives them."""
+    same = {"x": "bx", "y": "by", "width": "bw", "height": "bh"} | {c: c for c in ("image_width", "block_ord", "cx", "column_id", "read_ord")}
+    return placed.groupBy("image_id", "block_num").agg(*[F.max(c).alias(name) for name, c in same.items()], F.count("*").alias("n_lines"), F.sum("n_words").alias("n_words"))
+
+
+def documents_of(placed: DataFrame) -> DataFrame:
+    """Per page, from the lines of ``place_lines``: counts, confidence, size, language and the formatted text."""
+    sep = F.when((F.col("line_ord") > 1) & F.col("blank_before"), "\n\n").when(F.col("line_ord") > 1, "\n").when(F.col("read_ord") > 1, "\n\n").otherwise("")
+    sum_conf = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["conf"])
+    return placed.withColumn("sum_conf", sum_conf).groupBy("image_id").agg(
+        F.sum("n_words").alias("word_count"),
+        (F.sum("sum_conf") / F.sum("n_words")).alias("avg_confidence"),
+        F.max("image_width").alias("image_width"),
+        F.max("image_height").alias("image_height"),
+        *[F.max("language").alias("language")] * ("language" in placed.columns),
+        (F.max("column_id") + 1).alias("column_count"),
+        F.max("block_ord").cast("long").alias("n_blocks"),
+        ordered_text(["read_ord", "line_ord"], F.concat(sep, "formatted")).alias("formatted_text"),
+    )
+
+
 def with_empty_pages(pages: DataFrame, texts: DataFrame) -> DataFrame:
     """All pages; those without blocks get the fixed note and one column."""
     return pages.join(texts, "image_id", "left").select(

@@ -15,7 +15,7 @@ from pagewright.operators import exam as E
 from pagewright.operators import images as I
 from pagewright.operators import layout as L
 from pagewright.operators import words as W
-from pagewright.plans.workflows import lay_out, plan_recognition
+from pagewright.plans.workflows import lay_out, plan_recognition, recognised_documents
 from pagewright.sources import io as S
 
 MIN_CONF = 8.0
@@ -121,6 +121,14 @@ def pages(spark: SparkSession, sf_dir: str):
     return lay_out(X.ocr_words(spark, sf_dir), MIN_CONF, post_process=False, repair=False)
 
 
+def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.reading_order(L.detect_columns(L.build_blocks(line_rows(spark, sf_dir))))
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.build_lines(kept_words(spark, sf_dir).repartition("image_id"))
+
+
 def kept_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.mark_radio(W.filter_words(X.ocr_words(spark, sf_dir), MIN_CONF))
 
@@ -182,17 +190,17 @@ def w8(spark, d):
 # Layout.
 @query("l1_build_lines", sql("SELECT image_id, block_num, line_key, x, y, width, height, n_words FROM plines"))
 def l1(spark, d):
-    return pages(spark, d).lines.select("image_id", "block_num", "line_key", "x", "y", "width", "height", F.col("n_words").cast("long").alias("n_words"))
+    return line_rows(spark, d).select("image_id", "block_num", "line_key", "x", "y", "width", "height", F.col("n_words").cast("long").alias("n_words"))
 
 
 @query("l2_join_words", sql("SELECT image_id, block_num, line_key, text FROM plines"))
 def l2(spark, d):
-    return pages(spark, d).lines.select("image_id", "block_num", "line_key", "text")
+    return line_rows(spark, d).select("image_id", "block_num", "line_key", "text")
 
 
 @query("l3_build_blocks", sql("SELECT image_id, block_num, x, y, width, height, n_lines, block_ord FROM blocks"))
 def l3(spark, d):
-    return pages(spark, d).blocks.select("image_id", "block_num", "x", "y", "width", "height", "n_lines", F.col("block_ord").cast("long").alias("block_ord"))
+    return L.build_blocks(line_rows(spark, d)).select("image_id", "block_num", "x", "y", "width", "height", "n_lines", F.col("block_ord").cast("long").alias("block_ord"))
 
 
 @query("l4_raw_text", sql("""SELECT l.image_id, string_agg(CASE WHEN line_ord > 1 THEN chr(10) WHEN block_ord > 1 THEN chr(10) || chr(10) ELSE '' END || text, '' ORDER BY block_ord, line_ord) AS raw_text
@@ -204,30 +212,24 @@ def l4(spark, d):
 
 @query("l5_detect_columns", sql("SELECT image_id, column_id, min(x) AS x_start, max(x + width) AS x_end, string_agg(CAST(block_num AS VARCHAR), ',' ORDER BY cx, block_ord) AS block_ids FROM placed GROUP BY image_id, column_id"))
 def l5(spark, d):
-    return pages(spark, d).columns.withColumn("block_ids", F.concat_ws(",", F.transform("block_ids", lambda b: b.cast("string"))))
+    return L.columns_of(L.detect_columns(L.build_blocks(line_rows(spark, d)))).withColumn("block_ids", F.concat_ws(",", F.transform("block_ids", lambda b: b.cast("string"))))
 
 
 @query("l6_reading_order", sql("SELECT image_id, block_num, column_id, read_ord FROM reading"))
 def l6(spark, d):
-    return pages(spark, d).blocks.select("image_id", "block_num", "column_id", F.col("read_ord").cast("long").alias("read_ord"))
+    return block_rows(spark, d).select("image_id", "block_num", "column_id", F.col("read_ord").cast("long").alias("read_ord"))
 
 
 @query("l7_format_lines", sql("SELECT image_id, block_num, line_key, blank_before, CAST(indent AS BIGINT) AS indent, formatted FROM formatted"))
 def l7(spark, d):
-    return L.format_lines(pages(spark, d).lines).select("image_id", "block_num", "line_key", "blank_before", F.col("indent").cast("long").alias("indent"), "formatted")
+    return L.format_lines(line_rows(spark, d)).select("image_id", "block_num", "line_key", "blank_before", F.col("indent").cast("long").alias("indent"), "formatted")
 
 
 @query("l8_format_text", sql("""SELECT d.image_id, coalesce(column_count, 1) AS column_count, coalesce(n_blocks, 0) AS n_blocks, coalesce(formatted_text, '[Sin texto detectado]') AS formatted_text
   FROM (SELECT DISTINCT image_id FROM ocr_words) d LEFT JOIN texts t ON d.image_id = t.image_id"""))
 def l8(spark, d):
-    p = pages(spark, d)
     every = X.ocr_words(spark, d).select("image_id").distinct()
-    return L.with_empty_pages(every, p.docs.select("image_id", "column_count", "n_blocks", "formatted_text"))
-
-
-@query("l9_reconstruct", sql("SELECT t.image_id, column_count, column_count > 1 AS is_multicolumn, n_blocks, length(formatted_text) AS n_chars, word_count, avg_confidence FROM texts t JOIN counts c ON t.image_id = c.image_id"))
-def l9(spark, d):
-    return pages(spark, d).docs.select("image_id", "column_count", (F.col("column_count") > 1).alias("is_multicolumn"), "n_blocks", F.length("formatted_text").cast("long").alias("n_chars"), "word_count", "avg_confidence")
+    return L.with_empty_pages(every, L.format_text(L.format_lines(line_rows(spark, d)), block_rows(spark, d)))
 
 
 @query("l10_document_stats", sql("""SELECT c.image_id, s.total_blocks, s.total_lines, word_count AS total_words, 'spa' AS language, image_width || 'x' || image_height AS dimensions, coalesce(h.headers, '') AS headers
@@ -476,15 +478,50 @@ def e8d(spark, d):
     return E.rebuild_exam_text(lines, E.extract_questions(lines))
 
 
-def routed_sql() -> str:
-    lines = f"""routes AS (SELECT image_id, CASE WHEN h < 2 AND o < 4 THEN 'plain' WHEN h = 0 THEN 'options' ELSE 'exam' END AS route FROM (SELECT image_id, count(*) FILTER (is_head) AS h, count(*) FILTER (is_option) AS o FROM marked GROUP BY image_id)),
+def routed_ctes(lines: str) -> str:
+    """Repaired texts by route (``routed``), from the lines in ``lines`` and what ``rebuilt_ctes`` has."""
+    first = f"""routes AS (SELECT image_id, CASE WHEN h < 2 AND o < 4 THEN 'plain' WHEN h = 0 THEN 'options' ELSE 'exam' END AS route FROM (SELECT image_id, count(*) FILTER (is_head) AS h, count(*) FILTER (is_option) AS o FROM marked GROUP BY image_id)),
       before AS (SELECT image_id, route, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM rebuilt JOIN routes USING (image_id) WHERE route = 'exam'
-        UNION ALL SELECT m.image_id, route, line_no, CASE WHEN route = 'options' THEN {OPTION_SQL} ELSE line END FROM exam_lines m JOIN routes USING (image_id) WHERE route <> 'exam')"""
+        UNION ALL SELECT m.image_id, route, line_no, CASE WHEN route = 'options' THEN {OPTION_SQL} ELSE line END FROM {lines} m JOIN routes USING (image_id) WHERE route <> 'exam')"""
     inner = "SELECT * FROM before"
     for step in G_STEPS:
         inner = f"SELECT image_id, route, line_no, {step} AS line FROM ({inner})"
     joined = f"SELECT image_id, route, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER ({NOISE_SQL}), '') AS text FROM ({inner}) GROUP BY image_id, route"
-    return with_rebuilt(f", {lines} SELECT image_id, route, CASE WHEN route = 'exam' THEN regexp_replace(text, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') ELSE text END AS text FROM ({joined})")
+    return f"{first}, routed AS (SELECT image_id, route, CASE WHEN route = 'exam' THEN regexp_replace(text, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') ELSE text END AS text FROM ({joined}))"
+
+
+def routed_sql() -> str:
+    return with_rebuilt(f", {routed_ctes('exam_lines')} SELECT image_id, route, text FROM routed")
+
+
+T9_STEPS = [T1_SQL, T2_SQL, T3_SQL, T4_SQL, T5_SQL, T6_SQL, T7_SQL, T8_SQL]
+LAID_OUT = "gaps usual plines_raw plines blocks placed reading formatted texts counts page_lines marked segs bodies ends coded parts0 parts".split()
+
+
+def documents_sql(first: dict[str, str]) -> str:
+    """Pages from word rows to repaired texts; ``first`` ends with the definition of ``words``."""
+    inner = "SELECT *, text AS line FROM plines_raw"
+    for step in T9_STEPS:
+        inner = f"SELECT * EXCLUDE (line), {step} AS line FROM ({inner})"
+    own = first | {k: CTES.get(k, "") for k in LAID_OUT}
+    own |= {
+        "plines_raw": CTES["plines"],
+        "plines": f"SELECT * EXCLUDE (text, line), line AS text FROM ({inner})",
+        "page_lines": "SELECT image_id, generate_subscripts(string_split(formatted_text, chr(10)), 1) - 1 AS line_no, unnest(string_split(formatted_text, chr(10))) AS line FROM texts",
+        "marked": CTES["marked"].replace("exam_lines", "page_lines"),
+    }
+    body = ", ".join(f"{k} AS ({v})" for k, v in own.items())
+    select = "SELECT t.image_id, column_count, column_count > 1 AS is_multicolumn, n_blocks, word_count, avg_confidence, image_width, image_height, 'spa' AS language, text AS formatted_text FROM texts t JOIN counts c ON t.image_id = c.image_id JOIN routed r ON t.image_id = r.image_id"
+    return X.duck(f", {body}, {rebuilt_ctes()}, {routed_ctes('page_lines')} {select}")
+
+
+def document_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("image_id", "column_count", (F.col("column_count") > 1).alias("is_multicolumn"), "n_blocks", "word_count", "avg_confidence", "image_width", "image_height", "language", "formatted_text")
+
+
+@query("l9_reconstruct", documents_sql({"words": CTES["words"]}))
+def l9(spark, d):
+    return document_rows(lay_out(X.ocr_words(spark, d), MIN_CONF).docs)
 
 
 @query("e9_post_process_document", routed_sql())
@@ -613,16 +650,34 @@ def s3(spark, d):
     return S.txt_content(pages(spark, d).docs)
 
 
-@query("s4_json_struct", sql("""SELECT t.image_id, word_count AS words, CAST(column_count AS BIGINT) AS columns, (SELECT text FROM plines l JOIN reading r ON l.image_id = r.image_id AND l.block_num = r.block_num WHERE l.image_id = t.image_id AND read_ord = 1 AND line_ord = 1) AS first_line,
-  n_blocks AS blocks, (SELECT count(*) FROM words w WHERE w.image_id = t.image_id) AS palabras FROM texts t JOIN counts c ON t.image_id = c.image_id"""))
+@query("s4_json_struct", sql("""SELECT t.image_id, word_count AS total_palabras, CAST(column_count AS BIGINT) AS total_columnas, n_blocks AS total_bloques, image_width || 'x' || image_height AS dimensiones, column_count > 1 AS es_multicolumna, formatted_text AS texto_completo,
+    (SELECT string_agg(r.block_num || ':' || r.x || ',' || r.y || ',' || r.width || ',' || r.height, '|' ORDER BY read_ord) FROM reading r WHERE r.image_id = t.image_id) AS bloques,
+    (SELECT string_agg(l.x || ',' || l.y || ',' || l.width || ',' || l.height || ':' || text, '|' ORDER BY read_ord, line_ord) FROM plines l JOIN reading r ON l.image_id = r.image_id AND l.block_num = r.block_num WHERE l.image_id = t.image_id) AS lineas,
+    (SELECT string_agg(text || ':' || CAST(conf AS BIGINT) || ':' || "left" || ',' || top || ',' || width || ',' || height, '|' ORDER BY read_ord, line_ord, "left", ord) FROM (
+      SELECT w.*, read_ord, line_ord FROM words w JOIN plines l ON w.image_id = l.image_id AND w.block_num = l.block_num AND w.line_key = l.line_key JOIN reading r ON w.image_id = r.image_id AND w.block_num = r.block_num WHERE w.image_id = t.image_id)) AS palabras,
+    (SELECT string_agg(column_id || ':' || x_start || '-' || x_end || ':' || ids, '|' ORDER BY column_id) FROM (
+      SELECT column_id, min(x) AS x_start, max(x + width) AS x_end, string_agg(block_num::VARCHAR, ',' ORDER BY cx, block_ord) AS ids FROM placed p WHERE p.image_id = t.image_id GROUP BY column_id)) AS columnas
+    FROM texts t JOIN counts c ON t.image_id = c.image_id"""))
 def s4(spark, d):
     p = pages(spark, d)
     tree = S.json_struct(p.docs, p.blocks, p.lines, p.columns, include_words=True)
     text = tree.select("image_id", F.to_json(F.struct("metadata", "texto_completo", "bloques", "columnas"), {"ignoreNullFields": "false"}).alias("j"))
-    got = F.from_json("j", "metadata struct<total_palabras:bigint,total_columnas:bigint>, bloques array<struct<lineas:array<struct<texto:string,palabras:array<struct<texto:string>>>>>>")
+    box = "coordenadas:array<int>"
+    got = F.from_json(
+        "j",
+        "metadata struct<total_palabras:bigint,total_columnas:bigint,total_bloques:bigint,es_multicolumna:boolean,dimensiones_imagen:struct<ancho:int,alto:int>>, texto_completo string, "
+        f"bloques array<struct<bloque_num:int,{box},lineas:array<struct<texto:string,{box},palabras:array<struct<texto:string,confianza:double,{box}>>>>>>, columnas array<struct<columna_id:bigint,x_inicio:int,x_fin:int,bloques_ids:array<int>>>",
+    )
+    nums = lambda a: F.concat_ws(",", F.transform(a, lambda n: n.cast("string")))
+    listed = lambda a, f: F.array_join(F.transform(a, f), "|")
+    lineas = F.flatten(F.transform("j.bloques", lambda b: b["lineas"]))
+    m = "j.metadata"
     return text.select("image_id", got.alias("j")).select(
-        "image_id", F.col("j.metadata.total_palabras").alias("words"), F.col("j.metadata.total_columnas").alias("columns"), F.col("j.bloques")[0]["lineas"][0]["texto"].alias("first_line"), F.size("j.bloques").cast("long").alias("blocks"),
-        F.aggregate(F.flatten(F.transform("j.bloques", lambda b: F.transform(b["lineas"], lambda x: F.size(x["palabras"])))), F.lit(0).cast("long"), lambda a, n: a + n).alias("palabras"),
+        "image_id", f"{m}.total_palabras", f"{m}.total_columnas", f"{m}.total_bloques", F.concat_ws("x", f"{m}.dimensiones_imagen.ancho", f"{m}.dimensiones_imagen.alto").alias("dimensiones"), f"{m}.es_multicolumna", "j.texto_completo",
+        listed("j.bloques", lambda b: F.concat_ws(":", b["bloque_num"].cast("string"), nums(b["coordenadas"]))).alias("bloques"),
+        listed(lineas, lambda x: F.concat_ws(":", nums(x["coordenadas"]), x["texto"])).alias("lineas"),
+        listed(F.flatten(F.transform(lineas, lambda x: x["palabras"])), lambda w: F.concat_ws(":", w["texto"], w["confianza"].cast("bigint").cast("string"), nums(w["coordenadas"]))).alias("palabras"),
+        listed("j.columnas", lambda c: F.concat_ws(":", c["columna_id"].cast("string"), F.concat_ws("-", c["x_inicio"].cast("string"), c["x_fin"].cast("string")), nums(c["bloques_ids"]))).alias("columnas"),
     )
 
 
@@ -632,27 +687,66 @@ def s6(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.output_name(path, F.lit("2026-03-01 14:30:25").cast("timestamp"), "txt").alias("name"))
 
 
-@query("s7_export_paragraphs", sql("SELECT r.image_id, kind, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM (SELECT image_id, 'line' AS kind, text FROM plines UNION ALL SELECT image_id, 'blank', '' FROM reading WHERE read_ord > 1) r GROUP BY ALL"))
+@query("s7_export_paragraphs", sql("""SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY sec, a, b) - 1 AS INT) AS ord, kind, paragraph FROM (
+    SELECT image_id, 0 AS sec, 0 AS a, 0 AS b, 'title' AS kind, 'Texto Extraído por OCR' AS paragraph FROM texts
+    UNION ALL SELECT t.image_id, 1, k, 0, 'meta', CASE k WHEN 1 THEN 'Idioma: spa' WHEN 2 THEN 'Palabras: ' || word_count WHEN 3 THEN 'Confianza: ' || printf('%.1f', avg_confidence) || '%' WHEN 4 THEN 'Bloques: ' || n_blocks ELSE 'Columnas: ' || CAST(column_count AS BIGINT) END
+      FROM texts t JOIN counts c ON t.image_id = c.image_id, (SELECT unnest(range(1, 6)) AS k)
+    UNION ALL SELECT image_id, k, 0, 0, 'rule', repeat('─', 50) FROM texts, (SELECT unnest([2, 4]) AS k)
+    UNION ALL SELECT l.image_id, 3, read_ord, line_ord, 'line', text FROM plines l JOIN reading r ON l.image_id = r.image_id AND l.block_num = r.block_num
+    UNION ALL SELECT image_id, 3, read_ord, 1000000, 'blank', '' FROM (SELECT *, max(read_ord) OVER (PARTITION BY image_id) AS n FROM reading) WHERE read_ord < n
+    UNION ALL SELECT image_id, 5, 0, 0, 'footer', 'Documento generado' FROM texts)"""))
 def s7(spark, d):
     p = pages(spark, d)
-    rows = S.export_paragraphs(p.docs, p.blocks, p.lines).where(F.col("kind").isin("line", "blank"))
-    return rows.groupBy("image_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("paragraph")).alias("chars"))
+    return S.export_paragraphs(p.docs, p.blocks, p.lines)
 
 
 # Workloads.
-@query("workload_a_documents")
+def workload_a_sql() -> str:
+    limit = "CASE image_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 8 ELSE 3 END"
+    cand = f"SELECT *, par_num * 1000 + line_num AS line_key FROM (SELECT * EXCLUDE (text), {trim('text')} AS text FROM candidate_words) WHERE text <> '' AND conf >= {limit} AND text NOT IN ('|', '~', '`', '^')"
+    words = f"""SELECT c.* EXCLUDE (text), CASE WHEN height > 0 AND width::DOUBLE / greatest(height, 1) BETWEEN 0.7 AND 1.4 AND text IN ({RADIO_SQL}) AND width < 60 THEN '○' ELSE text END AS text
+      FROM cand c JOIN best b ON c.image_id = b.image_id AND c.variant = b.variant AND c.psm = b.psm"""
+    return documents_sql({"cand": cand, "scores": CTES["scores"], "phases": CTES["phases"], "best": CTES["best"], "words": words})
+
+
+@query("workload_a_documents", workload_a_sql())
 def workload_a(spark, d):
-    return lay_out(X.ocr_words(spark, d), MIN_CONF).docs
+    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("image_id"))
+    third = F.col("image_id") % 3
+    quality = ids.select("image_id", F.when(third == 0, 15.0).when(third == 1, 8.0).otherwise(3.0).alias("suggested_confidence"))
+    rank = ids.select("image_id", F.array(F.lit(3), F.lit(6)).alias("psm_order"))
+    return document_rows(recognised_documents(X.candidate_words(spark, d), quality, rank).docs)
+
+
+TASKS_SQL = f"""WITH {FEAT}, segments AS ({X.SEGMENTS.replace('{lineitem}', 'lineitem')}), contours AS ({X.CONTOURS.replace('{lineitem}', 'lineitem')}),
+  b AS (SELECT image_id, t, (SELECT count(*) FROM pix p WHERE p.image_id = k.image_id AND p.v <= t) AS n0, (SELECT sum(v) FROM pix p WHERE p.image_id = k.image_id AND p.v <= t) AS s0,
+    (SELECT sum(v) FROM pix p WHERE p.image_id = k.image_id) AS s FROM (SELECT DISTINCT image_id, v AS t FROM pix) k),
+  o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n0 * (64 - n0) * power(s0 / n0 - (s - s0) / (64 - n0)::DOUBLE, 2) DESC, t) AS place FROM b WHERE n0 < 64),
+  h AS (SELECT image_id, count(*) FILTER (purpose = 'layout' AND abs(degrees(atan2(y2 - y1, x2 - x1))) < 5) AS hl FROM segments GROUP BY image_id),
+  c AS (SELECT image_id, count(*) FILTER (area > 64 * 0.0005) AS nb FROM contours GROUP BY image_id),
+  ranked AS (SELECT f.image_id, ss, coalesce(hl, 0) AS hl, coalesce(nb, 0) AS nb, n0 / 64.0::DOUBLE AS td FROM feat f JOIN o ON f.image_id = o.image_id AND place = 1 LEFT JOIN h ON f.image_id = h.image_id LEFT JOIN c ON f.image_id = c.image_id),
+  points AS (SELECT image_id, ss, 2 + (CASE WHEN hl >= 5 THEN 1 ELSE 0 END) + (CASE WHEN td > 0.08 AND td <= 0.15 THEN 1 ELSE 0 END) + (CASE WHEN nb < 5 THEN 1 ELSE 0 END) AS s3,
+    (CASE WHEN hl >= 5 THEN 2 ELSE 0 END) + (CASE WHEN td > 0.15 THEN 2 WHEN td > 0.08 THEN 1 ELSE 0 END) + (CASE WHEN nb > 20 THEN 1 ELSE 0 END) AS s6 FROM ranked)
+  SELECT image_id, CAST(v AS INT) AS variant, CASE WHEN (r = 1) = (s6 > s3) THEN 6 ELSE 3 END AS psm, r AS psm_rank, CASE WHEN v >= 3 THEN '2' WHEN r = 1 THEN '1A' ELSE '1B' END AS phase
+  FROM (SELECT *, unnest(range(CASE WHEN ss THEN 6 ELSE 5 END)) AS v FROM points), (SELECT unnest([1, 2]) AS r)"""
 
 
-@query("workload_b_tasks")
+@query("workload_b_tasks", TASKS_SQL)
 def workload_b(spark, d):
-    images = X.images(spark, d)
-    planned = plan_recognition(images, X.segments(spark, d), X.contours(spark, d), resize=False)
-    return C.task_grid(planned, planned)
+    return C.task_grid(plan_recognition(X.images(spark, d), X.segments(spark, d), X.contours(spark, d), resize=False))
+
+
+def workload_c_sql() -> str:
+    inner = "SELECT image_id, line_no, line FROM exam_lines"
+    for step in T9_STEPS:
+        inner = f"SELECT image_id, line_no, {step} AS line FROM ({inner})"
+    own = {"fixed_lines": inner} | {k: CTES[k] for k in LAID_OUT[LAID_OUT.index("marked") :]}
+    own["marked"] = CTES["marked"].replace("exam_lines", "fixed_lines")
+    body = ", ".join(f"{k} AS ({v})" for k, v in own.items())
+    return X.duck(f", {body} SELECT h.image_id, CAST(h.q_no AS BIGINT) AS q_no, h.s AS header, {LISTS} FROM segs h WHERE h.is_head")
 
 
-@query("workload_c_questions")
+@query("workload_c_questions", workload_c_sql())
 def workload_c(spark, d):
     lines = X.exam_lines(spark, d).withColumn("line", T.fix_ocr_text(F.col("line")))
-    return E.extract_questions(lines)
+    return E.extract_questions(lines).select("image_id", "q_no", "header", *[F.concat_ws("|", c).alias(c) for c in ("statement", "code", "options")])

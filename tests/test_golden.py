@@ -1,5 +1,7 @@
 """Cases worked out by hand."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,8 +81,17 @@ def test_export_and_words_round_trip(spark, tmp_path):
     assert back.count() == words.count() and back.exceptAll(words.select(*back.columns)).count() == 0
     p = lay_out(back, 8.0)
     assert len(io.export(p.docs, p.blocks, p.lines, p.columns, " ALL ", str(tmp_path / "out"))) == 3
-    assert spark.read.json(str(tmp_path / "out/json")).count() == 3
-    assert spark.read.text(str(tmp_path / "out/txt"), wholetext=True).count() >= 1
+    tree = spark.read.json(str(tmp_path / "out/json")).collect()
+    assert {(r.image_id, r.name) for r in tree} == {(i, f"{i}_1970-01-01_00-00-00.json") for i in range(3)}
+    content = {r.image_id: r.content for r in io.txt_content(p.docs).collect()}
+    txt = spark.read.parquet(str(tmp_path / "out/txt")).collect()
+    assert {r.image_id: r.content for r in txt} == {i: "\ufeff" + c for i, c in content.items()} and {r.name for r in txt} == {f"{i}_1970-01-01_00-00-00.txt" for i in range(3)}
+    docx = {r.image_id: r.content for r in spark.read.parquet(str(tmp_path / "out/docx")).collect()}
+    assert all(docx[i].startswith("Texto Extraído por OCR\nIdioma: spa\n") for i in range(3)) and len(docx) == 3
+    when = datetime(2026, 3, 1, 14, 30, 25)
+    io.write_txt(p.docs.withColumn("path", F.concat(F.lit("/in/scan"), "image_id", F.lit(".png"))), str(tmp_path / "each"), when, one_file_each=True)
+    each = {f.parent.name: f.read_bytes() for f in (tmp_path / "each").glob("name=*/part-*")}
+    assert each == {f"name=scan{i}_2026-03-01_14-30-25.txt": ("\ufeff" + c + "\n").encode() for i, c in content.items()}
     with pytest.raises(ValueError):
         io.validate_format("pdf")
 

@@ -9,8 +9,9 @@ import duckdb
 import pytest
 
 from pagewright import fixtures
-from pagewright.operators import candidates, layout
+from pagewright.operators import candidates, exam, layout
 from pagewright.operators.words import filter_words, mark_radio
+from pagewright.plans.workflows import lay_out
 from pagewright.queries import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
@@ -45,9 +46,8 @@ def test_query_equals_sql(spark, con, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def exchanges(df) -> int:
@@ -63,6 +63,36 @@ def test_one_exchange_from_words_to_text(spark):
     assert "Python" not in words._jdf.queryExecution().executedPlan().toString()
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_workload_moves_little(spark):
+    """Lines are written from one exchange of the winners' words; documents and their repair take one more, of lines,
+    and no second read of the words."""
+    words = fixtures.ocr_words(spark, DATA)
+    pages = lay_out(words, 8.0)
+    assert exchanges(pages.docs) == 1 and plan_of(pages.docs).count("FileScan parquet") == 1
+    assert exchanges(pages.blocks) == 1 and exchanges(pages.columns) <= 2
+    assert "Join" not in plan_of(pages.docs)
+    rows = spark.createDataFrame([(1, "Pregunta 1\nuno"), (2, "x")], "image_id long, text string")
+    assert exchanges(exam.post_process_documents(rows)) == 1
+
+
+def test_placed_lines_equal_the_single_steps(spark):
+    lines = layout.format_lines(layout.build_lines(mark_radio(filter_words(fixtures.ocr_words(spark, DATA), 8.0))))
+    blocks = layout.reading_order(layout.detect_columns(layout.build_blocks(lines)))
+    got = layout.blocks_of(layout.place_lines(lines)).select(*blocks.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocks.collect()))
+    docs = layout.documents_of(layout.place_lines(lines)).select("image_id", "column_count", "n_blocks", "formatted_text")
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, layout.format_text(lines, blocks).select(*docs.columns).collect()))
+
+
+def test_images_are_decoded_once(spark):
+    tasks = QUERIES["workload_b_tasks"](spark, DATA)
+    assert "MapInPandas" not in plan_of(tasks)  # features were written
+
+
 def test_results_do_not_depend_on_partitions(spark):
     words = fixtures.ocr_words(spark, DATA)
 
