@@ -1,10 +1,13 @@
 """Edit-aware token counts: a segment tree over a document's pre-token leaves, updated where edits touch it.
 
-Leaves are pieces of at least ``LEAF_CHARS`` characters, cut before a single space between two other characters:
-byte-level BPE never joins ids across such a place, so counts of leaves add up. An edit re-encodes the leaves it
-touches and one neighbour on each side, whose outer cuts keep their characters; sums change on the paths above.
-
-One narrow pass each, no shuffle. Null text counts as empty; null edits are none. Edits apply in their order, each
+Leaves are runs of whole pre-tokens of at least ``LEAF_CHARS`` characters, cut before a single space between two other
+characters: byte-level BPE never joins ids across such a place, so counts of leaves add up. An edit re-encodes the
+leaves it touches and one neighbour on each side, whose outer cuts keep their characters. Its pieces become leaves
+again: within their number sums change on the paths above; where more come, or half of the leaves are empty, the tree
+is laid out anew over the counts it has, and nothing else is encoded. So leaves stay small however much is inserted.
+
+Trees are rows of a table: ``build_trees`` makes them, ``apply_edits`` takes them with edits and hands them on as they
+are afterwards, to be edited again. One narrow pass each, no shuffle. Null text counts as empty; null edits are none. Edits apply in their order, each
 on the text the former left; places beyond the end mean the end, negative ones the start, negative lengths nothing.
 Repeated rows are alike; an empty table gives an empty result; clashing further columns are not looked at.
 """
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_or_empty
+from pagewright.llm.common import saved, text_or_empty
 from pagewright.llm.tokens import SAFE_CUT, encode, encoding
 
 LEAF_CHARS = 256
@@ -40,7 +43,12 @@ class TokenTree:
     """Leaves with a binary tree of (characters, ids) sums; node 1 is the root, leaf i is node width + i."""
 
     def __init__(self, leaves: list[str], ids: list[int]):
+        self.encoded = 0
+        self.lay_out(leaves, ids)
+
+    def lay_out(self, leaves: list[str], ids: list[int]) -> None:
         self.leaves = leaves
+        self.filled = sum(1 for x in leaves if x)
         self.width = 1 << max(0, (len(leaves) - 1).bit_length())
         self.sums = np.zeros((2 * self.width, 2), np.int64)
         self.sums[self.width : self.width + len(leaves)] = np.stack([[len(x) for x in leaves], ids], axis=1)
@@ -48,7 +56,11 @@ class TokenTree:
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
             level //= 2
-        self.encoded = 0
+
+    @property
+    def ids(self) -> list[int]:
+        """Number of ids of each leaf."""
+        return self.sums[self.width : self.width + len(self.leaves), 1].tolist()
 
     @property
     def tokens(self) -> int:
@@ -65,6 +77,7 @@ class TokenTree:
         return node - self.width, place
 
     def put(self, leaf: int, text: str, ids: int) -> None:
+        self.filled += bool(text) - bool(self.leaves[leaf])
         self.leaves[leaf] = text
         node = self.width + leaf
         self.sums[node] = len(text), ids
@@ -88,13 +101,18 @@ class TokenTree:
         text = "".join(self.leaves[lo : hi + 1])
         place = sum(len(x) for x in self.leaves[lo:first]) + inner
         text = text[:place] + insert + text[place + end - at :]
-        # As many leaves as before at most: the region's pieces, the last one taking what is over.
         pieces = split_leaves(text)
+        ids = [count(x) if x else 0 for x in pieces]
         room = hi - lo + 1
-        pieces = pieces[: room - 1] + ["".join(pieces[room - 1 :])]
-        pieces += [""] * (room - len(pieces))
-        for k, piece in enumerate(pieces):
-            self.put(lo + k, piece, count(piece) if piece else 0)
+        if len(pieces) <= room:
+            for k in range(room):
+                self.put(lo + k, *((pieces[k], ids[k]) if k < len(pieces) else ("", 0)))
+        else:
+            old = self.ids
+            self.lay_out(self.leaves[:lo] + pieces + self.leaves[hi + 1 :], old[:lo] + ids + old[hi + 1 :])
+        if 2 * self.filled < len(self.leaves) - 1:
+            kept = [(x, n) for x, n in zip(self.leaves, self.ids, strict=True) if x] or [("", 0)]
+            self.lay_out(*map(list, zip(*kept, strict=True)))
         self.encoded += len(text)
 
 
@@ -117,9 +135,11 @@ def build_trees(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def apply_edits(trees: DataFrame) -> DataFrame:
-    """From trees with ``edits`` (array of at, remove, insert): doc_id, n_tokens before and after, the new text, and
-    how many characters were encoded again."""
-    schema = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_chars_encoded bigint, n_leaves bigint, text string"
+    """From trees with ``edits`` (array of at, remove, insert): doc_id, n_tokens before and after, how many characters
+    were encoded again, and the new tree (text, leaf_chars, leaf_tokens)."""
+    counts = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_encoded", "n_leaves"]
+    schema = ", ".join([*[f"{c} bigint" for c in counts], "text string", "leaf_chars array<int>", "leaf_tokens array<int>"])
+    kinds = [*[pa.int64()] * len(counts), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +151,9 @@ def apply_edits(trees: DataFrame) -> DataFrame:
                 before = tree.tokens
                 for e in edits or []:
                     tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
-                out.append((doc_id, before, len(edits or []), tree.tokens, tree.encoded, len(tree.leaves), "".join(tree.leaves)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 6 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], pa.string() if k == 6 else pa.int64()) for k in range(7)], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_encoded", "n_leaves", "text"])
+                out.append((doc_id, before, len(edits or []), tree.tokens, tree.encoded, len(tree.leaves), "".join(tree.leaves), [len(x) for x in tree.leaves], tree.ids))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [*counts, "text", "leaf_chars", "leaf_tokens"])
 
     return trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(run, schema)
 
@@ -149,5 +170,6 @@ def routine_edits() -> Column:
 
 
 def edited_counts(docs: DataFrame) -> DataFrame:
-    """Token counts of every document before and after its ``routine_edits``."""
-    return apply_edits(build_trees(docs.withColumn("edits", routine_edits()), "edits")).drop("text")
+    """Token counts of every document before and after its ``routine_edits``, from a table of kept trees."""
+    trees = saved(build_trees(docs.withColumn("edits", routine_edits()), "edits"))
+    return apply_edits(trees).drop("text", "leaf_chars", "leaf_tokens")
