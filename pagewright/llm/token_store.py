@@ -5,8 +5,9 @@
    until it falls below the number of sequences, turns numbers into slots: a bijection, computed row by row.
 3. Sequences move once, to the task of their slot range, and are sorted there.
 
-Slot s is record s mod ``SHARD`` of shard s div ``SHARD``; every record has one size, so a reader resumes anywhere
-by multiplication. Ids are little-endian unsigned 16-bit (the vocabulary has less than 2**16), padded with the end id.
+Slot s is record s mod ``SHARD`` of shard s div ``SHARD``. A record is the number of its ids that count, the ids, and a
+closing line feed: ``stride(length)`` bytes, always, so a reader resumes anywhere by multiplication. Numbers are
+little-endian unsigned 16-bit, ids padded with the end id; an id beyond 16 bits is an error.
 
 Null text counts as empty: its document is the single end id. Repeated rows are stored as they come. An empty table
 gives an empty result; further columns are not looked at.
@@ -25,15 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import saved
+from pagewright.llm.common import saved, small_side
 from pagewright.llm.tokens import encode
 from pagewright.llm.wordscan import mix
 
 LENGTH, END_ID, SHARD = 2048, 50256, 8192
-STRIDE = 2 * LENGTH
 KEY, ROUNDS = 20_240_501, 6
 #: Shards that one task writes at most, where there are more shards than shuffle partitions.
 TASK_SHARDS = 16
+#: Tasks of the encoding step whose counts are added up together.
+BLOCK = 1024
+
+
+def stride(length: int = LENGTH) -> int:
+    """Bytes of a record: a count, ``length`` ids, a line feed."""
+    return 2 + 2 * length + 1
 
 
 def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -75,6 +82,8 @@ def sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 ids = encode(text.as_py() or "")
+                if len(ids) and ids.max() >= 1 << 16:
+                    raise ValueError("an id needs more than 16 bits")
                 held += [ids.astype(np.uint16), np.full(1, END_ID, np.uint16)]
                 size += len(ids) + 1
                 if size >= 256 * length:
@@ -94,8 +103,12 @@ def training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, shard:
     spark = docs.sparkSession
     stored = saved(sequences(docs, length))
     counts = saved(stored.groupBy("part").agg((F.max("seq") + 1).alias("n")))
-    # One row per task of the first step.
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per task of the first step, added up in blocks; one row per block is what a single task sees.
+    earlier = (Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(F.floor(F.col("part") / BLOCK).alias("block")).agg(F.sum("n").alias("all"))
+    blocks = blocks.select("block", F.coalesce(F.sum("all").over(Window.orderBy("block").rowsBetween(*earlier)), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(*earlier)), F.lit(0))
+    bases = saved(counts.withColumn("block", F.floor(F.col("part") / BLOCK)).join(blocks, "block").select("part", (F.col("base") + within).alias("base")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS)))
@@ -104,19 +117,24 @@ def training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, shard:
     def slot_of(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), total, key))
 
-    numbered = stored.join(F.broadcast(counts.select("part", before.alias("base"))), "part")
+    numbered = stored.join(small_side(bases), "part")
     slots = numbered.select(slot_of(F.col("base") + F.col("seq")).alias("slot"), "n_tokens", "tokens")
-    where = slots.select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("record"), (F.col("slot") % shard * (2 * length)).alias("byte_offset"), "n_tokens", "tokens")
+    where = slots.select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("record"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "n_tokens", "tokens")
     return where.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """One directory per shard, with one file of equal records: the ids' bytes and a closing line feed.
-
-    A reader takes record r of a shard at byte r * (2 * length + 1).
-    """
+    """One directory per shard, with one file of equal records; record r begins at byte r * ``stride(length)``, which is
+    its ``byte_offset``."""
     ordered = training_order(docs, **options)
-    ordered.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    n = F.hex(F.col("n_tokens"))
+    count = F.unhex(F.concat(F.substring(F.lpad(n, 4, "0"), 3, 2), F.substring(F.lpad(n, 4, "0"), 1, 2)))
+    ordered.select("shard", F.concat(count, F.col("tokens")).cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+
+
+def read_record(data: bytes) -> np.ndarray:
+    """The ids that count of one record of ``write_shards``."""
+    return np.frombuffer(data[2:-1], "<u2")[: int.from_bytes(data[:2], "little")]
 
 
 def training_order_digest(docs: DataFrame) -> DataFrame:
