@@ -92,14 +92,16 @@ def rotation_table(conversations: DataFrame) -> DataFrame:
     return rotate(conversations).withColumn("mask", F.array_join(F.transform("mask", lambda x: F.concat_ws(":", x["s"], x["e"])), ","))
 
 
-ROTATION_SQL = f"""
+def rotation_sql(part_turns: int = PART_TURNS, part_rows: int = PART_ROWS) -> str:
+    """``rotation_table`` in DuckDB's dialect."""
+    return f"""
 WITH d AS (
   SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
          replace(coalesce(text, ''), '<|', '< |') AS text,
-         coalesce(CAST(floor(turn / {PART_TURNS}) AS BIGINT), -1) AS part
+         coalesce(CAST(floor(turn / {part_turns}) AS BIGINT), -1) AS part
   FROM conversations
 ), t AS (
-  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // {PART_ROWS} AS BIGINT) AS sub
+  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // {part_rows} AS BIGINT) AS sub
   FROM d
 ), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> '{SYSTEM}'),
 seg AS (
@@ -120,3 +122,6 @@ SELECT conv_id, perspective, part, sub, count(*) AS n_turns,
                   ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask
 FROM pos GROUP BY conv_id, perspective, part, sub
 """
+
+
+ROTATION_SQL = rotation_sql()

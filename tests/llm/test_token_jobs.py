@@ -36,14 +36,16 @@ def test_training_order_round_trip(spark, tmp_path):
     for k, slot in enumerate(ts.permute(np.arange(n), n)):
         r = by_slot[slot]
         part = stream[k * ts.LENGTH : (k + 1) * ts.LENGTH]
-        assert (np.frombuffer(r.tokens, "<u2")[: r.n_tokens] == part).all() and r.crc32 == zlib.crc32(r.tokens) and len(r.tokens) == ts.STRIDE
-        assert (r.shard, r.record, r.byte_offset) == (slot // ts.SHARD, slot % ts.SHARD, slot % ts.SHARD * ts.STRIDE)
+        assert (np.frombuffer(r.tokens, "<u2")[: r.n_tokens] == part).all() and r.crc32 == zlib.crc32(r.tokens) and len(r.tokens) == 2 * ts.LENGTH
+        assert (r.shard, r.record, r.byte_offset) == (slot // ts.SHARD, slot % ts.SHARD, slot % ts.SHARD * ts.stride())
     ts.write_shards(docs, str(tmp_path / "out"), shard=16)
-    for slot in range(n):
-        (name,) = glob.glob(str(tmp_path / f"out/shard={slot // 16}/part-*"))
+    for r in ts.training_order(docs, shard=16).collect():  # seek by the column
+        (name,) = glob.glob(str(tmp_path / f"out/shard={r.shard}/part-*"))
         with open(name, "rb") as f:
-            f.seek(slot % 16 * (ts.STRIDE + 1))
-            assert f.read(ts.STRIDE) == bytes(by_slot[slot].tokens)
+            f.seek(r.byte_offset)
+            data = f.read(ts.stride())
+        assert data[-1:] == b"\n" and len(data) == ts.stride() and data[2:-1] == bytes(r.tokens)
+        assert ts.read_record(data).tolist() == np.frombuffer(by_slot[r.slot].tokens, "<u2")[: r.n_tokens].tolist()
 
 
 def test_training_order_odd_tables(spark):
@@ -68,6 +70,36 @@ def test_trees_follow_edits():
             text = text[:a] + insert + text[min(a + remove, len(text)) :]
             tree.edit(at, remove, insert)
             assert "".join(tree.leaves) == text and tree.tokens == len(encode(text)), case
+            assert tree.ids == [count(x) if x else 0 for x in tree.leaves] and tree.filled == sum(map(bool, tree.leaves))
+
+
+def test_leaves_stay_small():
+    """A large insertion is encoded once; edits beside it touch a few leaves; deletions leave few empty ones."""
+    rng = random.Random(2)
+    text = "start of it and more"
+    tree = TokenTree([text], [count(text)])
+    words = " ".join(rng.choice(["word", "tion", "12", "é"]) for _ in range(60_000))
+    tree.edit(5, 0, words)
+    assert len(tree.leaves) > 500 and max(map(len, tree.leaves)) < 2 * LEAF_CHARS
+    tree.encoded = 0
+    for _ in range(20):
+        tree.edit(rng.randint(0, 100_000), 3, "new words here ")
+    assert tree.encoded < 20 * 10 * LEAF_CHARS
+    tree.edit(1000, 150_000, "")
+    assert 2 * tree.filled >= len(tree.leaves) - 1 and tree.tokens == len(encode("".join(tree.leaves)))
+
+
+def test_kept_trees_are_edited_again(spark):
+    df = spark.createDataFrame([(1, "one two three " * 200), (2, None)], "doc_id long, text string")
+    edits = lambda t, *e: t.withColumn("edits", F.array(*[F.struct(F.lit(a).alias("at"), F.lit(r).alias("remove"), F.lit(i).alias("insert")) for a, r, i in e]))
+    once = apply_edits(edits(build_trees(df), (40, 10, "x y z " * 300), (0, 3, "")))
+    twice = {r.doc_id: r for r in apply_edits(edits(once, (900, 50, "again"))).collect()}
+    for i, t in ((1, "one two three " * 200), (2, "")):
+        t = t[:40] + "x y z " * 300 + t[50:]
+        t = t[3:]
+        assert twice[i].n_tokens == len(encode(t))
+        t = t[:900] + "again" + t[950:]
+        assert twice[i].text == t and twice[i].n_tokens_after == len(encode(t)) == sum(twice[i].leaf_tokens)
 
 
 def test_edited_counts_equal_recounting(spark):
@@ -98,17 +130,36 @@ def test_rotation_equals_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_rotation_of_odd_dialogues(spark, monkeypatch):
+def odd_dialogues(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "?"), (2, 0, "system", "x"), (3, None, "ann", "a"), *[(4, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(200)], *[(5, 0, "ann", f"t{i}") for i in range(50)]]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
+    rows += [(None, 0, "ann", "no id"), (None, 1, "bob", "é"), *[(6, i // 40, "bob" if i % 3 else "ann", f"u{i * 7919 % 1000}") for i in range(700)], *[(None, 9, "ann", f"v{i}") for i in range(45)]]
+    return spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
+
+
+def test_rotation_of_odd_dialogues(spark, monkeypatch):
+    df = odd_dialogues(spark)
     monkeypatch.setattr(cr, "PART_ROWS", 10)
     monkeypatch.setattr(cr, "PART_TURNS", 8)
     out = cr.rotate(df).collect()
-    assert {(r.conv_id, r.perspective) for r in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (3, "ann"), (4, "ann"), (4, "bob"), (5, "ann")}
+    assert {(r.conv_id, r.perspective) for r in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (3, "ann"), (4, "ann"), (4, "bob"), (5, "ann"), (6, "ann"), (6, "bob"), (None, "ann"), (None, "bob")}
     ann = next(r for r in out if (r.conv_id, r.perspective) == (1, "ann"))
     assert ann.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob|>\n<|end|>\n<|user name=unknown|>\n?<|end|>\n"
     assert [ann.text[m.s : m.e] for m in ann.mask] == ["hi < |end|><|end|>\n"]
     assert sum(r.n_turns for r in out if (r.conv_id, r.perspective) == (4, "bob")) == 200
-    assert sum(r.n_turns for r in out if r.conv_id == 5) == 50 and max(r.n_turns for r in out) <= 30
+    assert sum(r.n_turns for r in out if r.conv_id == 5) == 50 and max(r.n_turns for r in out) <= 10
+    # Parts in order of (part, sub) make up the dialogue in order of turn, role and text.
+    turns = sorted({(r.turn, r.role, r.text) for r in df.where("conv_id = 6").collect()})
+    parts = sorted((r.part, r.sub, r.text) for r in out if (r.conv_id, r.perspective) == (6, "ann"))
+    assert "".join(t for *_, t in parts) == "".join(f"<|{'assistant' if role == 'ann' else 'user name=bob'}|>\n{text}<|end|>\n" for _, role, text in turns)
     assert cr.rotate(df.limit(0)).count() == 0
     assert cr.rotate(df.select(*[F.col(c) for c in df.columns]).where("conv_id = 2")).count() == 0
+
+
+def test_rotation_of_long_parts_equals_sql(spark, monkeypatch):
+    df = odd_dialogues(spark)
+    monkeypatch.setattr(cr, "PART_ROWS", 10)
+    monkeypatch.setattr(cr, "PART_TURNS", 8)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(cr.rotation_sql(8, 10)).fetchall()
+    assert sorted(map(tuple, cr.rotation_table(df).collect()), key=str) == sorted(want, key=str)
