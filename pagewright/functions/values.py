@@ -12,9 +12,20 @@ NOISE_CHARS = ["|", "~", "`", "^", "\x00"]
 RADIO_TEXTS = ["O", "o", "0", "Oo", "oO", "OO", "oo", "()", "[]", "C", "Q", "G", "©", "®", "™", "¢"]
 USEFUL_SINGLES = list("aeiouAEIOUyY0123456789OoXx=()[]{}:;.,+-*/\"'")
 
-#: Second letters after O and o that begin words, and the whole words that begin with Or and or.
-AFTER_BIG_O, AFTER_SMALL_O = "bcfhijklmnpqstuvwxyz", "bcdfhijklmnpqstuvwxyz"
-SAFE_STEMS = ["rden", "rdena", "rdenar", "rdenado", "rdenamiento", "rigen", "riginal", "rientación", "rientado", "ración", "rganizar", "rganización", "ro"]
+# Beginnings of words with O and o that are no circle sign, and whole words with Or and or that are none.
+O_BEGINNINGS = [
+    "Ob", "Oc", "Of", "Oh", "Oi", "Oj", "Ok", "Ol", "Om", "On", "Op", "Oq", "Os", "Ou", "Ov", "Ow", "Ox", "Oy", "Oz",
+    "ob", "oc", "od", "of", "oh", "oi", "oj", "ok", "ol", "om", "on", "op", "oq", "os", "ou", "ov", "ow", "ox", "oy", "oz",
+    "Ot", "ot",
+]
+OR_WORDS = [
+    "Orden", "orden", "Ordena", "ordena", "Ordenar", "ordenar", "Ordenado", "ordenado", "Ordenamiento", "ordenamiento",
+    "Origen", "origen", "Original", "original", "Orientación", "orientación", "Orientado", "orientado", "Oración", "oración",
+    "Organizar", "organizar", "Organización", "organización", "Oro", "oro",
+]
+#: Second letters of the former by their first, and the latter without their first letter: what patterns are made of.
+AFTER_BIG_O, AFTER_SMALL_O = ("".join(sorted(x[1] for x in O_BEGINNINGS if x[0] == o)) for o in "Oo")
+SAFE_STEMS = list(dict.fromkeys(x[1:] for x in OR_WORDS))
 
 SPACE = r"(?U)^\s+|\s+$"
 
