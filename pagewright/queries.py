@@ -268,12 +268,13 @@ def c3(spark, d):
     return C.select_best(with_rank(C.score_candidates(cand_words(spark, d)))).select("image_id", "variant", "psm", "score", "phase")
 
 
-@query("c4_pending_tasks", sql("""SELECT image_id, CAST(v AS INT) AS variant, p AS psm FROM (SELECT DISTINCT image_id FROM scores), (SELECT unnest(range(3, 6)) AS v), (SELECT unnest([3, 6]) AS p)
-  WHERE image_id NOT IN (SELECT image_id FROM scores WHERE phase <> '2' AND score >= 2400)"""))
+@query("c4_pending_tasks", sql("""SELECT image_id, CAST(v AS INT) AS variant, p AS psm, CASE WHEN v < 3 THEN '1B' ELSE '2' END AS phase FROM (SELECT DISTINCT image_id FROM scores), (SELECT unnest(range(0, 6)) AS v), (SELECT unnest([3, 6]) AS p)
+  WHERE (v < 3 AND p = 6 AND image_id NOT IN (SELECT image_id FROM scores WHERE phase = '1A' AND score >= 2400))
+    OR (v >= 3 AND image_id NOT IN (SELECT image_id FROM scores WHERE phase <> '2' AND score >= 2400))"""))
 def c4(spark, d):
     scores = with_rank(C.score_candidates(cand_words(spark, d)))
     grid = C.task_grid(scores.select("image_id").distinct().withColumn("is_screenshot", F.lit(True)))
-    return C.pending_tasks(grid, scores, "2").select("image_id", "variant", "psm")
+    return C.pending_tasks(grid, scores, "1B").unionByName(C.pending_tasks(grid, scores, "2")).select("image_id", "variant", "psm", "phase")
 
 
 @query("c5_keep_winner_words", sql("SELECT c.image_id, c.variant, c.psm, count(*) AS n, sum(conf) AS conf FROM cand c JOIN best b ON c.image_id = b.image_id AND c.variant = b.variant AND c.psm = b.psm GROUP BY ALL"))
@@ -532,17 +533,22 @@ def e9(spark, d):
 # Images.
 PIX = """SELECT vec_id AS image_id, i - 1 AS i, CAST(floor((e - lo) / (hi - lo) * 255) AS BIGINT) AS v FROM (
   SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) WHERE hi > lo"""
-LAP = """SELECT c.image_id, var_pop(u.v + d.v + l.v + r.v - 4 * c.v) AS laplacian_var FROM pix c
+LAP = """SELECT image_id, (64 * sum(e * e) - sum(e) * sum(e))::DOUBLE / 4096 AS laplacian_var FROM (SELECT c.image_id, u.v + d.v + l.v + r.v - 4 * c.v AS e FROM pix c
   JOIN pix u ON u.image_id = c.image_id AND u.i = c.i + CASE WHEN c.i < 8 THEN 8 ELSE -8 END
   JOIN pix d ON d.image_id = c.image_id AND d.i = c.i + CASE WHEN c.i >= 56 THEN -8 ELSE 8 END
   JOIN pix l ON l.image_id = c.image_id AND l.i = c.i + CASE WHEN c.i % 8 = 0 THEN 1 ELSE -1 END
-  JOIN pix r ON r.image_id = c.image_id AND r.i = c.i + CASE WHEN c.i % 8 = 7 THEN -1 ELSE 1 END GROUP BY c.image_id"""
+  JOIN pix r ON r.image_id = c.image_id AND r.i = c.i + CASE WHEN c.i % 8 = 7 THEN -1 ELSE 1 END) GROUP BY image_id"""
 ENT = "SELECT image_id, -sum(n / 64.0 * log2(n / 64.0)) AS entropy FROM (SELECT image_id, v, count(*) AS n FROM pix GROUP BY image_id, v) GROUP BY image_id"
 STD = "SELECT image_id, stddev_pop(v) AS contrast FROM pix GROUP BY image_id"
 FEAT = f"pix AS ({PIX}), lap AS ({LAP}), ent AS ({ENT}), std AS ({STD}), feat AS (SELECT lap.image_id, laplacian_var, entropy, contrast, laplacian_var > 300 AND entropy < 6.8 AS ss FROM lap JOIN ent ON lap.image_id = ent.image_id JOIN std ON lap.image_id = std.image_id)"
 TIER = "CASE WHEN ss AND laplacian_var > 500 THEN 'alta' WHEN (laplacian_var > 100 AND contrast > 30) OR (ss AND laplacian_var > 200) THEN 'media' ELSE 'baja' END"
 
 
+def half_even(c: str, digits: int) -> str:
+    x = f"({c} * {10**digits})"
+    return f"CASE WHEN {x} - floor({x}) = 0.5 THEN (floor({x}) + floor({x}) % 2) / {10**digits} ELSE round({c}, {digits}) END"
+
+
 def features(spark, d) -> DataFrame:
     return I.pixel_features(X.images(spark, d), resize=False)
 
@@ -580,9 +586,9 @@ def i6(spark, d):
     return X.image_sizes(spark, d).select("image_id", I.suggested_confidence(tier, F.least("width", "height")).alias("suggested_confidence"))
 
 
-@query("i7_image_quality", f"WITH {FEAT} SELECT image_id, ss AS is_screenshot, 8 AS width, 8 AS height, 64::BIGINT AS total_pixels, 8 AS min_dimension, 3.0::DOUBLE AS suggested_confidence, {TIER} AS quality_tier FROM feat")
+@query("i7_image_quality", f"WITH {FEAT} SELECT image_id, ss AS is_screenshot, 8 AS width, 8 AS height, 64::BIGINT AS total_pixels, 8 AS min_dimension, 3.0::DOUBLE AS suggested_confidence, {TIER} AS quality_tier, {half_even('laplacian_var', 1)} AS sharpness, {half_even('entropy', 2)} AS entropy, {half_even('contrast', 1)} AS contrast FROM feat")
 def i7(spark, d):
-    return I.image_quality(features(spark, d)).drop("sharpness", "entropy", "contrast")
+    return I.image_quality(features(spark, d))
 
 
 @query("i8_upscale_plan", sql("""SELECT image_id, scale, CAST(floor(height * scale) AS INT) AS new_height, CAST(floor(width * scale) AS INT) AS new_width, CAST(floor(height * scale) AS INT) + 160 AS padded_height, CAST(floor(width * scale) AS INT) + 160 AS padded_width
@@ -629,9 +635,9 @@ def s1(spark, d):
     return named.where(S.accepted_suffix(F.col("url")))
 
 
-@query("s2_read_ocr_words", sql(f"""SELECT image_id, ord, text, conf, "left", top, width, height, line_num, word_num FROM ocr_words WHERE regexp_matches(text, '^[^\\s]+$')"""))
+@query("s2_read_ocr_words", sql("""SELECT image_id, ord, nullif(replace(text, chr(9), ' '), '') AS text, conf, "left", top, width, height, line_num, word_num FROM ocr_words"""))
 def s2(spark, d):
-    words = X.ocr_words(spark, d).where(F.col("text").rlike(r"^[^\s]+$"))
+    words = X.ocr_words(spark, d).withColumn("text", F.translate("text", "\t", " "))  # a tab ends a field of such tables
     names = [c.split()[0] for c in S.WORD_SCHEMA.split(", ")]
     rows = words.select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in names]).alias("value"))
     return S.parse_word_rows(rows).select("image_id", "ord", "text", "conf", "left", "top", "width", "height", "line_num", "word_num")

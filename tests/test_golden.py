@@ -2,10 +2,12 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.functions import values as V
 from pagewright.operators import exam, images
 from pagewright.operators.layout import indent_of, join_words
 from pagewright.sources import io
@@ -116,3 +118,53 @@ def test_one_decimal(spark):
     values = [k / 20 for k in range(0, 2001)] + [k / 140 for k in range(0, 14001, 7)] + [0.25, 0.35, 0.15, 53.25, 1e-9, 99.95]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r.t for r in df.select(T.one_decimal(F.col("x")).alias("t")).collect()] == [f"{v:.1f}" for v in values]
+
+
+def test_code_lines(spark):
+    """One literal line for each pattern and operator, and lines of prose that match none."""
+    code = [
+        "if x", "elif y", "return 3", "from here on", "x = 1", "total_2 =3", "f(1)", "do print (x)", "y: input(", "# note", "for i in range (3)", "n len(x)", "n int(x)", "n str(x)", "n float(x)", "n list(x)", "n dict(x)",
+        "es True", "es None", "x[1] = 2", "class {", "}", "a;", "public static x", "int n", "n System.out", "Console.Read", "n cout << a", "n cin >> a", "n printf (", "n scanf(", "a == b", "a >= b", "a <= b", "a != b", "a += b", "a -= b", "a *= b", "a /= b", "a %= b",
+        "a => b", "a -> b",
+    ]
+    prose = ["Elige la correcta", "uno", "El valor", "Printing", "Truey", "size int", "(a)", "iffy", "¿Cual es?", ""]
+    df = spark.createDataFrame([(t,) for t in code + prose], "s string").select("s", T.is_code_line(F.col("s")).alias("c"))
+    assert [r.s for r in df.collect() if r.c] == code
+
+
+def test_words_with_circle_signs(spark):
+    assert set(V.AFTER_BIG_O) == set("bcfhijklmnopqstuvwxyz") - {"o"} and set(V.AFTER_SMALL_O) - set(V.AFTER_BIG_O) == {"d"}
+    assert len(V.SAFE_STEMS) == 13 and V.SAFE_STEMS[0] == "rden"
+
+
+def plain_resize(gray, height, width):
+    """Cell by cell: mean of what a new cell covers when shrinking, linear between cell centres when growing."""
+
+    def axis(old, new):
+        out = []
+        for k in range(new):
+            if new <= old:
+                lo, hi = k * old / new, (k + 1) * old / new
+                w = {i: max(0.0, min(hi, i + 1) - max(lo, i)) / (hi - lo) for i in range(int(lo), min(old, int(np.ceil(hi))))}
+            else:
+                at = min(max((k + 0.5) * old / new - 0.5, 0), old - 1)
+                low = min(int(at), max(old - 2, 0))
+                w = {low: 1 - (at - low)}
+                w[min(low + 1, old - 1)] = w.get(min(low + 1, old - 1), 0) + at - low
+            out.append(w)
+        return out
+
+    rows, cols = axis(gray.shape[0], height), axis(gray.shape[1], width)
+    return np.array([[sum(a * b * float(gray[i, j]) for i, a in r.items() for j, b in c.items()) for c in cols] for r in rows])
+
+
+@pytest.mark.parametrize("shape", [(7, 5), (40, 13), (4, 40), (17, 29), (1, 9)])
+def test_resizing_of_pictures(shape):
+    gray = np.random.default_rng(sum(shape)).integers(0, 256, shape).astype(np.uint8)
+    assert np.abs(images.resized(gray, 12, 15).astype(float) - plain_resize(gray, 12, 15)).max() <= 0.5 + 1e-9
+
+
+def test_colours_to_gray():
+    bgr = np.random.default_rng(3).integers(0, 256, (6, 9, 3)).astype(np.uint8)
+    got = images.gray_of(bgr.tobytes(), 6, 9, 3).astype(float)
+    assert np.abs(got - (0.114 * bgr[:, :, 0] + 0.587 * bgr[:, :, 1] + 0.299 * bgr[:, :, 2])).max() <= 0.51
