@@ -43,7 +43,7 @@ POINTS_MARGIN = 4.6
 #: Places that the pairs of one node are dealt to, by their other node.
 SLOTS = 256
 #: Bytes of candidates' texts up to which they are broadcast to their pairs.
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 16 << 20
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 found, row = shingles(Texts(part.column("text")))
                 size = np.bincount(row, minlength=part.num_rows)
                 keys = band_keys(bag_signatures(*multisets(found, row), part.num_rows, k), bands, rows).view(np.int64)
@@ -180,12 +180,14 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (F.broadcast(texts.toDF(side, f"text_{side}")) for side in "ab")
         both = pairs.repartition(tasks).join(left, "a").join(right, "b")
     else:
-        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-        dealt = pairs.select("*", slot("b").alias("slot_a"), slot("a").alias("slot_b"))
-        ends = dealt.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("slot_a").alias("slot")), F.struct(F.col("b").alias("node"), F.col("slot_b").alias("slot")))).alias("x")).select("x.*").distinct()
-        held = saved(texts.join(small_side(saved(ends)), "node").select("node", "slot", "text"))
-        left, right = (held.toDF(side, f"slot_{side}", f"text_{side}") for side in "ab")
-        both = dealt.join(left, ["a", "slot_a"]).join(right, ["b", "slot_b"])
+        # A node and a slot in one long: node numbers have at least eight bits to spare.
+        place = lambda node, other: F.col(node) * SLOTS + F.pmod(F.xxhash64(other), F.lit(SLOTS))
+        dealt = pairs.select("*", place("a", "b").alias("place_a"), place("b", "a").alias("place_b"))
+        ends = dealt.select(F.explode(F.array("place_a", "place_b")).alias("place")).distinct()
+        ends = saved(ends.withColumn("node", F.shiftright("place", SLOTS.bit_length() - 1)))
+        held = saved(texts.join(small_side(ends), "node").select("place", "text"), sized=False)
+        left, right = (held.toDF(f"place_{side}", f"text_{side}") for side in "ab")
+        both = dealt.join(left, "place_a").join(right, "place_b")
     return both.select("a", "b", "ra", "rb", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint, shared bigint, linked boolean")
 
 

@@ -146,7 +146,7 @@ def test_one_id_with_two_texts(spark):
 
 def test_texts_that_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr("pagewright.llm.near_dup.TEXT_BYTES", 0)
-    monkeypatch.setattr("pagewright.llm.near_dup.SLOTS", 3)
+    monkeypatch.setattr("pagewright.llm.near_dup.SLOTS", 4)
     rows = [(i, t) for i, t in chains(21) if t][:120]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
