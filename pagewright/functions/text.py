@@ -21,7 +21,8 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, V.SPACE, "")
+    """``c`` without white space at its ends."""
+    return F.btrim(c, F.lit(V.BLANKS))
 
 
 def lstrip(c: Column) -> Column:

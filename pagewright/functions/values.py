@@ -27,7 +27,8 @@ OR_WORDS = [
 AFTER_BIG_O, AFTER_SMALL_O = ("".join(sorted(x[1] for x in O_BEGINNINGS if x[0] == o)) for o in "Oo")
 SAFE_STEMS = list(dict.fromkeys(x[1:] for x in OR_WORDS))
 
-SPACE = r"(?U)^\s+|\s+$"
+#: All Unicode white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 QUESTION_HEAD = r"(?iuU)^\s*(Pregunta\s+\d+|\d{1,3}[.)\-]\s+[A-ZÁÉÍÓÚÑ¿¡]|Q\d{1,3}[.:)]\s)"
 OPTION_LINE = r"(?U)^\s*([○☐☑]|[a-dA-D][).])\s"

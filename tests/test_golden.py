@@ -168,3 +168,9 @@ def test_colours_to_gray():
     bgr = np.random.default_rng(3).integers(0, 256, (6, 9, 3)).astype(np.uint8)
     got = images.gray_of(bgr.tobytes(), 6, 9, 3).astype(float)
     assert np.abs(got - (0.114 * bgr[:, :, 0] + 0.587 * bgr[:, :, 1] + 0.299 * bgr[:, :, 2])).max() <= 0.51
+
+
+def test_strip_takes_all_white_space(spark):
+    texts = ["", " ", " a ", "  a b　\n", "\x85x\x0b", "​z", "é \t", "\x1fq", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select(T.strip(F.col("s")).alias("a"), F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("b"))
+    assert all(r.a == r.b for r in df.collect())
