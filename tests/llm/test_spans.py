@@ -173,16 +173,16 @@ def test_entropy_spans_equal_plain_python(spark):
 
 
 def test_long_runs_and_many_matches(spark):
-    """A megabyte of one candidate, and a hundred thousand matches in one text."""
+    """A quarter of a megabyte of one candidate, and forty thousand matches in one text."""
     rng = random.Random(1)
-    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
-    mails = "".join(f"u{i}@mail.example.org, " for i in range(100_000))
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 18))
+    mails = "".join(f"u{i}@mail.example.org, " for i in range(40_000))
     began = time.time()
     r = find_secrets(spark.createDataFrame([(1, f"see {blob} end")], "doc_id long, text string")).first()
-    assert len(r.secrets) > 100 and max(x.e - x.s for x in r.secrets) > 2000
+    assert len(r.secrets) > 30 and max(x.e - x.s for x in r.secrets) > 2000
     r = pii_digest(spark.createDataFrame([(1, mails)], "doc_id long, text string")).first()
-    assert r.n_email == 100_000
-    assert time.time() - began < 90
+    assert r.n_email == 40_000
+    assert time.time() - began < 60
 
 
 def test_masks_of_overlapping_spans(spark):
