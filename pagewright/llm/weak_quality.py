@@ -129,7 +129,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 got = measure(part.column(text))
                 yield pa.RecordBatch.from_arrays([*[pa.array(got[f].astype(np.int64)) for f in FEATURES], *part.columns], [*FEATURES, *part.schema.names])
 
