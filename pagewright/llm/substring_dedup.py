@@ -34,6 +34,8 @@ from pagewright.llm.wordscan import Texts, grams, inside, mix, row_index, slices
 WINDOW, GRAM = 35, 8
 #: Windows in one super-k-mer at most, super-k-mers in one bucket about at most.
 RUN_WINDOWS, BUCKET_ROWS = 256, 1024
+#: Bytes of ranges up to which they are broadcast to the texts; they grow with the corpus, so beyond little ones both move.
+RANGES_BYTES = 4 << 20
 #: End of a range that covers a whole document.
 ALL = 2**31 - 1
 CHUNK_BYTES = 4 << 20
@@ -253,5 +255,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    both = keyed(docs).join(small_side(ranges), ["did", "rid"], "left").select(F.col("doc_id").cast("long"), "text", "ranges")
+    both = keyed(docs).join(small_side(ranges, RANGES_BYTES), ["did", "rid"], "left").select(F.col("doc_id").cast("long"), "text", "ranges")
     return both.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
