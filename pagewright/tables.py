@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ ROW_BYTES = 32
 TASK_ROWS = 50_000
 
 _own_scratch: list[str] = []
-_written: list[str] = []
+#: Tables of the innermost workspace of this thread, and those written outside any.
+_inside: ContextVar[list[str] | None] = ContextVar("tables of the workspace", default=None)
+_loose: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -62,7 +65,7 @@ def saved(df: DataFrame, rows: int | None = None, sized: bool = True) -> DataFra
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    _written.append(path)
+    _own().append(path)
     seen = Observation()
     out = df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))
     out.observe(seen, *measures(df)[: 1 + sized]).write.parquet(path)
@@ -77,25 +80,47 @@ def rows_of(df: DataFrame) -> int:
     return df._pagewright[0]
 
 
-def drop_saved(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> int:
-    """Delete the tables that ``saved`` wrote in this process, once no result needs them; returns how many."""
+def _own() -> list[str]:
+    inside = _inside.get()
+    return _loose if inside is None else inside
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    kept = {df._pagewright[2] for df in keep}
-    gone = [p for p in _written[since:] if p not in kept]
-    _written[since:] = [p for p in _written[since:] if p in kept]
     n = 0
-    for name in gone:
+    for name in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+def drop_saved(spark: SparkSession) -> int:
+    """Delete the tables that ``saved`` wrote in this process outside workspaces or that workspaces kept, once no result
+    needs them; returns how many."""
+    gone = _loose[:]
+    del _loose[: len(gone)]
+    return _delete(spark, gone)
+
+
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables saved inside go at its end, but for those put into the list it gives."""
-    since, keep = len(_written), []
-    yield keep
-    drop_saved(spark, since, tuple(keep))
+    """Tables that this thread saves inside go at its end, but for those put into the list it gives.
+
+    What is kept belongs to the workspace around this one, if there is one. After an error nothing is kept. Tables of
+    other threads, and of workspaces around this one, are never touched.
+    """
+    mine, keep = [], []
+    token = _inside.set(mine)
+    try:
+        yield keep
+    except BaseException:
+        keep.clear()
+        raise
+    finally:
+        _inside.reset(token)
+        kept = {df._pagewright[2] for df in keep}
+        _own().extend(p for p in mine if p in kept)
+        _delete(spark, [p for p in mine if p not in kept])
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES, size_of: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tables between steps: sizes from the write, broadcasts within a bound, clean-up."""
 
 import os
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -43,6 +44,39 @@ def test_a_workspace_leaves_what_it_is_told_to(spark):
     assert tables.drop_saved(spark) >= 1 and not os.path.exists(kept._pagewright[2])
 
 
+def test_workspaces_of_two_threads_leave_each_other_alone(spark):
+    opened, done = threading.Event(), threading.Event()
+    seen = {}
+
+    def other():
+        opened.wait(60)
+        with tables.workspace(spark) as keep:
+            seen["table"] = tables.saved(spark.range(5))
+            keep.append(seen["table"])
+        seen["loose"] = tables.saved(spark.range(6))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with tables.workspace(spark):
+        mine = tables.saved(spark.range(7))
+        opened.set()
+        done.wait(120)
+        assert mine.count() == 7
+    thread.join()
+    assert seen["table"].count() == 5 and seen["loose"].count() == 6 and not os.path.exists(mine._pagewright[2])
+    tables.drop_saved(spark)
+
+
+def test_an_error_leaves_no_table(spark):
+    with pytest.raises(KeyError), tables.workspace(spark) as keep:
+        keep.append(tables.saved(spark.range(3)))
+        with tables.workspace(spark) as inner:
+            inner.append(tables.saved(spark.range(4)))
+        raise KeyError("x")
+    assert not any(os.path.exists(df._pagewright[2]) for df in (*keep, *inner)) and tables.drop_saved(spark) == 0
+
+
 def test_few_rows_make_few_files(spark):
     out = tables.saved(spark.range(1000, numPartitions=8), rows=1000)
     assert out.rdd.getNumPartitions() == 1
