@@ -116,15 +116,15 @@ def lines_digest(docs: DataFrame) -> DataFrame:
 
 LINES_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(x, 1) AS at, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+  SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
 ), keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM lines
 ), shared AS (
   SELECT key, max(doc_id) AS last_id FROM keyed WHERE length(key) >= {LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}
 ), judged AS (
-  SELECT k.doc_id, k.at, k.line, s.key IS NOT NULL AND k.doc_id <> s.last_id AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
+  SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id <> s.last_id AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
