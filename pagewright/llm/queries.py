@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm.chat_rotation import ROTATION_SQL, rotation_table
 from pagewright.llm.decontaminate import contamination
 from pagewright.llm.edit_counts import edited_counts
+from pagewright.llm.lexical_search import SEARCH_SQL, ranked_documents
 from pagewright.llm.line_dedup import LINES_SQL, lines_digest
 from pagewright.llm.near_dup import near_duplicates
 from pagewright.llm.packing import pack
@@ -65,10 +66,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_digest(_documents(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def llm_queries() -> dict:
-    own = [op1_decontamination, op2_training_order, op3_chat_rotation, op4_weak_quality, op5_secret_scan, op6_token_counts, op7_substring_dedup, op8_near_duplicates, op9_packing, op10_personal_data, op11_line_dedup]
+    own = [op1_decontamination, op2_training_order, op3_chat_rotation, op4_weak_quality, op5_secret_scan, op6_token_counts, op7_substring_dedup, op8_near_duplicates, op9_packing, op10_personal_data, op11_line_dedup, op12_lexical_search]
     return {f.__name__: f for f in own}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_chat_rotation": ROTATION_SQL, "op11_line_dedup": LINES_SQL}
+    return {"op3_chat_rotation": ROTATION_SQL, "op11_line_dedup": LINES_SQL, "op12_lexical_search": SEARCH_SQL}

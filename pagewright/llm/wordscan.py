@@ -61,9 +61,10 @@ class Texts:
         """Offsets into sorted ``positions`` where each row's begin; n + 1 values."""
         return np.searchsorted(positions, self.edges)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end bytes of all words, and where each row's words begin."""
-        solid = ~SPACE[self.bytes]
+    def words(self, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end bytes of all words, and where each row's words begin. ``inside``: by byte, whether it belongs
+        to a word; without it, all but blanks do."""
+        solid = ~SPACE[self.bytes] if inside is None else inside[self.bytes]
         starts, ends = solid.copy(), solid.copy()
         starts[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
