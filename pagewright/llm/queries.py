@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.chat_rotation import ROTATION_SQL, rotation_table
+from pagewright.llm.conversation_repair import damage_report
 from pagewright.llm.decontaminate import contamination
 from pagewright.llm.edit_counts import edited_counts
 from pagewright.llm.lexical_search import SEARCH_SQL, ranked_documents
@@ -70,8 +71,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def llm_queries() -> dict:
-    own = [op1_decontamination, op2_training_order, op3_chat_rotation, op4_weak_quality, op5_secret_scan, op6_token_counts, op7_substring_dedup, op8_near_duplicates, op9_packing, op10_personal_data, op11_line_dedup, op12_lexical_search]
+    own = [op1_decontamination, op2_training_order, op3_chat_rotation, op4_weak_quality, op5_secret_scan, op6_token_counts, op7_substring_dedup, op8_near_duplicates, op9_packing, op10_personal_data, op11_line_dedup, op12_lexical_search, op13_conversation_repair]
     return {f.__name__: f for f in own}
 
 
