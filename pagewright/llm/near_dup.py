@@ -20,9 +20,10 @@ Work and data movement:
 Signatures miss a pair of exactly 0.8 with chance (1 - 0.8**ROWS)**BANDS, about 6e-5, and closer pairs less.
 
 Null text counts as empty; texts without words are linked to identical texts only. A class is named by its lowest
-doc_id, which is null if all its ids are, and kept in the document of that id (of the least text hash, if several have
-it). Rows with one id and different texts join their classes; rows equal in id and text are alike. An empty table
-gives an empty result; further columns are not looked at.
+doc_id, which is null if all its ids are, and kept in the document of that id. An id that stands for different texts
+links nothing: each of its rows belongs to its text's class, and names it only if no other id does; then the row of the
+least text hash is kept, and two classes may bear one name. Rows equal in id and text are alike. An empty table gives an
+empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -251,15 +252,23 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where("linked and ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def several_texts(sig: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between the nodes of ids that stand for different texts."""
+def ambiguous_ids(sig: DataFrame) -> DataFrame:
+    """The doc_ids that stand for different texts, as a saved table."""
     hashed = F.xxhash64("h")
-    ids = saved(sig.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("h1"), F.max(hashed).alias("h2")).where("h1 != h2").select("doc_id"))
-    if not rows_of(ids):
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    held = sig.select("doc_id", "h").join(small_side(ids), "doc_id").distinct().join(nodes.select("h", "node"), "h").select("doc_id", "node")
-    held = saved(held)
-    return held.join(held.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    ids = sig.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("h1"), F.max(hashed).alias("h2"))
+    return saved(ids.where("h1 != h2").select("doc_id"))
+
+
+def named_nodes(sig: DataFrame) -> DataFrame:
+    """A row for each text, with the doc_id that stands for it: the lowest of those with one text, or else the lowest."""
+    several = ambiguous_ids(sig)
+    clear = F.col("doc_id")
+    if rows_of(several):
+        sig = sig.join(small_side(several.select("doc_id", F.lit(True).alias("several"))), "doc_id", "left")
+        clear = F.when(F.col("several").isNull(), F.col("doc_id"))
+    nodes = sig.groupBy("h").agg(F.count("*").alias("copies"), F.min(clear).alias("clear"), F.min("doc_id").alias("any"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    named = nodes.select("h", "copies", F.coalesce("clear", "any").alias("doc"), F.col("clear").isNull().alias("unclear"), "size", "keys")
+    return saved(named.withColumn("node", F.monotonically_increasing_id()))
 
 
 def rest_of(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
@@ -300,8 +309,7 @@ def classified(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``, as a saved table: doc_id, h (hash of the text), class_id and kept."""
     with workspace(docs.sparkSession) as keep:
         sig = saved(signatures(docs))
-        nodes = sig.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-        nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
+        nodes = named_nodes(sig)
         exploded = nodes.select("node", "size", F.explode("keys").alias("key"))
         shared = saved(exploded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("key", F.col("low.node").alias("low"), F.col("low.size").alias("low_size")))
         members = saved(exploded.join(small_side(shared), "key"))
@@ -313,14 +321,14 @@ def classified(docs: DataFrame) -> DataFrame:
 
         pairs = members.where("node > low").where(close_sizes("size", "low_size")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
         star = measured(saved(pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))), texts)
-        roots = [components(linked(star).union(several_texts(sig, nodes)))]
+        roots = [components(linked(star))]
         roots += rest_of(placed(members.select("key", "node", "size", F.col("node").alias("root")), roots[0], "root"), texts)
 
-        named = nodes.select("h", "copies", "doc", F.col("node").alias("root"))
+        named = nodes.select("h", "copies", "doc", "unclear", F.col("node").alias("root"))
         for r in roots:
             named = placed(named, r, "root")
         named = saved(named)
-        best = named.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "h")).alias("best")).where("n > 1")
+        best = named.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc").isNull().alias("none"), "unclear", "doc", "h")).alias("best")).where("n > 1")
         best = saved(best.select("root", F.col("best.doc").alias("class_id"), F.col("best.h").alias("at")))
         # Rows without copies or links stand for themselves and need not be looked up.
         found = named.join(small_side(best), "root", "left").where("copies > 1 or at is not null")

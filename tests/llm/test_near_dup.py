@@ -132,18 +132,30 @@ def test_two_close_texts_in_a_hot_bucket(spark):
 
 
 def test_one_id_with_two_texts(spark):
-    """Links found through either text of an id hold, on every run; its texts share a class."""
+    """An id that stands for two texts links nothing, and no text is lost."""
     a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
     rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (7, "alone " * 9), (None, b), (8, a), (8, a)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted({(r.doc_id, r.class_id) for r in near_duplicates(df).collect()}, key=str)
-    assert got == [(1, 1), (5, 1), (6, 1), (7, 7), (8, 1), (None, 1)]
+    got = {(r.doc_id, r.text[:1], r.class_id) for r in near_duplicates(df).join(df, "doc_id").collect() if r.doc_id != 1}
+    assert got == {(5, "a", 5), (6, "b", 6), (7, "a", 7), (8, "a", 5)}
+    classes = near_duplicates(df).collect()
+    assert sorted(r.class_id for r in classes if r.doc_id == 1) == [5, 6] and [r.class_id for r in classes if r.doc_id is None] == [6]
     left = one_of_each(df.withColumn("h", F.lit(0)).withColumn("_h", F.lit(1))).collect()
-    assert sorted(r.doc_id for r in left) == [1, 7] and left[0].asDict().keys() == {"doc_id", "text", "h", "_h"}
+    assert sorted(r.doc_id for r in left) == [5, 6, 7] and left[0].asDict().keys() == {"doc_id", "text", "h", "_h"}
     alike = spark.createDataFrame([(4, a), (4, a), (None, b), (None, b)], "doc_id long, text string")
     assert sorted((r.doc_id for r in one_of_each(alike).collect()), key=str) == [4, None]
 
 
+def test_a_shared_id_loses_no_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:1]) for r in one_of_each(df).collect()) == [(2, "a"), (3, "b"), (4, "c")]
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(df).collect()) == [(1, 2), (1, 3), (2, 2), (3, 3), (4, 4)]
+    # Two texts under one id only: both stay.
+    both = one_of_each(df.where("doc_id = 1")).collect()
+    assert sorted(r.text[:1] for r in both) == ["a", "b"]
+
+
 def test_texts_that_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr("pagewright.llm.near_dup.TEXT_BYTES", 0)
     monkeypatch.setattr("pagewright.llm.near_dup.SLOTS", 4)
