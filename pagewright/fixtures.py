@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.tables import bucketed
+
 SPARK_LINES = "SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM {documents} LATERAL VIEW posexplode(split(text, chr(10))) a AS line_no, line"
 SPARK_TOKENS = "SELECT doc_id, line_no, CAST(word_no AS BIGINT) AS word_no, word FROM lines0 LATERAL VIEW posexplode(split(line, ' ')) b AS word_no, word"
 DUCK_LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -103,12 +105,32 @@ def _derived(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     return spark.sql(text, documents=_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Derived tables that were written in buckets by page, by name and folder of the given tables.
+_prepared: dict[tuple[str, str], DataFrame] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Write ``ocr_words`` or ``candidate_words`` in buckets by page; later calls for them read that table."""
+    df = {"ocr_words": ocr_words, "candidate_words": candidate_words}[name](spark, sf_dir)
+    _prepared[name, sf_dir] = bucketed(df, "image_id")
+    return _prepared[name, sf_dir]
+
+
+def is_prepared(sf_dir: str, name: str) -> bool:
+    return (name, sf_dir) in _prepared
+
+
+def forget(sf_dir: str) -> None:
+    for name in ("ocr_words", "candidate_words"):
+        _prepared.pop((name, sf_dir), None)
+
+
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "SELECT * FROM ocr_words")
+    return _prepared[found] if (found := ("ocr_words", sf_dir)) in _prepared else _derived(spark, sf_dir, "SELECT * FROM ocr_words")
 
 
 def candidate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, CANDIDATE_WORDS)
+    return _prepared[found] if (found := ("candidate_words", sf_dir)) in _prepared else _derived(spark, sf_dir, CANDIDATE_WORDS)
 
 
 def exam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

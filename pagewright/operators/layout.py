@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from pagewright.functions import values as V
 from pagewright.functions.text import fix_ocr_text, once
-from pagewright.operators.words import header_lines
+from pagewright.operators.words import is_header
 
 COLUMN_GAP, LINE_GAP, WIDE_GAP = 0.15, 1.8, 3.0
 MAX_INDENT, TEXT_COLUMNS, LEAST_INDENT_PX = 20, 80, 15
@@ -179,32 +179,33 @@ def documents_of(placed: DataFrame) -> DataFrame:
 
 
 def with_empty_pages(pages: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pages; those without blocks get the fixed note and one column."""
-    return pages.join(texts, "image_id", "left").select(
-        *pages.columns,
-        F.coalesce("column_count", F.lit(1)).alias("column_count"),
-        F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
-        F.coalesce("formatted_text", F.lit(V.NO_TEXT)).alias("formatted_text"),
+    """All pages; those without blocks get the fixed note and one column. Columns of ``texts`` that a page has too are
+    the page's."""
+    fixed = {"column_count": F.lit(1), "n_blocks": F.lit(0), "word_count": F.lit(0), "formatted_text": F.lit(V.NO_TEXT)}
+    own = [c for c in texts.columns if c not in pages.columns]
+    return pages.join(texts.select("image_id", *own), "image_id", "left").select(*pages.columns, *[F.coalesce(c, fixed[c]).alias(c) if c in fixed else F.col(c) for c in own])
+
+
+def line_stats(placed: DataFrame) -> DataFrame:
+    """Per page, from the lines of ``place_lines``: total_blocks, total_lines, and its possible headings in order."""
+    head = F.when(is_header(), F.struct("block_ord", "line_ord", "text"))
+    return placed.groupBy("image_id").agg(
+        F.max("block_ord").cast("long").alias("total_blocks"),
+        F.count("*").alias("total_lines"),
+        F.transform(F.array_sort(F.collect_list(head)), lambda x: x["text"]).alias("headers"),
     )
 
 
-def document_stats(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per page: totals, rounded confidence, size, possible headings. ``docs``: image_id, language, image_width,
-    image_height, word_count, avg_confidence."""
-    per_block = lines.groupBy("image_id").agg(F.countDistinct("block_num").alias("total_blocks"), F.count("*").alias("total_lines"))
-    blocks = build_blocks(lines).select("image_id", "block_num", "block_ord")
-    heads = header_lines(lines).join(blocks, ["image_id", "block_num"]).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "line_ord", "text"))), lambda x: x["text"]).alias("headers"))
-    return (
-        docs.join(per_block, "image_id", "left")
-        .join(heads, "image_id", "left")
-        .select(
-            "image_id",
-            F.coalesce("total_blocks", F.lit(0)).alias("total_blocks"),
-            F.coalesce("total_lines", F.lit(0)).alias("total_lines"),
-            F.col("word_count").alias("total_words"),
-            F.bround("avg_confidence", 1).alias("avg_confidence"),
-            "language",
-            F.concat_ws("x", "image_width", "image_height").alias("dimensions"),
-            F.coalesce("headers", F.array().cast("array<string>")).alias("headers"),
-        )
+def document_stats(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per page: totals, rounded confidence, size, possible headings. ``placed``: lines of ``place_lines``; ``docs``:
+    image_id, language, image_width, image_height, word_count, avg_confidence."""
+    return docs.join(line_stats(placed), "image_id", "left").select(
+        "image_id",
+        F.coalesce("total_blocks", F.lit(0)).alias("total_blocks"),
+        F.coalesce("total_lines", F.lit(0)).alias("total_lines"),
+        F.col("word_count").alias("total_words"),
+        F.bround("avg_confidence", 1).alias("avg_confidence"),
+        "language",
+        F.concat_ws("x", "image_width", "image_height").alias("dimensions"),
+        F.coalesce("headers", F.array().cast("array<string>")).alias("headers"),
     )

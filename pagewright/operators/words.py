@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import values as V
@@ -27,15 +27,41 @@ def adaptive_filter(words: DataFrame, quality: DataFrame) -> DataFrame:
     return words.join(suggested, "image_id").where(F.col("conf") >= F.col("suggested_confidence")).drop("suggested_confidence")
 
 
+def page_account(pages: DataFrame, quality: DataFrame, attempts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every page once, with what became of it: image_id, outcome, attempts and word_count.
+
+    ``attempts``: image_id, attempts (candidates that brought words); ``docs``: image_id, word_count. The outcome is
+    ``exported``, or the first that holds of ``no_quality`` (no row of image quality, so no threshold), ``all_failed``
+    (no candidate brought a word) and ``empty`` (no word was left). All joins are on the page.
+    """
+    every = pages.select("image_id").distinct()
+    rated = quality.select("image_id", F.lit(True).alias("rated")).distinct()
+    joined = every.join(rated, "image_id", "left").join(attempts.select("image_id", "attempts"), "image_id", "left").join(docs.select("image_id", "word_count"), "image_id", "left")
+    counted = joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("attempts", "word_count")})
+    outcome = F.when(F.col("rated").isNull(), "no_quality").when(F.col("attempts") == 0, "all_failed").when(F.col("word_count") == 0, "empty").otherwise("exported")
+    return counted.select("image_id", outcome.alias("outcome"), "attempts", "word_count")
+
+
+def rejected_pages(account: DataFrame) -> DataFrame:
+    """The pages of ``page_account`` that nothing is exported for, with the reason as a note."""
+    notes = {"no_quality": "no quality row", "all_failed": "no candidate brought words", "empty": "no word was left"}
+    note = F.coalesce(*[F.when(F.col("outcome") == k, v) for k, v in notes.items()])
+    return account.where("outcome != 'exported'").select("image_id", "outcome", note.alias("note"), "attempts")
+
+
 def drop_empty_results(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages with words, and those without."""
     empty = F.coalesce(F.col("word_count"), F.lit(0)) == 0
     return docs.where(~empty), docs.where(empty)
 
 
+def is_header() -> Column:
+    return (F.col("n_words") <= 6) & (F.col("y") < F.col("image_height") * 0.15)
+
+
 def header_lines(lines: DataFrame) -> DataFrame:
     """Possible headings: short lines near the top of the page."""
-    return lines.where((F.col("n_words") <= 6) & (F.col("y") < F.col("image_height") * 0.15))
+    return lines.where(is_header())
 
 
 def filter_regions(regions: DataFrame, images: DataFrame) -> DataFrame:

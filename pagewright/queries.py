@@ -117,6 +117,11 @@ def sql(body: str) -> str:
     return base.replace(" /*x*/ ", ", " if not base.startswith("WITH  /*x*/") else " ", 1)
 
 
+def half_even(c: str, digits: int) -> str:
+    x = f"({c} * {10**digits})"
+    return f"CASE WHEN {x} - floor({x}) = 0.5 THEN (floor({x}) + floor({x}) % 2) / {10**digits} ELSE round({c}, {digits}) END"
+
+
 def pages(spark: SparkSession, sf_dir: str):
     return lay_out(X.ocr_words(spark, sf_dir), MIN_CONF, post_process=False, repair=False)
 
@@ -232,13 +237,13 @@ def l8(spark, d):
     return L.with_empty_pages(every, L.format_text(L.format_lines(line_rows(spark, d)), block_rows(spark, d)))
 
 
-@query("l10_document_stats", sql("""SELECT c.image_id, s.total_blocks, s.total_lines, word_count AS total_words, 'spa' AS language, image_width || 'x' || image_height AS dimensions, coalesce(h.headers, '') AS headers
+@query("l10_document_stats", sql(f"""SELECT c.image_id, s.total_blocks, s.total_lines, word_count AS total_words, {half_even('avg_confidence', 1)} AS avg_confidence, 'spa' AS language, image_width || 'x' || image_height AS dimensions, coalesce(h.headers, '') AS headers
   FROM counts c JOIN (SELECT image_id, count(DISTINCT block_num) AS total_blocks, count(*) AS total_lines FROM plines GROUP BY image_id) s ON c.image_id = s.image_id
   LEFT JOIN (SELECT l.image_id, string_agg(text, '|' ORDER BY block_ord, line_ord) AS headers FROM plines l JOIN blocks b ON l.image_id = b.image_id AND l.block_num = b.block_num
     WHERE n_words <= 6 AND l.y < image_height * 0.15 GROUP BY l.image_id) h ON c.image_id = h.image_id"""))
 def l10(spark, d):
     p = pages(spark, d)
-    return L.document_stats(p.lines, p.docs).withColumn("headers", F.concat_ws("|", "headers")).drop("avg_confidence")
+    return L.document_stats(p.placed, p.docs).withColumn("headers", F.concat_ws("|", "headers"))
 
 
 # Candidates.
@@ -512,17 +517,23 @@ def documents_sql(first: dict[str, str]) -> str:
         "marked": CTES["marked"].replace("exam_lines", "page_lines"),
     }
     body = ", ".join(f"{k} AS ({v})" for k, v in own.items())
-    select = "SELECT t.image_id, column_count, column_count > 1 AS is_multicolumn, n_blocks, word_count, avg_confidence, image_width, image_height, 'spa' AS language, text AS formatted_text FROM texts t JOIN counts c ON t.image_id = c.image_id JOIN routed r ON t.image_id = r.image_id"
+    select = """SELECT d.doc_id AS image_id, coalesce(column_count, 1) AS column_count, coalesce(column_count, 1) > 1 AS is_multicolumn, coalesce(n_blocks, 0) AS n_blocks, coalesce(word_count, 0) AS word_count, avg_confidence,
+      image_width, image_height, CASE WHEN t.image_id IS NOT NULL THEN 'spa' END AS language, coalesce(r.text, '[Sin texto detectado]') AS formatted_text
+      FROM documents d LEFT JOIN texts t ON d.doc_id = t.image_id LEFT JOIN counts c ON t.image_id = c.image_id LEFT JOIN routed r ON t.image_id = r.image_id"""
     return X.duck(f", {body}, {rebuilt_ctes()}, {routed_ctes('page_lines')} {select}")
 
 
+def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("image_id"))
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
     return docs.select("image_id", "column_count", (F.col("column_count") > 1).alias("is_multicolumn"), "n_blocks", "word_count", "avg_confidence", "image_width", "image_height", "language", "formatted_text")
 
 
 @query("l9_reconstruct", documents_sql({"words": CTES["words"]}))
 def l9(spark, d):
-    return document_rows(lay_out(X.ocr_words(spark, d), MIN_CONF).docs)
+    return document_rows(lay_out(X.ocr_words(spark, d), MIN_CONF, pages=page_ids(spark, d), dealt=X.is_prepared(d, "ocr_words")).docs)
 
 
 @query("e9_post_process_document", routed_sql())
@@ -544,11 +555,6 @@ FEAT = f"pix AS ({PIX}), lap AS ({LAP}), ent AS ({ENT}), std AS ({STD}), feat AS
 TIER = "CASE WHEN ss AND laplacian_var > 500 THEN 'alta' WHEN (laplacian_var > 100 AND contrast > 30) OR (ss AND laplacian_var > 200) THEN 'media' ELSE 'baja' END"
 
 
-def half_even(c: str, digits: int) -> str:
-    x = f"({c} * {10**digits})"
-    return f"CASE WHEN {x} - floor({x}) = 0.5 THEN (floor({x}) + floor({x}) % 2) / {10**digits} ELSE round({c}, {digits}) END"
-
-
 def features(spark, d) -> DataFrame:
     return I.pixel_features(X.images(spark, d), resize=False)
 
@@ -666,7 +672,7 @@ def s3(spark, d):
     FROM texts t JOIN counts c ON t.image_id = c.image_id"""))
 def s4(spark, d):
     p = pages(spark, d)
-    tree = S.json_struct(p.docs, p.blocks, p.lines, p.columns, include_words=True)
+    tree = S.json_struct(p.docs, p.placed, include_words=True)
     text = tree.select("image_id", F.to_json(F.struct("metadata", "texto_completo", "bloques", "columnas"), {"ignoreNullFields": "false"}).alias("j"))
     box = "coordenadas:array<int>"
     got = F.from_json(
@@ -703,7 +709,7 @@ def s6(spark, d):
     UNION ALL SELECT image_id, 5, 0, 0, 'footer', 'Documento generado' FROM texts)"""))
 def s7(spark, d):
     p = pages(spark, d)
-    return S.export_paragraphs(p.docs, p.blocks, p.lines)
+    return S.export_paragraphs(p.docs, p.placed)
 
 
 # Workloads.
@@ -717,11 +723,45 @@ def workload_a_sql() -> str:
 
 @query("workload_a_documents", workload_a_sql())
 def workload_a(spark, d):
-    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("image_id"))
+    return document_rows(recognised(spark, d, X.candidate_words(spark, d), page_ids(spark, d)).docs)
+
+
+def recognised(spark, d, candidates: DataFrame, rated: DataFrame):
+    """Workload A over all pages, with image quality for the pages in ``rated``."""
     third = F.col("image_id") % 3
-    quality = ids.select("image_id", F.when(third == 0, 15.0).when(third == 1, 8.0).otherwise(3.0).alias("suggested_confidence"))
-    rank = ids.select("image_id", F.array(F.lit(3), F.lit(6)).alias("psm_order"))
-    return document_rows(recognised_documents(X.candidate_words(spark, d), quality, rank).docs)
+    quality = rated.select("image_id", F.when(third == 0, 15.0).when(third == 1, 8.0).otherwise(3.0).alias("suggested_confidence"))
+    rank = page_ids(spark, d).select("image_id", F.array(F.lit(3), F.lit(6)).alias("psm_order"))
+    return recognised_documents(candidates, quality, rank, pages=page_ids(spark, d), dealt=X.is_prepared(d, "candidate_words"))
+
+
+def account_sql(select: str) -> str:
+    """Pages with an id of 3 modulo 17 have no quality row, those of 5 modulo 13 no candidate; half of those of 7 modulo 11
+    have candidates without words that reach the threshold."""
+    limit = "CASE image_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 8 ELSE 3 END"
+    return sql(f"""SELECT * FROM candidate_words""").replace("SELECT * FROM candidate_words", f""", given AS (SELECT * EXCLUDE (conf), CASE WHEN image_id % 11 = 7 AND image_id % 2 = 0 THEN 1.0 ELSE conf END AS conf FROM candidate_words WHERE image_id % 13 <> 5),
+      left_words AS (SELECT image_id, variant, psm, {trim('text')} AS text, conf FROM given WHERE {trim('text')} <> '' AND conf >= {limit} AND image_id % 17 <> 3 AND {trim('text')} NOT IN ('|', '~', '`', '^')),
+      scores AS ({CTES['scores'].replace('FROM cand GROUP', 'FROM left_words GROUP')}), phases AS ({CTES['phases']}), best AS ({CTES['best']}),
+      won AS (SELECT w.image_id, count(*) AS word_count FROM left_words w JOIN best b ON w.image_id = b.image_id AND w.variant = b.variant AND w.psm = b.psm GROUP BY w.image_id),
+      tried AS (SELECT image_id, count(DISTINCT variant * 100 + psm) AS attempts FROM given GROUP BY image_id),
+      account AS (SELECT image_id, CASE WHEN image_id % 17 = 3 THEN 'no_quality' WHEN attempts = 0 THEN 'all_failed' WHEN word_count = 0 THEN 'empty' ELSE 'exported' END AS outcome, attempts, word_count FROM (
+        SELECT d.doc_id AS image_id, coalesce(attempts, 0) AS attempts, coalesce(word_count, 0) AS word_count FROM documents d LEFT JOIN tried t ON t.image_id = d.doc_id LEFT JOIN won w ON w.image_id = d.doc_id))
+      {select}""")
+
+
+def accounted(spark, d) -> DataFrame:
+    id_ = F.col("image_id")
+    words = X.candidate_words(spark, d).where(id_ % 13 != 5).withColumn("conf", F.when((id_ % 11 == 7) & (id_ % 2 == 0), 1.0).otherwise(F.col("conf")))
+    return recognised(spark, d, words, page_ids(spark, d).where(id_ % 17 != 3)).account
+
+
+@query("a1_page_account", account_sql("SELECT image_id, outcome, attempts, word_count FROM account"))
+def a1(spark, d):
+    return accounted(spark, d)
+
+
+@query("a2_page_rejects", account_sql("SELECT image_id, outcome, CASE outcome WHEN 'no_quality' THEN 'no quality row' WHEN 'all_failed' THEN 'no candidate brought words' ELSE 'no word was left' END AS note, attempts FROM account WHERE outcome <> 'exported'"))
+def a2(spark, d):
+    return W.rejected_pages(accounted(spark, d))
 
 
 TASKS_SQL = f"""WITH {FEAT}, segments AS ({X.SEGMENTS.replace('{lineitem}', 'lineitem')}), contours AS ({X.CONTOURS.replace('{lineitem}', 'lineitem')}),

@@ -75,6 +75,31 @@ def saved(df: DataFrame, rows: int | None = None, sized: bool = True) -> DataFra
     return back
 
 
+def buckets_of(spark: SparkSession) -> int:
+    """Buckets of a table unless told otherwise: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int | None = None, dealt: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, dealt into buckets by ``key``, and read it back.
+
+    Grouping, windows and joins on ``key`` (between tables of as many buckets) then need no exchange, however often
+    and by whatever step the table is read. ``buckets`` should keep one bucket's rows within a task's memory. ``dealt``:
+    the rows already come from a table of as many buckets, so they are not shuffled once more.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    n = buckets or buckets_of(spark)
+    _own().append(path)
+    seen = Observation()
+    out = df if dealt else df.repartition(n, key)
+    out.observe(seen, measures(df)[0]).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    back = spark.table(name)
+    back._pagewright = (seen.get["n"], BROADCAST_BYTES + 1, path)
+    return back
+
+
 def rows_of(df: DataFrame) -> int:
     """Number of rows of a table from ``saved``."""
     return df._pagewright[0]
@@ -89,6 +114,9 @@ def _delete(spark: SparkSession, paths: list[str]) -> int:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
     for name in paths:
+        table = name.rpartition("/")[2]
+        if table.startswith("bucketed_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n

@@ -80,9 +80,9 @@ def test_export_and_words_round_trip(spark, tmp_path):
     words = fixtures.ocr_words(spark, "/root/testdata/sf0.001").where("image_id < 3").where("text != ''")
     io.write_ocr_words(words.select(*[c.split()[0] for c in io.WORD_SCHEMA.split(", ")]), str(tmp_path / "w"))
     back = io.read_ocr_words(spark, str(tmp_path / "w"))
-    assert back.count() == words.count() and back.exceptAll(words.select(*back.columns)).count() == 0
+    assert back.count() == words.count() and back.drop("file").exceptAll(words.select(*back.drop("file").columns)).count() == 0
     p = lay_out(back, 8.0)
-    assert len(io.export(p.docs, p.blocks, p.lines, p.columns, " ALL ", str(tmp_path / "out"))) == 3
+    assert len(io.export(p.docs, p.placed, " ALL ", str(tmp_path / "out"))) == 3
     tree = spark.read.json(str(tmp_path / "out/json")).collect()
     assert {(r.image_id, r.name) for r in tree} == {(i, f"{i}_1970-01-01_00-00-00.json") for i in range(3)}
     content = {r.image_id: r.content for r in io.txt_content(p.docs).collect()}
@@ -92,8 +92,8 @@ def test_export_and_words_round_trip(spark, tmp_path):
     assert all(docx[i].startswith("Texto Extraído por OCR\nIdioma: spa\n") for i in range(3)) and len(docx) == 3
     when = datetime(2026, 3, 1, 14, 30, 25)
     io.write_txt(p.docs.withColumn("path", F.concat(F.lit("/in/scan"), "image_id", F.lit(".png"))), str(tmp_path / "each"), when, one_file_each=True)
-    each = {f.parent.name: f.read_bytes() for f in (tmp_path / "each").glob("name=*/part-*")}
-    assert each == {f"name=scan{i}_2026-03-01_14-30-25.txt": ("\ufeff" + c + "\n").encode() for i, c in content.items()}
+    each = {f.name: f.read_bytes() for f in (tmp_path / "each").iterdir() if not f.name.startswith((".", "_"))}
+    assert each == {f"scan{i}_2026-03-01_14-30-25.txt": ("\ufeff" + c).encode() for i, c in content.items()} and (tmp_path / "each/_SUCCESS").read_text() == "3"
     with pytest.raises(ValueError):
         io.validate_format("pdf")
 

@@ -11,8 +11,10 @@ import pytest
 from pagewright import fixtures
 from pagewright.operators import candidates, exam, layout
 from pagewright.operators.words import filter_words, mark_radio
-from pagewright.plans.workflows import lay_out
+from pagewright.plans.workflows import lay_out, recognised_documents
 from pagewright.queries import ORACLES, QUERIES
+from pagewright.sources import io
+from pagewright.tables import bucketed
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -68,17 +70,88 @@ def plan_of(df) -> str:
 
 
 def test_whole_workload_moves_little(spark):
-    """Lines are written from one exchange of the winners' words; documents and their repair take one more, of lines,
+    """Lines are written in buckets from one exchange of the winners' words; documents and their repair take none more,
     and no second read of the words."""
     words = fixtures.ocr_words(spark, DATA)
     pages = lay_out(words, 8.0)
-    assert exchanges(pages.docs) == 1 and plan_of(pages.docs).count("FileScan parquet") == 1
-    assert exchanges(pages.blocks) == 1 and exchanges(pages.columns) <= 2
+    assert exchanges(pages.docs) == 0 and plan_of(pages.docs).count("FileScan parquet") == 1
+    assert exchanges(pages.blocks) == 0 and exchanges(pages.columns) <= 1
     assert "Join" not in plan_of(pages.docs)
     rows = spark.createDataFrame([(1, "Pregunta 1\nuno"), (2, "x")], "image_id long, text string")
     assert exchanges(exam.post_process_documents(rows)) == 1
 
 
+def moved(df) -> list[str]:
+    """What lies below the exchanges of a plan: the nodes that read tables."""
+    out = []
+
+    def walk(node, below: bool):
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            return walk(node.inputPlan(), below)
+        kids = node.children()
+        if below and kids.size() == 0:
+            out.append(node.toString())
+        below = below or name in ("Exchange", "BroadcastExchange")
+        for i in range(kids.size()):
+            walk(kids.apply(i), below)
+
+    walk(df._jdf.queryExecution().executedPlan(), False)
+    return out
+
+
+def test_words_in_buckets_are_never_dealt_again(spark, monkeypatch):
+    """From candidates in buckets through scores, winners, layout, repair and exports no word and no line moves, however
+    large the tables are: nothing is broadcast here."""
+    monkeypatch.setattr(candidates, "is_small", lambda df: False)
+    monkeypatch.setattr("pagewright.plans.workflows.small_side", lambda df, *a, **b: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = bucketed(fixtures.candidate_words(spark, DATA), "image_id")
+        ids = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("image_id"))
+        rank = bucketed(ids.withColumn("psm_order", F.array(F.lit(3), F.lit(6))), "image_id")
+        quality = ids.withColumn("suggested_confidence", F.lit(8.0))
+        kept = filter_words(words)
+        scores = candidates.score_candidates(kept)
+        assert moved(scores) == [] and "ObjectHashAggregate" not in plan_of(scores) and "SortAggregate" not in plan_of(scores)
+        assert moved(candidates.winners(kept, rank)) == []
+        assert not any("bucketed_" in x for x in moved(candidates.keep_winner_words(kept, rank)))
+        p = recognised_documents(words, quality, rank, pages=ids, dealt=True)
+        for df in (p.blocks, p.docs, p.account):
+            assert not any("bucketed_" in x for x in moved(df))
+        p = recognised_documents(words, quality, rank, dealt=True)
+        assert moved(p.blocks) == moved(p.docs) == [] and len(moved(p.columns)) <= 1
+        for df in (io.json_struct(p.docs, p.placed, True), io.export_paragraphs(p.docs, p.placed), layout.document_stats(p.placed, p.docs), io.docx_content(p.docs, p.placed)):
+            assert moved(df) == []
+        assert p.docs.count() > 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_winners_by_join_equal_winners_by_broadcast(spark, monkeypatch):
+    words = filter_words(bucketed(fixtures.candidate_words(spark, DATA), "image_id"), 8.0)
+    rank = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("image_id"), F.array(F.lit(3), F.lit(6)).alias("psm_order"))
+    a = candidates.keep_winner_words(words, rank)
+    monkeypatch.setattr(candidates, "is_small", lambda df: False)
+    b = candidates.keep_winner_words(words, rank)
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_medians_without_sorting_words(spark):
+    rows = [(1, 0, 3, t, c) for t, c in [("ab", 10.0), ("cd", 20.0), ("ef", 30.0), ("gh", 40.0), ("!", 99.0)]]
+    rows += [(2, 0, 3, "ab", 7.5), (3, 1, 6, "!", 50.0), (4, 0, 3, "ab", None), (5, 0, 3, "ab", 5.0), (5, 0, 3, "ab", 5.0), (5, 0, 3, "cd", 9.0), (None, None, None, "ab", 3.0)]
+    got = {r.image_id: (r.real_words, r.score, r.word_count, r.avg_confidence) for r in candidates.score_candidates(spark.createDataFrame(rows, "image_id long, variant int, psm int, text string, conf double")).collect()}
+    assert got == {1: (4, 120.0, 5, 39.8), 2: (1, 7.5, 1, 7.5), 3: (0, 0.0, 1, 50.0), 4: (0, 0.0, 1, None), 5: (3, 15.0, 3, 19 / 3), None: (1, 3.0, 1, 3.0)}
+
+
+def test_every_page_is_accounted_for(spark):
+    account = QUERIES["a1_page_account"](spark, DATA).collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert len(account) == len(ids) and {r.image_id for r in account} == ids
+    assert {r.outcome for r in account} == {"exported", "no_quality", "all_failed", "empty"}
+    assert all((r.outcome == "exported") == (r.word_count > 0) for r in account)
+
+
 def test_placed_lines_equal_the_single_steps(spark):
     lines = layout.format_lines(layout.build_lines(mark_radio(filter_words(fixtures.ocr_words(spark, DATA), 8.0))))
     blocks = layout.reading_order(layout.detect_columns(layout.build_blocks(lines)))
