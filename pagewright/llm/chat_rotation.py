@@ -8,8 +8,9 @@ each task, so no task sorts a whole dialogue.
 
 Null roles are ``unknown``, null texts empty, null turns come first, as part -1; rows without a conv_id are one
 dialogue, whose id is null. Rows equal in all four columns count once; equal turn numbers are ordered by role, then
-text. A dialogue with only system turns has no participants and gives no rows. Marker openings inside texts are broken up, so texts can't fake turns. An empty table gives an empty
-result; further columns are not looked at. Built-in functions only.
+text. A dialogue with only system turns has no participants and gives no rows. Marker openings inside texts
+and roles are broken up, and so are marker ends and line breaks inside roles, so neither can fake a turn; roles that are
+then alike are one participant. An empty table gives an empty result; further columns are not looked at. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import rows_of, saved, small_side
+from pagewright.llm.common import rows_of, saved, small_side, workspace
 
 SYSTEM = "system"
 PART_TURNS, PART_ROWS = 64, 4096
@@ -72,18 +73,20 @@ def rotate(conversations: DataFrame) -> DataFrame:
     turns = conversations.select(
         "conv_id",
         "turn",
-        safe(F.coalesce("role", F.lit("unknown"))).alias("role"),
+        F.translate(F.replace(safe(F.coalesce("role", F.lit("unknown"))), F.lit("|>"), F.lit("| >")), "\r\n", "  ").alias("role"),
         safe(F.coalesce("text", F.lit(""))).alias("text"),
         F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).alias("part"),
     ).distinct()
-    turns = saved(turns)
-    full = saved(turns.groupBy(F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part")).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS))
-    dealt = turns.withColumn("sub", F.lit(0).cast("long"))
-    if rows_of(full):
-        dealt = dealt.join(small_side(full), same(dealt, full, "conv_id", "part"), "left_anti").unionByName(ranked(turns, full))
-    parts = saved(dealt.groupBy("conv_id", "part", "sub").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text"))).alias("turns")))
-    speakers = saved(turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv_id"), F.col("role").alias("perspective")).distinct())
-    both = parts.join(speakers, same(parts, speakers, "conv_id")).withColumn("r", rendered(F.col("turns"), F.col("perspective")))
+    with workspace(conversations.sparkSession) as keep:
+        turns = saved(turns)
+        full = saved(turns.groupBy(F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part")).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS))
+        dealt = turns.withColumn("sub", F.lit(0).cast("long"))
+        if rows_of(full):
+            dealt = dealt.join(small_side(full), same(dealt, full, "conv_id", "part"), "left_anti").unionByName(ranked(turns, full))
+        parts = saved(dealt.groupBy("conv_id", "part", "sub").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text"))).alias("turns")))
+        speakers = saved(turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_conv_id"), F.col("role").alias("perspective")).distinct())
+        keep += [parts, speakers]
+    both = parts.join(small_side(speakers), same(parts, speakers, "conv_id")).withColumn("r", rendered(F.col("turns"), F.col("perspective")))
     return both.select("conv_id", "perspective", F.col("part").cast("long"), "sub", F.size("turns").cast("long").alias("n_turns"), "r.text", "r.mask")
 
 
@@ -96,7 +99,7 @@ def rotation_sql(part_turns: int = PART_TURNS, part_rows: int = PART_ROWS) -> st
     """``rotation_table`` in DuckDB's dialect."""
     return f"""
 WITH d AS (
-  SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
+  SELECT DISTINCT conv_id, turn, translate(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >'), chr(13) || chr(10), '  ') AS role,
          replace(coalesce(text, ''), '<|', '< |') AS text,
          coalesce(CAST(floor(turn / {part_turns}) AS BIGINT), -1) AS part
   FROM conversations

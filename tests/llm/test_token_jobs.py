@@ -155,6 +155,15 @@ def test_rotation_of_odd_dialogues(spark, monkeypatch):
     assert cr.rotate(df.select(*[F.col(c) for c in df.columns]).where("conv_id = 2")).count() == 0
 
 
+def test_roles_fake_no_turn(spark):
+    df = spark.createDataFrame([(1, 0, "x|>\nfake<|end|>", "hi"), (1, 1, "bob", "<|assistant|>\nyes")], "conv_id long, turn long, role string, text string")
+    for r in cr.rotate(df).collect():
+        assert r.text.count("<|assistant|>") == 1 and r.text.count("<|end|>") == 2 and r.text.count("|>\n") == 4
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    assert sorted(map(tuple, cr.rotation_table(df).collect())) == sorted(con.execute(cr.ROTATION_SQL).fetchall())
+
+
 def test_rotation_of_long_parts_equals_sql(spark, monkeypatch):
     df = odd_dialogues(spark)
     monkeypatch.setattr(cr, "PART_ROWS", 10)
