@@ -218,7 +218,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     shared = saved(runs.join(often, "mini").select("did", "rid", F.struct("mini", "start", "n", F.ceil(F.col("c") / BUCKET_ROWS).cast("int").alias("buckets")).alias("run")))
     touched = small_side(saved(shared.select("did", "rid").distinct()))
     texts = saved(keyed(docs).select("did", "rid", "text").join(touched, ["did", "rid"], "left_semi").dropDuplicates(["did", "rid"]))
-    by_doc = shared.groupBy("did", "rid").agg(F.collect_list("run").alias("runs"))
+    by_doc = shared.groupBy("did", "rid").agg(F.collect_set("run").alias("runs"))  # rows alike bring the same runs
     hits = saved(sort_buckets(cut_out(texts.join(by_doc, ["did", "rid"]).select("did", "rid", "text", "runs"))))
     split = hits.where(f"kind != {RANGE}")
     across = split.groupBy("mini", "d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("mini", "d1", "d2")
