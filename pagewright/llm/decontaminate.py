@@ -12,7 +12,8 @@ of a document are gathered before its text meets them, so a text is split into w
 Documents are told apart by id and text, null ids included, so rows that share an id are judged each by its own text.
 Null text has no words: such documents are clean, such items occur nowhere. Items with one id count once; those
 without an id count as one item, which hits words but has no name in the digest. An empty benchmark leaves every
-document clean, an empty table gives an empty result; further columns are not looked at. Words: A-Z in lower case,
+document clean, an empty table gives an empty result; further columns are not looked at. A text of more than 67,108,864
+words raises an error, since positions would run into the hashes. Words: A-Z in lower case,
 runs of digits, a-z and anything beyond ASCII.
 """
 
@@ -26,7 +27,8 @@ from pagewright.llm.common import free_name, let, saved, small_side, text_hash,
 SPAN = 13
 GRAM = 5
 WINNOW = SPAN - GRAM + 1
-#: A fingerprint is one long: the upper bits hold the hash, the lower ones the position of its gram.
+#: A fingerprint is one long: the upper bits hold the hash, the lower ones the position of its gram. A text of more than
+#: 2**POSITION_BITS words is an error, not a text with lost hits.
 POSITION_BITS = 26
 #: A document is contaminated from this share of hit words: 20 * n_hit >= n_words.
 HIT_FACTOR = 20
@@ -66,6 +68,12 @@ def fingerprints(w: Column, short: list[int]) -> Column:
     return F.concat(F.transform(winnowed(w), tag(GRAM + SPAN)), *[F.transform(gram_hashes(w, k), tag(k)) for k in short])
 
 
+def within_positions(w: Column, found: Column) -> Column:
+    """``found``, or an error where ``w`` has more words than positions can tell apart."""
+    most = 1 << POSITION_BITS
+    return F.when(F.size(w) <= most, found).otherwise(F.raise_error(F.lit(f"a text of more than {most} words")).cast("array<struct<fp:bigint,k:int,at:int>>"))
+
+
 def shared_runs(w: Column, item: Column, shift: Column) -> Column:
     """Word ranges of the document that item windows cover, where item word i lies on document word i + shift."""
     n = F.least(F.lit(SPAN), F.size(item))
@@ -109,7 +117,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r["n"] for r in lengths if r["n"] < SPAN)
     whole = [F.when(F.size("item") == k, fingerprints(F.col("item"), [k])).otherwise(F.array().cast("array<struct<fp:bigint,k:int,at:int>>")) for k in short]
     item_prints = saved(items.select("no", F.explode(F.concat(fingerprints(F.col("item"), []), *whole)).alias("f")).select("no", "f.fp", "f.k", F.col("f.at").alias("item_at")))
-    prints = docs.select("doc_id", "h", F.explode(let(words(F.col("text")), lambda w: fingerprints(w, short))).alias("f")).select("doc_id", "h", "f.fp", "f.k", "f.at")
+    prints = docs.select("doc_id", "h", F.explode(let(words(F.col("text")), lambda w: within_positions(w, fingerprints(w, short)))).alias("f")).select("doc_id", "h", "f.fp", "f.k", "f.at")
     met = prints.join(small_side(item_prints), ["fp", "k"]).groupBy("doc_id", "h", "no").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     named = met.join(small_side(items), "no").select("doc_id", "h", F.struct("item_id", "item", "shifts").alias("hit"))
     return named.groupBy(F.col("doc_id").alias("did"), F.col("h").alias("dh")).agg(F.collect_list("hit").alias("hits"))

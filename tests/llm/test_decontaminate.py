@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from pagewright.llm import decontaminate as dc
 from pagewright.llm.decontaminate import clean_documents, contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -107,3 +110,13 @@ def test_rows_without_ids_or_with_one_id(spark):
 def test_many_places_of_a_short_item(spark):
     docs = [(1, "la " * 30_000 + "end"), (2, "no")]
     assert run(spark, docs, [(1, "la"), (2, "la la"), (3, "end")]) == brute(docs, [(1, "la"), (2, "la la"), (3, "end")])
+
+
+def test_a_text_beyond_the_positions_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(dc, "POSITION_BITS", 6)
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    short, long = (spark.createDataFrame([(1, item + " x" * n)], "doc_id long, text string") for n in (44, 45))
+    assert dc.contamination(short, bench).first().n_hit == 20
+    with pytest.raises(Exception, match="more than 64 words"):
+        dc.contamination(long, bench).collect()
