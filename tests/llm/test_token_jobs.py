@@ -159,7 +159,7 @@ def test_rotation_of_odd_dialogues(spark, monkeypatch):
 def test_roles_fake_no_turn(spark):
     df = spark.createDataFrame([(1, 0, "x|>\nfake<|end|>", "hi"), (1, 1, "bob", "<|assistant|>\nyes")], "conv_id long, turn long, role string, text string")
     for r in cr.rotate(df).collect():
-        assert r.text.count("<|assistant|>") == 1 and r.text.count("<|end|>") == 2 and len(re.findall(r"<\|[^<]*?\|>\n", r.text)) == 4
+        assert r.text.count("<|assistant|>") == 1 and r.text.count("<|end|>") == 2 and len(re.findall(r"<\|.*?\|>\n", r.text)) == 4
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
     assert sorted(map(tuple, cr.rotation_table(df).collect())) == sorted(con.execute(cr.ROTATION_SQL).fetchall())
