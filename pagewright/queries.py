@@ -15,8 +15,10 @@ from pagewright.operators import exam as E
 from pagewright.operators import images as I
 from pagewright.operators import layout as L
 from pagewright.operators import words as W
+from pagewright.plans.rounds import Rounds, recognise_in_rounds
 from pagewright.plans.workflows import lay_out, plan_recognition, recognised_documents
 from pagewright.sources import io as S
+from pagewright.tables import new_folder, saved
 
 MIN_CONF = 8.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,6 +290,44 @@ def c5(spark, d):
     return C.keep_winner_words(cand_words(spark, d), rank).groupBy("image_id", "variant", "psm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"))
 
 
+def rounds_over_scores(spark, d):
+    """Three rounds over all documents as pages; the scores of derived candidates answer their tasks."""
+    ids = page_ids(spark, d)
+    scores = saved(C.score_candidates(cand_words(spark, d)).select("image_id", "variant", "psm", "score"))
+    modes = F.when(F.col("image_id") % 3 == 0, F.array(F.lit(6), F.lit(3))).otherwise(F.array(F.lit(3), F.lit(6)))
+    rounds = Rounds(spark, new_folder(spark, "rounds"))
+    rounds.start(ids.withColumn("is_screenshot", F.lit(True)), ids.select("image_id", modes.alias("psm_order")))
+    return rounds, lambda tasks: tasks.join(scores, ["image_id", "variant", "psm"], "left").select("image_id", "variant", "psm", "score")
+
+
+ROUND_CTES = """own AS (SELECT s.* EXCLUDE (psm_rank, phase), CASE WHEN (psm = 3) = (image_id % 3 <> 0) THEN 1 ELSE 2 END AS psm_rank,
+    CASE WHEN variant >= 3 THEN '2' WHEN (psm = 3) = (image_id % 3 <> 0) THEN '1A' ELSE '1B' END AS phase FROM scores s),
+  held AS (SELECT *, coalesce(max(score) FILTER (phase = '1A') OVER (PARTITION BY image_id), -1) AS a, coalesce(max(score) FILTER (phase <> '2') OVER (PARTITION BY image_id), -1) AS ab FROM own)"""
+
+
+def rounds_sql(select: str) -> str:
+    return sql("SELECT * FROM scores").replace("SELECT * FROM scores", f", {ROUND_CTES} {select}")
+
+
+@query("c6_recognise_in_rounds", rounds_sql("""SELECT d.doc_id AS image_id, variant, psm, score, phase FROM documents d LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, phase, variant, psm_rank) AS place
+  FROM held WHERE phase = '1A' OR (phase = '1B' AND a < 2400) OR (phase = '2' AND ab < 2400)) WHERE place = 1) b ON b.image_id = d.doc_id"""))
+def c6(spark, d):
+    return recognise_in_rounds(*rounds_over_scores(spark, d))
+
+
+@query("c7_round_tasks", rounds_sql("""SELECT p.image_id, CAST(v AS INT) AS variant, CASE WHEN (r = 1) = (p.image_id % 3 = 0) THEN 6 ELSE 3 END AS psm, CASE WHEN v >= 3 THEN '2' WHEN r = 1 THEN '1A' ELSE '1B' END AS phase
+  FROM (SELECT d.doc_id AS image_id, coalesce(max(a), -1) AS a, coalesce(max(ab), -1) AS ab FROM documents d LEFT JOIN held h ON h.image_id = d.doc_id GROUP BY d.doc_id) p, (SELECT unnest(range(0, 6)) AS v), (SELECT unnest([1, 2]) AS r)
+  WHERE (v < 3 AND r = 1) OR (v < 3 AND r = 2 AND a < 2400) OR (v >= 3 AND ab < 2400)"""))
+def c7(spark, d):
+    rounds, recognise = rounds_over_scores(spark, d)
+    asked = []
+    for phase in C.PHASES:
+        tasks = saved(rounds.tasks())
+        asked.append(tasks.select("image_id", "variant", "psm", "phase"))
+        rounds.merge(recognise(tasks), f"round-{phase}")
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
 # Text repair: the same lines through each function.
 def dirty(f):
     return lambda spark, d: X.dirty_lines(spark, d).select("image_id", "line_no", f(F.col("line")).alias("fixed"))

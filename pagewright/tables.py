@@ -105,6 +105,13 @@ def rows_of(df: DataFrame) -> int:
     return df._pagewright[0]
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder in the shared folder, deleted when tables saved now would be."""
+    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _own().append(path)
+    return path
+
+
 def _own() -> list[str]:
     inside = _inside.get()
     return _loose if inside is None else inside
