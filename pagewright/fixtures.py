@@ -154,12 +154,26 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 gray images of the embeddings: values from lowest to highest as 0 to 255."""
+    """8 x 8 gray images of the embeddings: values from lowest to highest as 0 to 255; where all are equal, 128."""
     e = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     lo, hi = F.array_min("v"), F.array_max("v")
-    hexed = F.transform("v", lambda x: F.lpad(F.hex(F.floor((x - lo) / (hi - lo) * 255)), 2, "0"))
+    hexed = F.transform("v", lambda x: F.lpad(F.hex(F.when(hi > lo, F.floor((x - lo) / (hi - lo) * 255)).otherwise(128)), 2, "0"))
     image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(hexed, "")).alias("data"))
-    return e.where(hi > lo).select(F.col("vec_id").alias("image_id"), image.alias("image"))
+    return e.select(F.col("vec_id").alias("image_id"), image.alias("image"))
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name and content of a bitmap file for each of ``images``; by the id modulo 11 some have another suffix, no content
+    or a part of it only."""
+    pixels = F.hex("image.data")
+    row = lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.repeat(F.substr(pixels, (r * 8 + c) * 2 + 1, F.lit(2)), 3)), "")
+    #: Header of an 8 x 8 bitmap of 24 bits, whose rows go from the bottom up.
+    header = "424DF600000000000000" + "36000000" + "28000000" + "08000000" * 2 + "01001800" + "00000000" + "C0000000" + "130B0000" * 2 + "00000000" * 2
+    whole = F.concat(F.lit(header), F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), row), ""))
+    kind = F.col("image_id") % 11
+    suffix = F.when(kind == 3, ".txt").when(kind == 9, ".BMP").otherwise(".bmp")
+    content = F.when(kind == 5, "").when(kind == 7, F.substring(whole, 1, 60)).otherwise(whole)
+    return images(spark, sf_dir).select(F.concat(F.lit("scan"), "image_id", suffix).alias("name"), F.unhex(content).alias("content"))
 
 
 def duck(body: str) -> str:

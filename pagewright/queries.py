@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pagewright.operators import words as W
 from pagewright.plans.rounds import Rounds, recognise_in_rounds
 from pagewright.plans.workflows import lay_out, plan_recognition, recognised_documents
 from pagewright.sources import io as S
+from pagewright.sources.files import read_files, write_files
 from pagewright.tables import new_folder, saved
 
 MIN_CONF = 8.0
@@ -582,8 +584,8 @@ def e9(spark, d):
 
 
 # Images.
-PIX = """SELECT vec_id AS image_id, i - 1 AS i, CAST(floor((e - lo) / (hi - lo) * 255) AS BIGINT) AS v FROM (
-  SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) WHERE hi > lo"""
+PIX = """SELECT vec_id AS image_id, i - 1 AS i, CASE WHEN hi > lo THEN CAST(floor((e - lo) / (hi - lo) * 255) AS BIGINT) ELSE 128 END AS v FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)"""
 LAP = """SELECT image_id, (64 * sum(e * e) - sum(e) * sum(e))::DOUBLE / 4096 AS laplacian_var FROM (SELECT c.image_id, u.v + d.v + l.v + r.v - 4 * c.v AS e FROM pix c
   JOIN pix u ON u.image_id = c.image_id AND u.i = c.i + CASE WHEN c.i < 8 THEN 8 ELSE -8 END
   JOIN pix d ON d.image_id = c.image_id AND d.i = c.i + CASE WHEN c.i >= 56 THEN -8 ELSE 8 END
@@ -674,6 +676,22 @@ def i12(spark, d):
 
 
 # Sources and sinks.
+TXT_SQL = """SELECT t.image_id, repeat('=', 60) || chr(10) || 'TEXTO EXTRAÍDO POR OCR' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'Idioma: spa' || chr(10) || 'Palabras detectadas: ' || word_count || chr(10)
+  || 'Confianza promedio: ' || printf('%.1f', avg_confidence) || '%' || chr(10) || 'Bloques: ' || n_blocks || chr(10) || 'Columnas: ' || CAST(column_count AS BIGINT) || chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) || formatted_text || chr(10) || chr(10) || repeat('-', 60) || chr(10) || 'Fin del documento' AS content
+  FROM texts t JOIN counts c ON t.image_id = c.image_id"""
+PARAGRAPHS_SQL = """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY sec, a, b) - 1 AS INT) AS ord, kind, paragraph FROM (
+    SELECT image_id, 0 AS sec, 0 AS a, 0 AS b, 'title' AS kind, 'Texto Extraído por OCR' AS paragraph FROM texts
+    UNION ALL SELECT t.image_id, 1, k, 0, 'meta', CASE k WHEN 1 THEN 'Idioma: spa' WHEN 2 THEN 'Palabras: ' || word_count WHEN 3 THEN 'Confianza: ' || printf('%.1f', avg_confidence) || '%' WHEN 4 THEN 'Bloques: ' || n_blocks ELSE 'Columnas: ' || CAST(column_count AS BIGINT) END
+      FROM texts t JOIN counts c ON t.image_id = c.image_id, (SELECT unnest(range(1, 6)) AS k)
+    UNION ALL SELECT image_id, k, 0, 0, 'rule', repeat('─', 50) FROM texts, (SELECT unnest([2, 4]) AS k)
+    UNION ALL SELECT l.image_id, 3, read_ord, line_ord, 'line', text FROM plines l JOIN reading r ON l.image_id = r.image_id AND l.block_num = r.block_num
+    UNION ALL SELECT image_id, 3, read_ord, 1000000, 'blank', '' FROM (SELECT *, max(read_ord) OVER (PARTITION BY image_id) AS n FROM reading) WHERE read_ord < n
+    UNION ALL SELECT image_id, 5, 0, 0, 'footer', 'Documento generado' FROM texts)"""
+EXPORTED = datetime(2026, 3, 1, 14, 30, 25)
+NAME_SQL = "'scan' || (image_id // 2) || '_2026-03-01_14-30-25' || CASE WHEN row_number() OVER (PARTITION BY image_id // 2 ORDER BY image_id) > 1 THEN '_' || image_id ELSE '' END"
+FILES_SQL = f"""SELECT 'txt' AS kind, {NAME_SQL} || '.txt' AS name, chr(65279) || content AS content FROM ({TXT_SQL})
+  UNION ALL SELECT 'json', {NAME_SQL} || '.json', formatted_text FROM texts
+  UNION ALL SELECT 'docx', {NAME_SQL} || '.docx', content FROM (SELECT image_id, string_agg(paragraph || chr(10), '' ORDER BY ord) AS content FROM ({PARAGRAPHS_SQL}) GROUP BY image_id)"""
 @query("s1_read_images", "SELECT page_id, url FROM (SELECT page_id, url || (CASE page_id % 9 WHEN 0 THEN '.JPG' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.png' WHEN 3 THEN '.webp' WHEN 4 THEN '.tiff' WHEN 5 THEN '.TIF' WHEN 6 THEN '.bmp' WHEN 7 THEN '.gif' ELSE '.png.txt' END) AS url FROM pages) WHERE page_id % 9 < 7")
 def s1(spark, d):
     ends = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".jpeg", ".png", ".webp", ".tiff", ".TIF", ".bmp", ".gif", ".png.txt")]), (F.col("page_id") % 9 + 1).cast("int"))
@@ -689,15 +707,50 @@ def s2(spark, d):
     return S.parse_word_rows(rows).select("image_id", "ord", "text", "conf", "left", "top", "width", "height", "line_num", "word_num")
 
 
+@query("s1_image_files", f"""WITH pix AS ({PIX}) SELECT image_id, CASE image_id % 11 WHEN 3 THEN 'suffix' WHEN 5 THEN 'empty' WHEN 7 THEN 'broken' END AS reason,
+  CASE WHEN image_id % 11 NOT IN (3, 5, 7) THEN 8 END AS height, CASE WHEN image_id % 11 NOT IN (3, 5, 7) THEN 8 END AS width, CASE WHEN image_id % 11 NOT IN (3, 5, 7) THEN string_agg(printf('%02X', v), '' ORDER BY i) END AS pixels
+  FROM pix GROUP BY image_id""")
+def s1_files(spark, d):
+    folder = new_folder(spark, "images")
+    write_files(X.image_files(spark, d), folder)
+    every = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substr(F.hex("image.data"), i * 6 + 1, F.lit(2)))
+    good, bad = S.read_images(spark, folder)
+    page = S.page_of_file(F.col("path")).alias("image_id")
+    found = good.select(page, F.lit(None).cast("string").alias("reason"), "image.height", "image.width", F.array_join(every, "").alias("pixels"))
+    return found.unionByName(bad.select(page, "reason"), allowMissingColumns=True)
+
+
+@query("s2_word_files", sql("""SELECT image_id, ord, CASE ord % 97 WHEN 5 THEN 'malformed' WHEN 7 THEN 'missing conf' END AS reason, CASE WHEN ord % 97 NOT IN (5, 7) THEN replace(text, chr(9), ' ') END AS text, CASE WHEN ord % 97 NOT IN (5, 7) THEN conf END AS conf,
+  CASE WHEN ord % 97 NOT IN (5, 7) THEN "left" END AS "left", CASE WHEN ord % 97 NOT IN (5, 7) THEN word_num END AS word_num FROM ocr_words"""))
+def s2_files(spark, d):
+    folder, row = new_folder(spark, "words"), F.col("ord") % 97
+    conf = F.when(row == 5, "x").when(row != 7, F.col("conf").cast("string"))
+    words = X.ocr_words(spark, d).withColumn("text", F.translate("text", "\t", " ")).withColumn("conf", conf)
+    S.write_ocr_words(words.select(*[c.split()[0] for c in S.WORD_SCHEMA.split(", ")]), folder)
+    good, bad = S.split_ocr_words(spark, folder)
+    cells = F.split("line", "\t", -1)
+    lost = bad.select(cells[0].cast("long").alias("image_id"), cells[6].cast("long").alias("ord"), "reason")
+    return good.select("image_id", "ord", F.lit(None).cast("string").alias("reason"), "text", "conf", "left", "word_num").unionByName(lost, allowMissingColumns=True)
+
+
+@query("s5_export_files", sql(FILES_SQL))
+def s5_files(spark, d):
+    p = pages(spark, d)
+    folder = new_folder(spark, "exports")
+    docs = p.docs.withColumn("path", F.concat(F.lit("/in/"), F.col("image_id") % 2, F.lit("/scan"), F.floor(F.col("image_id") / 2), F.lit(".png")))
+    S.export(docs, p.placed, "all", folder, EXPORTED, one_file_each=True)
+    files = [read_files(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), "name", F.col("content").cast("string").alias("content")) for kind in ("txt", "json", "docx")]
+    files[1] = files[1].withColumn("content", F.get_json_object("content", "$.texto_completo"))
+    return files[0].unionByName(files[1]).unionByName(files[2])
+
+
 @query("s5_export_sinks", """SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['txt'] WHEN 1 THEN ['json'] WHEN 2 THEN ['docx'] WHEN 3 THEN ['txt', 'json', 'docx'] ELSE [] END) AS sink FROM documents""")
 def s5(spark, d):
     asked = F.element_at(F.array(*[F.lit(x) for x in (" TXT", "json ", "Docx", " ALL ", "pdf")]), (F.col("doc_id") % 5 + 1).cast("int"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(S.sinks_of(asked)).alias("sink"))
 
 
-@query("s3_txt_content", sql("""SELECT t.image_id, repeat('=', 60) || chr(10) || 'TEXTO EXTRAÍDO POR OCR' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'Idioma: spa' || chr(10) || 'Palabras detectadas: ' || word_count || chr(10)
-  || 'Confianza promedio: ' || printf('%.1f', avg_confidence) || '%' || chr(10) || 'Bloques: ' || n_blocks || chr(10) || 'Columnas: ' || CAST(column_count AS BIGINT) || chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) || formatted_text || chr(10) || chr(10) || repeat('-', 60) || chr(10) || 'Fin del documento' AS content
-  FROM texts t JOIN counts c ON t.image_id = c.image_id"""))
+@query("s3_txt_content", sql(TXT_SQL))
 def s3(spark, d):
     return S.txt_content(pages(spark, d).docs)
 
@@ -739,14 +792,7 @@ def s6(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.output_name(path, F.lit("2026-03-01 14:30:25").cast("timestamp"), "txt").alias("name"))
 
 
-@query("s7_export_paragraphs", sql("""SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY sec, a, b) - 1 AS INT) AS ord, kind, paragraph FROM (
-    SELECT image_id, 0 AS sec, 0 AS a, 0 AS b, 'title' AS kind, 'Texto Extraído por OCR' AS paragraph FROM texts
-    UNION ALL SELECT t.image_id, 1, k, 0, 'meta', CASE k WHEN 1 THEN 'Idioma: spa' WHEN 2 THEN 'Palabras: ' || word_count WHEN 3 THEN 'Confianza: ' || printf('%.1f', avg_confidence) || '%' WHEN 4 THEN 'Bloques: ' || n_blocks ELSE 'Columnas: ' || CAST(column_count AS BIGINT) END
-      FROM texts t JOIN counts c ON t.image_id = c.image_id, (SELECT unnest(range(1, 6)) AS k)
-    UNION ALL SELECT image_id, k, 0, 0, 'rule', repeat('─', 50) FROM texts, (SELECT unnest([2, 4]) AS k)
-    UNION ALL SELECT l.image_id, 3, read_ord, line_ord, 'line', text FROM plines l JOIN reading r ON l.image_id = r.image_id AND l.block_num = r.block_num
-    UNION ALL SELECT image_id, 3, read_ord, 1000000, 'blank', '' FROM (SELECT *, max(read_ord) OVER (PARTITION BY image_id) AS n FROM reading) WHERE read_ord < n
-    UNION ALL SELECT image_id, 5, 0, 0, 'footer', 'Documento generado' FROM texts)"""))
+@query("s7_export_paragraphs", sql(PARAGRAPHS_SQL))
 def s7(spark, d):
     p = pages(spark, d)
     return S.export_paragraphs(p.docs, p.placed)

@@ -10,7 +10,7 @@ from pagewright.functions import text as T
 from pagewright.functions import values as V
 from pagewright.operators import exam, images
 from pagewright.operators.layout import indent_of, join_words
-from pagewright.sources import io
+from pagewright.sources import files, io
 
 CASES = [
     (T.split_radio_prefix, {"Oo": "○ o", "Or": "○ r", "O .csv": "○ .csv", "0txt": "○ txt", "Otro": "Otro", "Orden": "Orden", "O": "O", "O5": "O5", "○ x": "○ x", "O.csv": "○ .csv", "0.5": "○ .5", "OK todo": "○ K todo", "oeste": "○ este", "Ordenes": "○ rdenes", "O rden": "O rden", "o rden": "○ rden", "  © texto ": "  ○ texto", "": ""}),
@@ -109,9 +109,40 @@ def test_images_are_read_and_rejected(spark, tmp_path):
     (tmp_path / "a.PNG").write_bytes(png(4, 3))
     (tmp_path / "b.gif").write_bytes(b"no")
     (tmp_path / "c.webp").write_bytes(b"no")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "d.png").write_bytes(b"")
     good, bad = io.read_images(spark, str(tmp_path))
     assert [r.image.width for r in good.collect()] == [4]
-    assert sorted(r.path[-5:] for r in bad.collect()) == [".webp", "b.gif"]
+    assert sorted((r.path[-5:], r.bytes, r.reason) for r in bad.collect()) == [(".webp", 2, "broken"), ("b.gif", 2, "suffix"), ("d.png", 0, "empty")]
+
+
+def test_word_rows_good_and_bad(spark, tmp_path):
+    names = [c.split()[0] for c in io.WORD_SCHEMA.split(", ")]
+    row = ["7", "0", "3", "spa", "100", "50", "1", "hola", "91.5", "1", "2", "3", "4", "0", "1", "0", "0"]
+    put = lambda **other: "\t".join(other.get(n, v) for n, v in zip(names, row, strict=True))
+    bad = [put(conf="x"), put(image_id=""), put(conf=""), "only\ttwo", put() + "\tmore", put(left="1.5")]
+    (tmp_path / "page12.tsv").write_text("\n".join(["\t".join(names), put(), bad[0], put(text=""), *bad[1:], put(text='say "no"')]) + "\n")
+    good, lost = io.split_ocr_words(spark, str(tmp_path))
+    assert [(r.image_id, r.text, r.conf, r.left, io_page) for r, io_page in ((r, r.p) for r in good.withColumn("p", io.page_of_file(F.col("file"))).collect())] == [(7, t, 91.5, 1, 12) for t in ("hola", "", 'say "no"')]
+    got = [(r.line, r.reason) for r in lost.collect()]
+    assert [r for _, r in got] == ["malformed", "missing image_id", "missing conf", "malformed", "malformed", "malformed"]
+    assert [x for x, r in got if r == "malformed"] == [bad[0], *bad[3:]]
+    assert io.read_ocr_words(spark, str(tmp_path)).count() == 3
+
+
+def test_names_and_files(spark, tmp_path):
+    """Equal stems get their pages' ids; files written again leave no doubles; a failed job takes its files back."""
+    df = spark.createDataFrame([(1, "/a/x.png"), (2, "/b/x.jpg"), (3, "/b/y.v2.png"), (9, "/c/x.png")], "image_id long, path string")
+    out = io.named(df, datetime(2026, 3, 1, 14, 30, 25), "txt").withColumn("content", F.concat(F.lit("é"), "image_id"))
+    for _ in range(2):
+        files.write_files(out.repartition(3), str(tmp_path / "f"))
+        got = {r.name: bytes(r.content).decode() for r in files.read_files(spark, str(tmp_path / "f")).collect()}
+        assert got == {"x_2026-03-01_14-30-25.txt": "é1", "x_2026-03-01_14-30-25_2.txt": "é2", "y.v2_2026-03-01_14-30-25.txt": "é3", "x_2026-03-01_14-30-25_9.txt": "é9"}
+        assert sorted(p.name for p in (tmp_path / "f").iterdir()) == sorted([*got, "_SUCCESS"])
+    failing = out.repartition(1).sortWithinPartitions("image_id").withColumn("content", F.when(F.col("image_id") < 9, F.col("content")).otherwise(F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception, match="no"):
+        files.write_files(failing, str(tmp_path / "g"))
+    assert not (tmp_path / "g").exists() or not [p for p in (tmp_path / "g").iterdir()]
 
 
 def test_one_decimal(spark):
