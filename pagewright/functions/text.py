@@ -41,6 +41,14 @@ def apply_rules(text: Column, rules: Rules) -> Column:
     return text
 
 
+INVERTED_BANG = [(r"(?<=[(\[=+\-*/, ])¡(?=[+\-*/)0-9\]])", "j"), (r"\bstr\(¡", "str(j"), (r"=¡\+", "=j+")]
+UNDERSCORES = [(r"(_+)([a-záéíóúA-ZÁÉÍÓÚ])", "$1 $2")]
+EMPTY_BRACKETS = [(r"(?m)^\(\)\s*", f"{V.RADIO} "), (r"(?m)^\[\]\s*", f"{V.UNCHECKED} ")]
+CHECKED_BRACKETS = [(r"\[[xXvV✓✔]\]\s*", f"{V.CHECKED} ")]
+SYMBOL_NOISE = [(r"\s[¢©®™]\s", " ")]
+WIDE_SPACES = [(r"(?<=[^ \n]) {3,}", " ")]
+
+
 def fix_chars(text: Column) -> Column:
     for old, new in V.LIGATURES.items():
         text = F.replace(text, F.lit(old), F.lit(new))
@@ -48,11 +56,11 @@ def fix_chars(text: Column) -> Column:
 
 
 def fix_inverted_bang(text: Column) -> Column:
-    return apply_rules(text, [(r"(?<=[(\[=+\-*/, ])¡(?=[+\-*/)0-9\]])", "j"), (r"\bstr\(¡", "str(j"), (r"=¡\+", "=j+")])
+    return apply_rules(text, INVERTED_BANG)
 
 
 def split_underscores(text: Column) -> Column:
-    return apply_rules(text, [(r"(_+)([a-záéíóúA-ZÁÉÍÓÚ])", "$1 $2")])
+    return apply_rules(text, UNDERSCORES)
 
 
 def split_radio_prefix(line: Column) -> Column:
@@ -79,26 +87,19 @@ def split_radio_prefix(line: Column) -> Column:
 
 
 def fix_empty_brackets(text: Column) -> Column:
-    return apply_rules(text, [(r"(?m)^\(\)\s*", f"{V.RADIO} "), (r"(?m)^\[\]\s*", f"{V.UNCHECKED} ")])
+    return apply_rules(text, EMPTY_BRACKETS)
 
 
 def fix_checked(text: Column) -> Column:
-    return apply_rules(text, [(r"\[[xXvV✓✔]\]\s*", f"{V.CHECKED} ")])
+    return apply_rules(text, CHECKED_BRACKETS)
 
 
 def drop_symbol_noise(text: Column) -> Column:
-    return apply_rules(text, [(r"\s[¢©®™]\s", " ")])
+    return apply_rules(text, SYMBOL_NOISE)
 
 
 def collapse_spaces(text: Column) -> Column:
-    return apply_rules(text, [(r"(?<=[^ \n]) {3,}", " ")])
-
-
-def fix_ocr_text(line: Column) -> Column:
-    """All repairs of one line, in order."""
-    for step in (fix_chars, fix_inverted_bang, split_underscores, split_radio_prefix, fix_empty_brackets, fix_checked, drop_symbol_noise, collapse_spaces):
-        line = step(line)
-    return line
+    return apply_rules(text, WIDE_SPACES)
 
 
 def fix_code_tokens(text: Column) -> Column:
@@ -134,12 +135,6 @@ def drop_noise_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n")
 
 
-def apply_global_fixes(text: Column) -> Column:
-    for step in (fix_code_tokens, fix_gender, split_glued_words, fix_accents, fix_digit_letters, shorten_runs, drop_noise_lines):
-        text = step(text)
-    return text
-
-
 def is_question_head(line: Column) -> Column:
     return strip(line).rlike(V.QUESTION_HEAD)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import values as V
-from pagewright.functions.text import apply_global_fixes, clean_option_text, is_code_line, is_option_line, is_question_head, n_words, normalize_option_line, once, strip
+from pagewright.functions.rules import Rule, apply_global_fixes
+from pagewright.functions.text import clean_option_text, is_code_line, is_option_line, is_question_head, n_words, normalize_option_line, once, strip
 
 RULE = "─" * V.RULE_WIDTH
 STRINGS = "array<string>"
@@ -172,8 +173,9 @@ def rebuild_exam_text(lines: DataFrame, questions: DataFrame) -> DataFrame:
     return pages.where("last > 0").select("image_id", exam_text(F.col("blocks")).alias("text"))
 
 
-def post_process_documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """image_id, route and text after the route's repairs, and the columns in ``carry``. ``docs``: image_id, text.
+def post_process_documents(docs: DataFrame, carry: tuple[str, ...] = (), rules: list[Rule] | None = None) -> DataFrame:
+    """image_id, route and text after the route's repairs, and the columns in ``carry``. ``docs``: image_id, text;
+    ``rules``: those of whole texts, unless given the library's.
 
     One exchange on the page, none if the pages are dealt by it: lines are marked, routed, cut into questions and put
     together again where they lie. Pages of other routes have no heads, so all their lines are preamble.
@@ -187,5 +189,5 @@ def post_process_documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> Data
     kept = ["route", *carry]
     blocks = gathered(all_parts(segmented, *kept), *[F.max(c).alias(c) for c in kept])
     pages = blocks.groupBy("image_id").agg(*[F.max(c).alias(c) for c in kept], in_order(*PARTS).alias("blocks"))
-    whole = pages.select("image_id", *kept, apply_global_fixes(exam_text(F.col("blocks"))).alias("text"))
+    whole = pages.select("image_id", *kept, apply_global_fixes(exam_text(F.col("blocks")), rules).alias("text"))
     return whole.withColumn("text", F.when(F.col("route") == "exam", F.regexp_replace("text", "\n{4,}", "\n\n\n")).otherwise(F.col("text")))

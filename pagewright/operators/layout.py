@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import values as V
-from pagewright.functions.text import fix_ocr_text, once
+from pagewright.functions.rules import Rule, fix_ocr_text
+from pagewright.functions.text import once
 from pagewright.operators.words import is_header
 
 COLUMN_GAP, LINE_GAP, WIDE_GAP = 0.15, 1.8, 3.0
@@ -52,8 +53,8 @@ def build_lines(words: DataFrame) -> DataFrame:
     return box.withColumn("n_words", F.size("words")).withColumn("text", join_words(F.col("words"))).withColumn("line_ord", F.row_number().over(order))
 
 
-def repair_lines(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("text", fix_ocr_text(F.col("text")))
+def repair_lines(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    return lines.withColumn("text", fix_ocr_text(F.col("text"), rules))
 
 
 def build_blocks(lines: DataFrame) -> DataFrame:

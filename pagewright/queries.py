@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright import fixtures as X
+from pagewright.functions import rules as R
 from pagewright.functions import text as T
 from pagewright.functions import values as V
 from pagewright.operators import candidates as C
@@ -407,7 +408,18 @@ T_SQL = {
 }
 for _name, (_f, _s) in {**T_SQL, **G_SQL}.items():
     query(_name, dirty_sql(_s))(dirty(_f))
-query("t9_fix_ocr_text", chained(T1_SQL, T2_SQL, T3_SQL, T4_SQL, T5_SQL, T6_SQL, T7_SQL, T8_SQL))(dirty(T.fix_ocr_text))
+query("t9_fix_ocr_text", chained(T1_SQL, T2_SQL, T3_SQL, T4_SQL, T5_SQL, T6_SQL, T7_SQL, T8_SQL))(dirty(R.fix_ocr_text))
+
+OWN_RULES = [("en", "EN", R.LITERAL, ("en",)), (r"(\w)\.(\w)", "$1. $2", R.REGEX, (".",)), ("ç", "z", R.LITERAL, ())]
+
+
+@query("t10_rule_table", chained(T1_SQL, T2_SQL, T3_SQL, T4_SQL, T5_SQL, T6_SQL, T7_SQL, T8_SQL, replaces("line", [("en", "EN")]), regexes("line", [(r"([\p{L}\p{N}\p{M}\p{Pc}])\.([\p{L}\p{N}\p{M}\p{Pc}])", r"\1. \2")]), replaces("line", [("ç", "z")])))
+def t10(spark, d):
+    """The library's rules and three more, as rows of a table that is written and read."""
+    own = [R.Rule(*x) for x in OWN_RULES]
+    table = saved(spark.createDataFrame(R.rule_rows([*R.LINE_RULES, *own]), R.RULE_TABLE))
+    return dirty(lambda line: R.fix_ocr_text(line, R.rules_of(table)))(spark, d)
+
 
 G_STEPS = [s for _, s in G_SQL.values()]
 NOISE_SQL = f"NOT (length({trim('line')}) BETWEEN 1 AND 2) OR regexp_matches({trim('line')}, '^[a-zA-Z0-9áéíóúñÁÉÍÓÚÑ]+$')"
@@ -432,7 +444,7 @@ def g7(spark, d):
 
 @query("g8_apply_global_fixes", joined_sql(G_STEPS, NOISE_SQL))
 def g8(spark, d):
-    return joined_lines(X.dirty_lines(spark, d)).select("image_id", T.apply_global_fixes(F.col("text")).alias("text"))
+    return joined_lines(X.dirty_lines(spark, d)).select("image_id", R.apply_global_fixes(F.col("text")).alias("text"))
 
 
 # Questions.
@@ -880,5 +892,5 @@ def workload_c_sql() -> str:
 
 @query("workload_c_questions", workload_c_sql())
 def workload_c(spark, d):
-    lines = X.exam_lines(spark, d).withColumn("line", T.fix_ocr_text(F.col("line")))
+    lines = X.exam_lines(spark, d).withColumn("line", R.fix_ocr_text(F.col("line")))
     return E.extract_questions(lines).select("image_id", "q_no", "header", *[F.concat_ws("|", c).alias(c) for c in ("statement", "code", "options")])
