@@ -162,6 +162,23 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("image_id"), image.alias("image"))
 
 
+#: Cells of a large image a side, and their height and width in pixels (taller ones for odd ids).
+CELLS, CELL_HEIGHT, CELL_WIDTH = 12, 60, 60
+
+
+def large_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray images of 720 pixels or more a side, each put together from three of ``images``: their values, one after the
+    other and again from the first, as 12 x 12 squares."""
+    three = images(spark, sf_dir).groupBy(F.floor(F.col("image_id") / 3).cast("long").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("image_id", F.hex("image.data").alias("h")))).alias("parts"))
+    hexed = three.select("image_id", F.array_join(F.transform("parts", lambda p: p["h"]), "").alias("h"), (F.col("image_id") % 2 * 10 + CELL_HEIGHT).cast("int").alias("tall"))
+    cell = lambda r, c: F.substr("h", (r * CELLS + c) * 2 % F.length("h") + 1, F.lit(2))
+    side = F.sequence(F.lit(0), F.lit(CELLS - 1))
+    line = lambda r: F.array_join(F.transform(side, lambda c: F.repeat(cell(r, c), CELL_WIDTH)), "")
+    data = F.unhex(F.array_join(F.transform(side, lambda r: F.repeat(line(r), F.col("tall"))), ""))
+    image = F.struct(F.lit("").alias("origin"), (F.col("tall") * CELLS).alias("height"), F.lit(CELL_WIDTH * CELLS).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
+    return hexed.select("image_id", image.alias("image"))
+
+
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name and content of a bitmap file for each of ``images``; by the id modulo 11 some have another suffix, no content
     or a part of it only."""

@@ -16,6 +16,7 @@ from pagewright.functions.text import once
 
 TARGET, LEAST_SCALE, MOST_SCALE, MOST_PIXELS, PADDING = 2200, 1.5, 4.0, 30_000_000, 160
 SMALL_SIDE, LAYOUT_SIDE = 300, 600
+PIXELS_AT_ONCE = 1 << 21
 
 
 def gray_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -26,23 +27,33 @@ def gray_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return ((1868 * b + 9617 * g + 4899 * r + (1 << 13)) >> 14).astype(np.uint8)
 
 
-def side_weights(old: int, new: int) -> np.ndarray:
-    """Rows of weights for one side: shares of covered cells when shrinking, linear interpolation when growing."""
-    scale = old / new
-    if new <= old:
-        edge = np.arange(new + 1) * scale
-        cell = np.arange(old)
-        return np.clip(np.minimum(edge[1:, None], cell + 1) - np.maximum(edge[:-1, None], cell), 0, None) / scale
-    at = np.clip((np.arange(new) + 0.5) * scale - 0.5, 0, old - 1)
-    low = np.minimum(at.astype(int), max(old - 2, 0))
-    out = np.zeros((new, old))
-    out[np.arange(new), low] = 1 - (at - low)
-    out[np.arange(new), np.minimum(low + 1, old - 1)] += at - low
-    return out
+def reduced(x: np.ndarray, new: int) -> np.ndarray:
+    """``x`` (images, cells, other side) with ``new`` cells along the second axis: means of what each new cell covers,
+    from running sums, so the work is that of one pass whatever the sizes."""
+    old = x.shape[1]
+    edge = np.arange(new + 1) * (old / new)
+    whole = np.minimum(edge.astype(np.int64), old - 1)
+    sums = np.zeros((len(x), old + 1, x.shape[2]))
+    np.cumsum(x, axis=1, out=sums[:, 1:])
+    at = sums[:, whole] + (edge - whole)[None, :, None] * x[:, whole]
+    return np.diff(at, axis=1) * (new / old)
+
+
+def grown(x: np.ndarray, new: int) -> np.ndarray:
+    """``x`` with more cells along the second axis, by linear interpolation between cell centres."""
+    old = x.shape[1]
+    at = np.clip((np.arange(new) + 0.5) * (old / new) - 0.5, 0, old - 1)
+    low = np.minimum(at.astype(np.int64), max(old - 2, 0))
+    share = (at - low)[None, :, None]
+    return x[:, low] * (1 - share) + x[:, np.minimum(low + 1, old - 1)] * share
 
 
-def resized(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    return np.rint(side_weights(gray.shape[0], height) @ gray.astype(float) @ side_weights(gray.shape[1], width).T).clip(0, 255).astype(np.uint8)
+def resized(grays: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Images of one shape (images, height, width) in a new shape."""
+    x = grays.astype(float)
+    for new in (height, width):  # one side, then the other
+        x = (reduced if new <= x.shape[1] else grown)(x, new).transpose(0, 2, 1)
+    return np.rint(x).clip(0, 255).astype(np.uint8)
 
 
 def laplacian_variance(gray: np.ndarray) -> float:
@@ -55,19 +66,27 @@ def laplacian_variance(gray: np.ndarray) -> float:
 
 
 def pixel_features(images: DataFrame, resize: bool = True) -> DataFrame:
-    """image_id, height, width, hist (256 counts), laplacian_var, layout_hist. ``images``: image_id and ``image``."""
+    """image_id, height, width, hist (256 counts), laplacian_var, layout_hist. ``images``: image_id and ``image``.
+
+    Images of one shape are reduced together, at most ``PIXELS_AT_ONCE`` pixels at a time (one image at least).
+    """
     flat = images.select("image_id", "image.height", "image.width", "image.nChannels", "image.data")
+    names = ["image_id", "height", "width", "hist", "laplacian_var", "layout_hist"]
+
+    def some(rows: list, height: int, width: int) -> list[tuple]:
+        grays = np.stack([gray_of(r.data, height, width, r.nChannels) for r in rows])
+        small, layout = (resized(grays, SMALL_SIDE, SMALL_SIDE), resized(grays, min(height, LAYOUT_SIDE), min(width, LAYOUT_SIDE))) if resize else (grays, grays)
+        counts = lambda x: np.bincount(x.ravel(), minlength=256).tolist()
+        return [(r.image_id, height, width, counts(s), laplacian_variance(s), counts(y)) for r, s, y in zip(rows, small, layout, strict=True)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                gray = gray_of(r.data, r.height, r.width, r.nChannels)
-                small = resized(gray, SMALL_SIDE, SMALL_SIDE) if resize else gray
-                layout = resized(gray, min(r.height, LAYOUT_SIDE), min(r.width, LAYOUT_SIDE)) if resize else gray
-                counts = [np.bincount(x.ravel(), minlength=256).tolist() for x in (small, layout)]
-                rows.append((r.image_id, r.height, r.width, counts[0], laplacian_variance(small), counts[1]))
-            yield pd.DataFrame(rows, columns=["image_id", "height", "width", "hist", "laplacian_var", "layout_hist"])
+            out = []
+            for (height, width), own in pdf.groupby(["height", "width"]):
+                rows, step = list(own.itertuples(index=False)), max(1, PIXELS_AT_ONCE // (height * width))
+                for lo in range(0, len(rows), step):
+                    out += some(rows[lo : lo + step], height, width)
+            yield pd.DataFrame(out, columns=names)
 
     return flat.mapInPandas(run, "image_id bigint, height int, width int, hist array<bigint>, laplacian_var double, layout_hist array<bigint>")
 

@@ -606,6 +606,16 @@ LAP = """SELECT image_id, (64 * sum(e * e) - sum(e) * sum(e))::DOUBLE / 4096 AS
 ENT = "SELECT image_id, -sum(n / 64.0 * log2(n / 64.0)) AS entropy FROM (SELECT image_id, v, count(*) AS n FROM pix GROUP BY image_id, v) GROUP BY image_id"
 STD = "SELECT image_id, stddev_pop(v) AS contrast FROM pix GROUP BY image_id"
 FEAT = f"pix AS ({PIX}), lap AS ({LAP}), ent AS ({ENT}), std AS ({STD}), feat AS (SELECT lap.image_id, laplacian_var, entropy, contrast, laplacian_var > 300 AND entropy < 6.8 AS ss FROM lap JOIN ent ON lap.image_id = ent.image_id JOIN std ON lap.image_id = std.image_id)"
+#: Large images: 12 x 12 squares of one value, each 25 x 25 pixels in 300 x 300. The second differences of a square are
+#: those to its neighbours on its edge rows and columns, and both in its corners.
+CELL_PIX = f"""SELECT image_id, k.i, v FROM (SELECT image_id, max(i) + 1 AS n FROM (SELECT image_id // 3 AS image_id, (image_id % 3) * 64 + i AS i FROM ({PIX})) GROUP BY image_id) s, (SELECT unnest(range(144)) AS i) k
+  JOIN (SELECT image_id // 3 AS of, (image_id % 3) * 64 + i AS at, v FROM ({PIX})) p ON p.of = s.image_id AND p.at = k.i % s.n"""
+CELL_LAP = """SELECT image_id, (90000 * sum(e2) - sum(e) * sum(e))::DOUBLE / 8100000000 AS laplacian_var FROM (
+  SELECT image_id, 25 * (u + d + l + r) AS e, 25 * (u * u + d * d + l * l + r * r) + 2 * (u + d) * (l + r) AS e2 FROM (
+    SELECT c.image_id, coalesce(a.v - c.v, 0) AS u, coalesce(b.v - c.v, 0) AS d, coalesce(f.v - c.v, 0) AS l, coalesce(g.v - c.v, 0) AS r FROM pix c
+    LEFT JOIN pix a ON a.image_id = c.image_id AND a.i = c.i - 12 LEFT JOIN pix b ON b.image_id = c.image_id AND b.i = c.i + 12
+    LEFT JOIN pix f ON f.image_id = c.image_id AND f.i = c.i - 1 AND c.i % 12 > 0 LEFT JOIN pix g ON g.image_id = c.image_id AND g.i = c.i + 1 AND c.i % 12 < 11)) GROUP BY image_id"""
+CELL_FEAT = FEAT.replace(PIX, CELL_PIX).replace(LAP, CELL_LAP).replace("64.0", "144.0")
 TIER = "CASE WHEN ss AND laplacian_var > 500 THEN 'alta' WHEN (laplacian_var > 100 AND contrast > 30) OR (ss AND laplacian_var > 200) THEN 'media' ELSE 'baja' END"
 
 
@@ -615,8 +625,20 @@ def features(spark, d) -> DataFrame:
 
 @query("i1_pixel_features", f"WITH {FEAT} SELECT f.image_id, 8 AS height, 8 AS width, round(laplacian_var, 6) AS laplacian_var, (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT v, count(*) AS n FROM pix p WHERE p.image_id = f.image_id GROUP BY v)) AS hist FROM feat f")
 def i1(spark, d):
-    bins = F.filter(F.transform("hist", lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda x: x["n"] > 0)
-    return features(spark, d).select("image_id", "height", "width", F.round("laplacian_var", 6).alias("laplacian_var"), F.array_join(F.transform(bins, lambda x: F.concat_ws(":", x["i"].cast("string"), x["n"].cast("string"))), ",").alias("hist"))
+    return listed_features(features(spark, d), "hist")
+
+
+def listed_features(found: DataFrame, *hists: str) -> DataFrame:
+    """Sizes, rounded sharpness, and the filled bins of histograms as text."""
+    bins = lambda h: F.filter(F.transform(h, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda x: x["n"] > 0)
+    text = lambda h: F.array_join(F.transform(bins(h), lambda x: F.concat_ws(":", x["i"].cast("string"), x["n"].cast("string"))), ",").alias(h)
+    return found.select("image_id", "height", "width", F.round("laplacian_var", 6).alias("laplacian_var"), *map(text, hists))
+
+
+@query("i1_reduced_features", f"""WITH {CELL_FEAT} SELECT f.image_id, 720 + CAST(f.image_id % 2 * 120 AS INT) AS height, 720 AS width, round(laplacian_var, 6) AS laplacian_var,
+  (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT v, count(*) * 625 AS n FROM pix p WHERE p.image_id = f.image_id GROUP BY v)) AS hist, (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT v, count(*) * 2500 AS n FROM pix p WHERE p.image_id = f.image_id GROUP BY v)) AS layout_hist FROM feat f""")
+def i1_reduced(spark, d):
+    return listed_features(I.pixel_features(X.large_images(spark, d)), "hist", "layout_hist")
 
 
 @query("i2_entropy", f"WITH {FEAT} SELECT image_id, round(entropy, 6) AS entropy FROM feat")
@@ -880,6 +902,14 @@ def workload_b(spark, d):
     return C.task_grid(plan_recognition(X.images(spark, d), X.segments(spark, d), X.contours(spark, d), resize=False))
 
 
+LARGE_TASKS_SQL = TASKS_SQL.replace(FEAT, CELL_FEAT).replace("64 - n0", "144 - n0").replace("n0 < 64", "n0 < 144").replace("n0 / 64.0", "n0 / 144.0").replace("64 * 0.0005", "360000 * 0.0005").replace("SELECT f.image_id, ss,", "SELECT f.image_id, 1.0 + f.image_id % 2 / 6.0 AS a, ss,").replace("SELECT image_id, ss, 2 +", "SELECT image_id, ss, CASE WHEN a <= 1 THEN 2 ELSE 0 END +").replace("ELSE 0 END) AS s3,\n    (CASE", "ELSE 0 END) AS s3,\n    (CASE WHEN a > 2 THEN 3 WHEN a > 1 THEN 2 ELSE 0 END) + (CASE")
+
+
+@query("workload_b_large_tasks", LARGE_TASKS_SQL)
+def workload_b_large(spark, d):
+    return C.task_grid(plan_recognition(X.large_images(spark, d), X.segments(spark, d), X.contours(spark, d)))
+
+
 def workload_c_sql() -> str:
     inner = "SELECT image_id, line_no, line FROM exam_lines"
     for step in T9_STEPS:

@@ -73,6 +73,18 @@ def test_pixels(spark):
     assert all(r.laplacian_var == 0 for r in got.values())
 
 
+def test_reductions_equal_areas_and_interpolation():
+    """Means of covered cells, by spelling out each share; growing by interpolation; images of one shape together."""
+    rng = np.random.default_rng(4)
+    for old, new in ((720, 300), (601, 600), (7, 3), (10, 10), (5, 1), (1, 1)):
+        x = rng.integers(0, 256, (2, old, 3)).astype(float)
+        share = np.clip(np.minimum((np.arange(new) + 1)[:, None] * old / new, np.arange(old) + 1) - np.maximum(np.arange(new)[:, None] * old / new, np.arange(old)), 0, None) * new / old
+        assert np.allclose(images.reduced(x, new), np.einsum("nk,iko->ino", share, x))
+    assert np.allclose(images.grown(np.array([[[0.0], [10.0]]]), 4)[0, :, 0], [0, 2.5, 7.5, 10]) and np.allclose(images.grown(np.full((1, 1, 2), 7.0), 3), 7)
+    many = rng.integers(0, 256, (3, 640, 90)).astype(np.uint8)
+    assert all((images.resized(many, 300, 300)[k] == images.resized(many[k : k + 1], 300, 300)[0]).all() for k in range(3))
+
+
 def test_export_and_words_round_trip(spark, tmp_path):
     from pagewright import fixtures
     from pagewright.plans.workflows import lay_out
