@@ -1,15 +1,20 @@
 """Edit-aware token counts: a segment tree over a document's pre-token leaves, updated where edits touch it.
 
-Leaves are runs of whole pre-tokens of at least ``LEAF_CHARS`` characters, cut before a single space between two other
-characters: byte-level BPE never joins ids across such a place, so counts of leaves add up. An edit re-encodes the
-leaves it touches and one neighbour on each side, whose outer cuts keep their characters. Its pieces become leaves
-again: within their number sums change on the paths above; where more come, or half of the leaves are empty, the tree
-is laid out anew over the counts it has, and nothing else is encoded. So leaves stay small however much is inserted.
+Leaves are runs of at least ``LEAF_CHARS`` characters, cut at ends of tokens where the ids of both sides add up to those
+of the whole (see ``tokens.cuts``): between pre-tokens, and inside a long one (a run of letters without blanks, as in
+Chinese, or of blanks) where no merge crosses. So leaves are short whatever the text: in words, lines or tabs, in no
+script more than a token beyond the size. An edit re-encodes the leaves it touches together with one neighbour on each
+side. If the places between them and the neighbours are cuts in the new text as well, all else keeps its ids, since it
+merges as it did; if one is not, the leaves beyond it are taken in, twice as many each time. (In a long run of one sign
+an edit may shift how all signs after it pair up; then they are encoded again, as they must be.) The pieces become leaves:
+within their number sums change on the paths above; where more come, or half of the leaves are empty, the tree is laid
+out anew over the counts it has, and nothing else is encoded. So leaves stay small however much is inserted.
 
 Trees are rows of a table: ``build_trees`` makes them, ``apply_edits`` takes them with edits and hands them on as they
-are afterwards, to be edited again. One narrow pass each, no shuffle. Null text counts as empty; null edits are none. Edits apply in their order, each
-on the text the former left; places beyond the end mean the end, negative ones the start, negative lengths nothing.
-Repeated rows are alike; an empty table gives an empty result; clashing further columns are not looked at.
+are afterwards, to be edited again. One narrow pass each, no shuffle. Null text counts as empty; null edits are none.
+Edits apply in their order, each on the text the former left; places beyond the end mean the end, negative ones the
+start, negative lengths nothing. Repeated rows are alike; an empty table gives an empty result; clashing further columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -22,21 +27,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import saved, text_or_empty
-from pagewright.llm.tokens import SAFE_CUT, encode, encoding
+from pagewright.llm.tokens import cuts
 
 LEAF_CHARS = 256
 
 
-def split_leaves(text: str) -> list[str]:
-    out, lo = [], 0
-    while cut := SAFE_CUT.search(text, lo + LEAF_CHARS):
-        out.append(text[lo : cut.start()])
-        lo = cut.start()
-    return [*out, text[lo:]]
+def split_leaves(text: str) -> tuple[list[str], list[int]]:
+    """Leaves of a text, and how many ids each has."""
+    at, before, total = cuts(text)
+    return pieces(text, 0, len(text), at, before, 0, total)
 
 
-def count(text: str) -> int:
-    return len(encoding().encode_ordinary(text)) if len(text) < 1 << 20 else len(encode(text))
+def pieces(text: str, lo: int, hi: int, at: np.ndarray, before: np.ndarray, ids_lo: int, ids_hi: int) -> tuple[list[str], list[int]]:
+    """The stretch from ``lo`` to ``hi`` as leaves with their ids, from the cuts of ``text`` and the ids before both ends."""
+    out, ids = [], []
+    while hi - lo >= 2 * LEAF_CHARS:
+        k = int(np.searchsorted(at, lo + LEAF_CHARS))
+        if k == len(at) or at[k] >= hi:
+            break
+        out.append(text[lo : at[k]])
+        ids.append(int(before[k]) - ids_lo)
+        lo, ids_lo = int(at[k]), int(before[k])
+    return [*out, text[lo:hi]], [*ids, ids_hi - ids_lo]
 
 
 class TokenTree:
@@ -85,35 +97,50 @@ class TokenTree:
             node //= 2
             self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
+    def beside(self, leaf: int, step: int) -> int | None:
+        """The next leaf with text on one side of ``leaf``; None beyond the last."""
+        leaf += step
+        while 0 <= leaf < len(self.leaves) and not self.leaves[leaf]:
+            leaf += step
+        return leaf if 0 <= leaf < len(self.leaves) else None
+
     def edit(self, at: int, remove: int, insert: str) -> None:
         size = int(self.sums[1, 0])
         at = min(max(at, 0), size)
         end = min(at + max(remove, 0), size)
         first, inner = self.leaf_at(at)
-        last, _ = self.leaf_at(end)
-        lo, hi = first, last
-        for step in (-1, 1):  # one neighbour with text on each side; emptied leaves are passed over
-            k = (lo if step < 0 else hi) + step
-            while 0 <= k < len(self.leaves) and not self.leaves[k]:
-                k += step
-            if 0 <= k < len(self.leaves):
-                lo, hi = min(lo, k), max(hi, k)
-        text = "".join(self.leaves[lo : hi + 1])
-        place = sum(len(x) for x in self.leaves[lo:first]) + inner
-        text = text[:place] + insert + text[place + end - at :]
-        pieces = split_leaves(text)
-        ids = [count(x) if x else 0 for x in pieces]
+        lo, hi = first, self.leaf_at(end)[0]
+        own = "".join(self.leaves[lo : hi + 1])
+        own = own[:inner] + insert + own[inner + end - at :]
+        taken = 1  # twice as many leaves each time a cut is lost, so a run of one sign costs its length a few times over
+        while True:
+            left, right = self.beside(lo, -1), self.beside(hi, 1)
+            before = "" if left is None else self.leaves[left]
+            after = "" if right is None else self.leaves[right]
+            text = before + own + after
+            found, ids, total = cuts(text)
+            self.encoded += len(text)
+            a, b = len(before), len(before) + len(own)
+            begins, ends = int(np.searchsorted(found, a)), int(np.searchsorted(found, b))
+            if left is not None and (begins == len(found) or found[begins] != a):
+                taken, old_lo, lo = 2 * taken, lo, max(0, left - taken + 1)
+                own = "".join(self.leaves[lo:old_lo]) + own
+            elif right is not None and (ends == len(found) or found[ends] != b):
+                taken, old_hi, hi = 2 * taken, hi, min(len(self.leaves) - 1, right + taken - 1)
+                own += "".join(self.leaves[old_hi + 1 : hi + 1])
+            else:
+                break
+        new, counts = pieces(text, a, b, found, ids, 0 if left is None else int(ids[begins]), total if right is None else int(ids[ends]))
         room = hi - lo + 1
-        if len(pieces) <= room:
+        if len(new) <= room:
             for k in range(room):
-                self.put(lo + k, *((pieces[k], ids[k]) if k < len(pieces) else ("", 0)))
+                self.put(lo + k, *((new[k], counts[k]) if k < len(new) else ("", 0)))
         else:
             old = self.ids
-            self.lay_out(self.leaves[:lo] + pieces + self.leaves[hi + 1 :], old[:lo] + ids + old[hi + 1 :])
+            self.lay_out(self.leaves[:lo] + new + self.leaves[hi + 1 :], old[:lo] + counts + old[hi + 1 :])
         if 2 * self.filled < len(self.leaves) - 1:
             kept = [(x, n) for x, n in zip(self.leaves, self.ids, strict=True) if x] or [("", 0)]
             self.lay_out(*map(list, zip(*kept, strict=True)))
-        self.encoded += len(text)
 
 
 def build_trees(docs: DataFrame, *keep: str) -> DataFrame:
@@ -125,9 +152,9 @@ def build_trees(docs: DataFrame, *keep: str) -> DataFrame:
         for batch in batches:
             chars, ids = [], []
             for text in batch.column("text"):
-                leaves = split_leaves(text.as_py())
+                leaves, each = split_leaves(text.as_py())
                 chars.append([len(x) for x in leaves])
-                ids.append([count(x) for x in leaves])
+                ids.append(each)
             extra = [pa.array(chars, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32())), pa.array([sum(x) for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "leaf_chars", "leaf_tokens", "n_tokens"])
 

@@ -48,6 +48,41 @@ def encode(text: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(array("I", e.encode_ordinary(p)), np.uint32) for p in parts(text)])
 
 
+@lru_cache(maxsize=2)
+def token_bytes(name: str = RANKS) -> np.ndarray:
+    """By id: bytes of the token."""
+    r = ranks(name)
+    out = np.zeros(max(r.values()) + 1, np.int64)
+    out[np.fromiter(r.values(), np.int64)] = [len(t) for t in r]
+    return out
+
+
+#: White space as the split pattern sees it.
+WHITE = np.array([*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+def cuts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in ``text`` where ids of both sides add up to those of the whole, how many ids lie before each, and all ids.
+
+    Those are ends of tokens, in the midst of a pre-token or not: no merge crosses them, so either side merges as it did.
+    Left out are ends within a character, those between white space and what follows it (where white space stands at
+    the end of a text it is split in another way), and those before an apostrophe (which might begin a contraction).
+    """
+    ids = encode(text)
+    data = np.frombuffer(text.encode(), np.uint8)
+    begins = np.append((data & 0xC0) != 0x80, True)
+    ends = np.cumsum(token_bytes()[ids])
+    chars = np.concatenate([[0], np.cumsum(begins[:-1])])
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    white = np.isin(points, WHITE)
+    whole = begins[ends]
+    at, before = chars[ends[whole]], np.flatnonzero(whole) + 1
+    inner = at < len(points)
+    at, before = at[inner], before[inner]
+    safe = ~(white[at - 1] & ~white[at]) & (points[at] != ord("'"))
+    return at[safe], before[safe], len(ids)
+
+
 @lru_cache(maxsize=2)
 def sentence_ends(name: str = RANKS) -> np.ndarray:
     """By id: whether a sentence may end after the token (it ends in . ! or ?, or holds a line break)."""

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import chat_rotation as cr
 from pagewright.llm import token_store as ts
-from pagewright.llm.edit_counts import LEAF_CHARS, TokenTree, apply_edits, build_trees, count, edited_counts, split_leaves
-from pagewright.llm.tokens import encode
+from pagewright.llm.edit_counts import LEAF_CHARS, TokenTree, apply_edits, build_trees, edited_counts, split_leaves
+from pagewright.llm.tokens import cuts, encode
 
 DATA = "/root/testdata/sf0.01"
 
@@ -58,11 +58,12 @@ def test_training_order_odd_tables(spark):
 
 def test_trees_follow_edits():
     rng = random.Random(6)
-    bits = ["word", " ", "  ", "\n", "'s", " don't", "é", "😀", "12345", "!!", " a", "tion", ".", "\t "]
-    for case in range(120):
+    every = ["word", " ", "  ", "\n", "'s", " don't", "é", "😀", "12345", "!!", " a", "tion", ".", "\t ", "'", "'l", "l", "\u3000", "\x1c", "中", "中文", "\u00a0"]
+    for case in range(160):
+        bits = every if case % 2 else rng.sample(every, 3)
         text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 50, 800, 3000])))
-        leaves = split_leaves(text)
-        tree = TokenTree(list(leaves), [count(x) for x in leaves])
+        leaves, ids = split_leaves(text)
+        tree = TokenTree(list(leaves), ids)
         assert tree.tokens == len(encode(text)) and "".join(leaves) == text
         for _ in range(rng.randint(1, 25)):
             at, remove = rng.randint(-3, len(text) + 5), rng.choice([0, 1, 5, 400, 5000])
@@ -71,14 +72,14 @@ def test_trees_follow_edits():
             text = text[:a] + insert + text[min(a + remove, len(text)) :]
             tree.edit(at, remove, insert)
             assert "".join(tree.leaves) == text and tree.tokens == len(encode(text)), case
-            assert tree.ids == [count(x) if x else 0 for x in tree.leaves] and tree.filled == sum(map(bool, tree.leaves))
+            assert tree.ids == [len(encode(x)) if x else 0 for x in tree.leaves] and tree.filled == sum(map(bool, tree.leaves))
 
 
 def test_leaves_stay_small():
     """A large insertion is encoded once; edits beside it touch a few leaves; deletions leave few empty ones."""
     rng = random.Random(2)
     text = "start of it and more"
-    tree = TokenTree([text], [count(text)])
+    tree = TokenTree([text], [len(encode(text))])
     words = " ".join(rng.choice(["word", "tion", "12", "é"]) for _ in range(60_000))
     tree.edit(5, 0, words)
     assert len(tree.leaves) > 500 and max(map(len, tree.leaves)) < 2 * LEAF_CHARS
@@ -90,6 +91,46 @@ def test_leaves_stay_small():
     assert 2 * tree.filled >= len(tree.leaves) - 1 and tree.tokens == len(encode("".join(tree.leaves)))
 
 
+HARD = {
+    "chinese": lambda rng: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(42_000)),
+    "lines of a word": lambda rng: "".join(rng.choice(["word", "tion", "x", "12"]) + "\n" for _ in range(13_000)),
+    "tabs": lambda rng: "\t".join(rng.choice(["word", "tion", "x", "12"]) for _ in range(13_000)),
+    "two spaces": lambda rng: "  ".join(rng.choice(["word", "tion", "x", "12"]) for _ in range(50_000)),
+    "one letter": lambda rng: "z" * 60_000,
+    "blanks": lambda rng: " " * 30_000 + "a" + "\n" * 30_000,
+    "signs": lambda rng: "".join(rng.choice("'!?-=") for _ in range(40_000)),
+}
+
+
+@pytest.mark.parametrize("kind", HARD)
+def test_leaves_of_texts_without_single_spaces(kind):
+    """Leaves are short in any text, and one edit re-encodes a few of them."""
+    rng = random.Random(9)
+    text = HARD[kind](rng)
+    leaves, ids = split_leaves(text)
+    tree = TokenTree(list(leaves), ids)
+    assert "".join(leaves) == text and tree.tokens == len(encode(text)) and ids == [len(encode(x)) for x in leaves]
+    assert max(map(len, leaves)) < 2 * LEAF_CHARS + 64
+    for _ in range(12):
+        at, remove, insert = rng.randint(0, len(text)), rng.choice([0, 1, 9]), rng.choice(["", "中", " ", "x", "'", "\n"])
+        tree.encoded = 0
+        tree.edit(at, remove, insert)
+        text = text[:at] + insert + text[at + remove :]
+        assert tree.tokens == len(encode(text)) and "".join(tree.leaves) == text
+        # In a run of one sign all pairs after an edit may shift.
+        assert tree.encoded < (6 * len(text) if kind in ("one letter", "blanks") else 24 * LEAF_CHARS)
+
+
+def test_cuts_add_up():
+    rng = random.Random(1)
+    bits = ["word", " ", "  ", "\n", "'s", "é", "😀", "12", "!!", " a", "'", "ll", "\u3000", "\x1c", "中文", "\u00a0", "\u0085"]
+    for _ in range(150):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        at, before, total = cuts(text)
+        assert total == len(encode(text))
+        assert all(len(encode(text[:a])) == n and n + len(encode(text[a:])) == total for a, n in zip(at, before, strict=True))
+
+
 def test_kept_trees_are_edited_again(spark):
     df = spark.createDataFrame([(1, "one two three " * 200), (2, None)], "doc_id long, text string")
     edits = lambda t, *e: t.withColumn("edits", F.array(*[F.struct(F.lit(a).alias("at"), F.lit(r).alias("remove"), F.lit(i).alias("insert")) for a, r, i in e]))
