@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.tables import drop_saved, is_small, rows_of, saved, scratch_dir, small_side, workspace
+from pagewright.tables import drop_saved, is_small, new_folder, rows_of, saved, scratch_dir, small_side, workspace
 
-__all__ = ["drop_saved", "free_name", "in_steps", "is_small", "let", "rows_of", "saved", "scratch_dir", "small_side", "text_hash", "text_or_empty", "workspace"]
+__all__ = ["drop_saved", "free_name", "in_steps", "is_small", "let", "new_folder", "rows_of", "saved", "scratch_dir", "small_side", "text_hash", "text_or_empty", "workspace"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

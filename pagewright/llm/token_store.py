@@ -1,16 +1,19 @@
 """Training-order materialisation: fixed-length id sequences, each at its own global slot, in fixed-stride shards.
 
-1. Tasks encode their documents into one stream of ids and cut it every ``LENGTH``; sequences are written once.
-2. Counts per task give every sequence a dense number; a keyed Feistel permutation of the next power of two, walked
-   until it falls below the number of sequences, turns numbers into slots: a bijection, computed row by row.
-3. Sequences move once, to the task of their slot range, and are sorted there.
+1. Tasks encode their documents. Ids, two bytes each, are dealt by ranges of doc_id and text hash and sorted, so the
+   stream of all ids has one order whatever the tasks; it is written once, each document with its place in its range.
+2. Counts per range give every id its place in the stream; sequences are its stretches between multiples of ``LENGTH``,
+   so the same rows make the same sequences on any cluster. A keyed Feistel permutation of the next power of two, walked
+   until it falls below the number of sequences, turns their numbers into slots: a bijection, computed row by row.
+3. Stretches move once, to the task of their slot range; those that two tasks hold parts of are put together there.
 
 Slot s is record s mod ``SHARD`` of shard s div ``SHARD``. A record is the number of its ids that count, the ids, and a
 closing line feed: ``stride(length)`` bytes, always, so a reader resumes anywhere by multiplication. Numbers are
-little-endian unsigned 16-bit, ids padded with the end id; an id beyond 16 bits is an error.
+little-endian unsigned 16-bit, ids padded with the end id; an id beyond 16 bits is an error. ``write_shards`` writes the
+shards and a manifest (records, key, length, shard, stride); ``read_from`` reads the records from any slot on.
 
-Null text counts as empty: its document is the single end id. Repeated rows are stored as they come. An empty table
-gives an empty result; further columns are not looked at.
+Null ids come first. Null text counts as empty: its document is the single end id. Repeated rows are stored as often as
+they come, one after the other. An empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,20 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import saved, small_side
+from pagewright.llm.common import new_folder, saved, small_side, text_hash, text_or_empty, workspace
 from pagewright.llm.tokens import encode
-from pagewright.llm.wordscan import mix
+from pagewright.llm.wordscan import mix, slices
 
 LENGTH, END_ID, SHARD = 2048, 50256, 8192
 KEY, ROUNDS = 20_240_501, 6
 #: Shards that one task writes at most, where there are more shards than shuffle partitions.
 TASK_SHARDS = 16
-#: Tasks of the encoding step whose counts are added up together.
+#: Ranges whose counts are added up together.
 BLOCK = 1024
 
 
@@ -63,53 +67,111 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """part, seq, n_tokens, tokens: the ids of each task's documents, each closed by the end id, cut every ``length``."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), n, ids: each document's ids and the end id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                out, n = [], []
+                for text in part.column("text"):
+                    ids = encode(text.as_py())
+                    if len(ids) and ids.max() >= 1 << 16:
+                        raise ValueError("an id needs more than 16 bits")
+                    out.append(np.append(ids, END_ID).astype("<u2").tobytes())
+                    n.append(len(ids) + 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "h", "n", "ids"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), text_or_empty().alias("text"))
+    return source.mapInArrow(run, "doc_id bigint, h binary, n bigint, ids binary")
 
-    def rows(part: int, seq: int, ids: np.ndarray) -> pa.RecordBatch:
-        n = -(-len(ids) // length)
-        full = np.full(n * length, END_ID, "<u2")
-        full[: len(ids)] = ids
-        counts = np.full(n, length)
-        counts[-1] = len(ids) - (n - 1) * length
-        tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * length).astype(np.int32)), pa.py_buffer(full)])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(seq, seq + n)), pa.array(counts.astype(np.int32)), tokens], ["part", "seq", "n_tokens", "tokens"])
+
+def stream(docs: DataFrame) -> DataFrame:
+    """part, start, n, ids: documents in order, each with its range and the ids before it there; a saved table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        held: list[np.ndarray] = []
-        size = 0
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for text in batch.column(0):
-                ids = encode(text.as_py() or "")
-                if len(ids) and ids.max() >= 1 << 16:
-                    raise ValueError("an id needs more than 16 bits")
-                held += [ids.astype(np.uint16), np.full(1, END_ID, np.uint16)]
-                size += len(ids) + 1
-                if size >= 256 * length:
-                    ids = np.concatenate(held)
-                    done = size // length * length
-                    yield rows(part, seq, ids[:done])
-                    seq += size // length
-                    held, size = [ids[done:]], size - done
-        if size:
-            yield rows(part, seq, np.concatenate(held))
-
-    return docs.select("text").mapInArrow(run, "part bigint, seq bigint, n_tokens int, tokens binary")
+            n = batch.column("n").to_numpy()
+            ends = start + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(ends - n), batch.column("n"), batch.column("ids")], ["part", "start", "n", "ids"])
+            start = int(ends[-1]) if len(n) else start
 
+    # Rows alike may be dealt to several ranges: which of them comes first makes no difference.
+    order = [F.asc_nulls_first("doc_id"), F.asc("h"), F.asc("alike")]
+    rows = encoded(docs).withColumn("alike", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("n", "ids").mapInArrow(run, "part bigint, start bigint, n bigint, ids binary"), sized=False)
 
-def training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """slot, shard, record, byte_offset, n_tokens, tokens; every slot once, tasks hold ascending slot ranges."""
-    spark = docs.sparkSession
-    stored = saved(sequences(docs, length))
-    counts = saved(stored.groupBy("part").agg((F.max("seq") + 1).alias("n")))
-    # One row per task of the first step, added up in blocks; one row per block is what a single task sees.
+
+def bases(stored: DataFrame) -> DataFrame:
+    """part, base (ids before the range), n: a saved table."""
+    counts = saved(stored.groupBy("part").agg(F.sum("n").alias("n")))
+    # One row for each range, added up in blocks; one row for each block is what a single task sees.
     earlier = (Window.unboundedPreceding, -1)
     blocks = counts.groupBy(F.floor(F.col("part") / BLOCK).alias("block")).agg(F.sum("n").alias("all"))
     blocks = blocks.select("block", F.coalesce(F.sum("all").over(Window.orderBy("block").rowsBetween(*earlier)), F.lit(0)).alias("base"))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(*earlier)), F.lit(0))
-    bases = saved(counts.withColumn("block", F.floor(F.col("part") / BLOCK)).join(blocks, "block").select("part", (F.col("base") + within).alias("base")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return saved(counts.withColumn("block", F.floor(F.col("part") / BLOCK)).join(blocks, "block").select("part", (F.col("base") + within).alias("base"), "n"))
+
+
+def stretches(placed: DataFrame, length: int) -> DataFrame:
+    """seq, at, ids: ``placed`` (place of the first id in the whole stream, n, ids) between multiples of ``length``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "ids", 8 << 20):
+                order = np.argsort(part.column("place").to_numpy())
+                place, n = part.column("place").to_numpy()[order], part.column("n").to_numpy()[order]
+                data = b"".join(part.column("ids").take(pa.array(order)).to_pylist())
+                # Documents that follow each other are one run; runs begin where a place is not the end of the one before.
+                opens = np.flatnonzero(np.concatenate([[True], place[1:] != (place + n)[:-1]]))
+                offset = np.concatenate([[0], np.cumsum(n)])
+                seq, at, ids = [], [], []
+                for lo, first, last in zip(place[opens].tolist(), offset[opens].tolist(), offset[[*opens[1:], len(n)]].tolist(), strict=True):
+                    hi = lo + last - first
+                    for k in range(lo // length, -(-hi // length)):
+                        a, b = max(lo, k * length), min(hi, (k + 1) * length)
+                        seq.append(k)
+                        at.append(a - k * length)
+                        ids.append(data[2 * (first + a - lo) : 2 * (first + b - lo)])
+                yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], ["seq", "at", "ids"])
+
+    return placed.select("place", "n", "ids").mapInArrow(run, "seq bigint, at int, ids binary")
+
+
+def assembled(pieces: DataFrame, length: int) -> DataFrame:
+    """slot, n_tokens, tokens (padded) from stretches (slot, at, ids) that come by slot and place."""
+    pad = np.full(length, END_ID, "<u2").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held, out = None, [], []
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([len(t) // 2 for _, t in out], pa.int32()), pa.array([t + pad[len(t) :] for _, t in out], pa.binary())], ["slot", "n_tokens", "tokens"])
+        for batch in batches:
+            for s, ids in zip(batch.column("slot").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if s != slot and held:
+                    out.append((slot, b"".join(held)))
+                    held = []
+                slot = s
+                held.append(ids)
+            if len(out) >= 256:
+                yield rows()
+                out = []
+        if held:
+            out.append((slot, b"".join(held)))
+        if out:
+            yield rows()
+
+    return pieces.select("slot", "ids").mapInArrow(run, "slot bigint, n_tokens int, tokens binary")
+
+
+def in_order(docs: DataFrame, key: int, length: int, shard: int) -> tuple[DataFrame, int]:
+    """``training_order``, and the number of its records."""
+    spark = docs.sparkSession
+    with workspace(spark) as keep:
+        stored = stream(docs)
+        base = bases(stored)
+        keep += [stored, base]
+    total = -(-base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // length)
     shards = max(1, -(-total // shard))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS)))
 
@@ -117,19 +179,53 @@ def training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, shard:
     def slot_of(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), total, key))
 
-    numbered = stored.join(small_side(bases), "part")
-    slots = numbered.select(slot_of(F.col("base") + F.col("seq")).alias("slot"), "n_tokens", "tokens")
-    where = slots.select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("record"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "n_tokens", "tokens")
-    return where.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
+    placed = stored.join(small_side(base.select("part", "base")), "part").select((F.col("base") + F.col("start")).alias("place"), "n", "ids")
+    pieces = stretches(placed, length).select(slot_of("seq").alias("slot"), "at", "ids")
+    dealt = pieces.repartitionById(tasks, F.floor(F.floor(F.col("slot") / shard) * tasks / shards).cast("int")).sortWithinPartitions("slot", "at")
+    where = assembled(dealt, length).select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("record"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "n_tokens", "tokens")
+    return where, total
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """One directory per shard, with one file of equal records; record r begins at byte r * ``stride(length)``, which is
-    its ``byte_offset``."""
-    ordered = training_order(docs, **options)
-    n = F.hex(F.col("n_tokens"))
-    count = F.unhex(F.concat(F.substring(F.lpad(n, 4, "0"), 3, 2), F.substring(F.lpad(n, 4, "0"), 1, 2)))
-    ordered.select("shard", F.concat(count, F.col("tokens")).cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+def training_order(docs: DataFrame, key: int = KEY, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """slot, shard, record, byte_offset, n_tokens, tokens; every slot once, tasks hold ascending slot ranges."""
+    return in_order(docs, key, length, shard)[0]
+
+
+def write_shards(docs: DataFrame, path: str, key: int = KEY, length: int = LENGTH, shard: int = SHARD) -> None:
+    """Below ``path``: ``manifest``, and in ``shards`` one directory per shard with one file of equal records; record r
+    begins at byte r * ``stride(length)``, which is its ``byte_offset``."""
+    ordered, total = in_order(docs, key, length, shard)
+    n = F.lpad(F.hex(F.col("n_tokens")), 4, "0")
+    count = F.unhex(F.concat(F.substring(n, 3, 2), F.substring(n, 1, 2)))
+    sorted_rows = ordered.sortWithinPartitions("shard", "slot")  # as they come; says so to the writer
+    sorted_rows.select("shard", F.concat(count, F.col("tokens")).cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards")
+    facts = [(total, key, length, shard, stride(length))]
+    docs.sparkSession.createDataFrame(facts, "records bigint, key bigint, length int, shard int, stride int").coalesce(1).write.json(f"{path}/manifest")
+
+
+def read_from(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
+    """slot, shard, record, byte_offset, n_tokens, tokens of the records of ``write_shards`` from ``slot`` on; each task
+    goes to its place in a shard's file and reads forward."""
+    facts = spark.read.schema("records bigint, key bigint, length int, shard int, stride int").json(f"{path}/manifest").first()
+    records, length, shard, size = facts["records"], facts["length"], facts["shard"], facts["stride"]
+    first, shards = max(0, slot), -(-records // shard)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        for number in (k for batch in batches for k in batch.column("id").to_pylist()):
+            (name,) = (f.path for f in system.get_file_info(fs.FileSelector(f"{folder}/shards/shard={number}")) if f.base_name.startswith("part-"))
+            lo, hi = max(first, number * shard), min(records, (number + 1) * shard)
+            with system.open_input_file(name) as f:
+                for a in range(lo, hi, 256):
+                    b = min(hi, a + 256)
+                    data = np.frombuffer(f.read_at((b - a) * size, (a - number * shard) * size), np.uint8).reshape(b - a, size)
+                    n = data[:, 0].astype(np.int32) + 256 * data[:, 1].astype(np.int32)
+                    s = np.arange(a, b)
+                    tokens = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.arange(b - a + 1) * 2 * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[:, 2:-1]))])
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(b - a, number)), pa.array(s % shard), pa.array(s % shard * size), pa.array(n), tokens], ["slot", "shard", "record", "byte_offset", "n_tokens", "tokens"])
+
+    numbers = spark.range(first // shard, max(first // shard, shards), numPartitions=max(1, shards - first // shard))
+    return numbers.mapInArrow(run, "slot bigint, shard bigint, record bigint, byte_offset bigint, n_tokens int, tokens binary")
 
 
 def read_record(data: bytes) -> np.ndarray:
@@ -138,10 +234,12 @@ def read_record(data: bytes) -> np.ndarray:
 
 
 def training_order_digest(docs: DataFrame) -> DataFrame:
-    """``training_order`` with a checksum of each record."""
+    """The records of all shards, written and read from the first slot on, with a checksum of each."""
 
     @F.pandas_udf("bigint")
     def crc(tokens: pd.Series) -> pd.Series:
         return tokens.map(zlib.crc32).astype("int64")
 
-    return training_order(docs).withColumn("crc32", crc("tokens"))
+    path = new_folder(docs.sparkSession, "shards")
+    write_shards(docs, path)
+    return read_from(docs.sparkSession, path).withColumn("crc32", crc("tokens"))

@@ -30,9 +30,9 @@ def test_training_order_round_trip(spark, tmp_path):
     rows = ts.training_order_digest(docs).collect()
     n = len(rows)
     assert sorted(r.slot for r in rows) == list(range(n))
-    stream = np.concatenate([np.append(encode(r.text), ts.END_ID) for r in docs.collect()])
+    stream = np.concatenate([np.append(encode(r.text), ts.END_ID) for r in docs.orderBy("doc_id").collect()])
     assert sum(r.n_tokens for r in rows) == len(stream)
-    # One file, one task: sequence k of the stream is at slot permute(k).
+    # Sequence k of the documents in order is at slot permute(k).
     by_slot = {r.slot: r for r in rows}
     for k, slot in enumerate(ts.permute(np.arange(n), n)):
         r = by_slot[slot]
@@ -41,7 +41,7 @@ def test_training_order_round_trip(spark, tmp_path):
         assert (r.shard, r.record, r.byte_offset) == (slot // ts.SHARD, slot % ts.SHARD, slot % ts.SHARD * ts.stride())
     ts.write_shards(docs, str(tmp_path / "out"), shard=16)
     for r in ts.training_order(docs, shard=16).collect():  # seek by the column
-        (name,) = glob.glob(str(tmp_path / f"out/shard={r.shard}/part-*"))
+        (name,) = glob.glob(str(tmp_path / f"out/shards/shard={r.shard}/part-*"))
         with open(name, "rb") as f:
             f.seek(r.byte_offset)
             data = f.read(ts.stride())
@@ -49,6 +49,25 @@ def test_training_order_round_trip(spark, tmp_path):
         assert ts.read_record(data).tolist() == np.frombuffer(by_slot[r.slot].tokens, "<u2")[: r.n_tokens].tolist()
 
 
+def test_training_order_does_not_depend_on_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(None, "no id")] * 40 + [(5, None), (5, "other"), (-1, "x y " * 9000)], "doc_id long, text string"))
+    got = [sorted((r.slot, r.n_tokens, bytes(r.tokens)) for r in ts.training_order(docs.repartition(n)).collect()) for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2] and [s for s, *_ in got[0]] == list(range(len(got[0])))
+    assert sorted(r.n_tokens for r in ts.training_order(docs).collect())[1:] == [ts.LENGTH] * (len(got[0]) - 1)  # only the last is padded
+
+
+def test_reading_resumes_at_any_slot(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ts.write_shards(docs, str(tmp_path / "o"), shard=16)
+    every = sorted(map(tuple, ts.read_from(spark, str(tmp_path / "o")).collect()))
+    assert every == sorted(map(tuple, ts.training_order(docs, shard=16).collect()))
+    for slot in (1, 16, 37, len(every) - 1, len(every), len(every) + 90):
+        assert sorted(map(tuple, ts.read_from(spark, str(tmp_path / "o"), slot).collect())) == every[slot:]
+    facts = spark.read.json(str(tmp_path / "o/manifest")).first()
+    assert (facts["records"], facts["key"], facts["length"], facts["shard"], facts["stride"]) == (len(every), ts.KEY, ts.LENGTH, 16, ts.stride())
+
+
 def test_training_order_odd_tables(spark):
     df = spark.createDataFrame([(1, None, 0), (1, "", 0), (2, "a b", 0), (2, "x " * 50_000, 0)], "doc_id long, text string, slot int")
     rows = ts.training_order(df).collect()
