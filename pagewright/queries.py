@@ -128,7 +128,7 @@ def half_even(c: str, digits: int) -> str:
 
 
 def pages(spark: SparkSession, sf_dir: str):
-    return lay_out(X.ocr_words(spark, sf_dir), MIN_CONF, post_process=False, repair=False)
+    return lay_out(X.ocr_words(spark, sf_dir), MIN_CONF, post_process=False, repair=False, dealt=X.is_prepared(sf_dir, "ocr_words"))
 
 
 def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,8 @@ def c4(spark, d):
 @query("c5_keep_winner_words", sql("SELECT c.image_id, c.variant, c.psm, count(*) AS n, sum(conf) AS conf FROM cand c JOIN best b ON c.image_id = b.image_id AND c.variant = b.variant AND c.psm = b.psm GROUP BY ALL"))
 def c5(spark, d):
     rank = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("image_id"), F.array(F.lit(3), F.lit(6)).alias("psm_order"))
-    return C.keep_winner_words(cand_words(spark, d), rank).groupBy("image_id", "variant", "psm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"))
+    picked = C.keep_winner_words(cand_words(spark, d), rank, pick_from=X.candidate_words(spark, d))
+    return W.filter_words(picked, MIN_CONF).groupBy("image_id", "variant", "psm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"))
 
 
 def rounds_over_scores(spark, d):
