@@ -1,9 +1,10 @@
 """Training-order materialisation: fixed-length id sequences, each at its own global slot, in fixed-stride shards.
 
-1. Tasks encode their documents. Ids, two bytes each, are dealt by ranges of doc_id and text hash and sorted, so the
-   stream of all ids has one order whatever the tasks; it is written once, each document with its place in its range.
-2. Counts per range give every id its place in the stream; sequences are its stretches between multiples of ``LENGTH``,
-   so the same rows make the same sequences on any cluster. A keyed Feistel permutation of the next power of two, walked
+1. Tasks encode their documents; the ids, two bytes each, are written once.
+2. Narrow rows (doc_id, text hash, count) are sorted by range; counts of ids per range give every document its place in
+   one stream, which has one order whatever the tasks. Places come to the ids by broadcast while they are small, else by
+   row. Sequences are the stream's stretches between multiples of ``LENGTH``, so the same rows make the same sequences on
+   any cluster. A keyed Feistel permutation of the next power of two, walked
    until it falls below the number of sequences, turns their numbers into slots: a bijection, computed row by row.
 3. Stretches move once, to the task of their slot range; those that two tasks hold parts of are put together there.
 
@@ -86,26 +87,27 @@ def encoded(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, h binary, n bigint, ids binary")
 
 
-def stream(docs: DataFrame) -> DataFrame:
-    """part, start, n, ids: documents in order, each with its range and the ids before it there; a saved table."""
+def ranked(stored: DataFrame) -> DataFrame:
+    """part, row, start, n: documents in order of id and text hash, each with its range and the ids before it there; a
+    saved table. Only these narrow rows are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.column("n").to_numpy()
             ends = start + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(ends - n), batch.column("n"), batch.column("ids")], ["part", "start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), batch.column("row"), pa.array(ends - n), batch.column("n")], ["part", "row", "start", "n"])
             start = int(ends[-1]) if len(n) else start
 
     # Rows alike may be dealt to several ranges: which of them comes first makes no difference.
-    order = [F.asc_nulls_first("doc_id"), F.asc("h"), F.asc("alike")]
-    rows = encoded(docs).withColumn("alike", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
-    return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("n", "ids").mapInArrow(run, "part bigint, start bigint, n bigint, ids binary"), sized=False)
+    order = [F.asc_nulls_first("doc_id"), F.asc("h"), F.asc("row")]
+    rows = stored.select("doc_id", "h", "row", "n").repartitionByRange(*order).sortWithinPartitions(*order)
+    return saved(rows.select("row", "n").mapInArrow(run, "part bigint, row bigint, start bigint, n bigint"), sized=False)
 
 
-def bases(stored: DataFrame) -> DataFrame:
+def bases(rows: DataFrame) -> DataFrame:
     """part, base (ids before the range), n: a saved table."""
-    counts = saved(stored.groupBy("part").agg(F.sum("n").alias("n")))
+    counts = saved(rows.groupBy("part").agg(F.sum("n").alias("n")))
     # One row for each range, added up in blocks; one row for each block is what a single task sees.
     earlier = (Window.unboundedPreceding, -1)
     blocks = counts.groupBy(F.floor(F.col("part") / BLOCK).alias("block")).agg(F.sum("n").alias("all"))
@@ -168,10 +170,12 @@ def in_order(docs: DataFrame, key: int, length: int, shard: int) -> tuple[DataFr
     """``training_order``, and the number of its records."""
     spark = docs.sparkSession
     with workspace(spark) as keep:
-        stored = stream(docs)
-        base = bases(stored)
-        keep += [stored, base]
-    total = -(-base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // length)
+        stored = saved(encoded(docs).withColumn("row", F.monotonically_increasing_id()), sized=False, codec="zstd")
+        rows = ranked(stored)
+        base = bases(rows)
+        places = saved(rows.join(small_side(base.select("part", "base")), "part").select("row", (F.col("base") + F.col("start")).alias("place")))
+        keep += [stored, places]
+        total = -(-base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // length)
     shards = max(1, -(-total // shard))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS)))
 
@@ -179,7 +183,7 @@ def in_order(docs: DataFrame, key: int, length: int, shard: int) -> tuple[DataFr
     def slot_of(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), total, key))
 
-    placed = stored.join(small_side(base.select("part", "base")), "part").select((F.col("base") + F.col("start")).alias("place"), "n", "ids")
+    placed = stored.join(small_side(places), "row").select("place", "n", "ids")
     pieces = stretches(placed, length).select(slot_of("seq").alias("slot"), "at", "ids")
     dealt = pieces.repartitionById(tasks, F.floor(F.floor(F.col("slot") / shard) * tasks / shards).cast("int")).sortWithinPartitions("slot", "at")
     where = assembled(dealt, length).select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("record"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "n_tokens", "tokens")
