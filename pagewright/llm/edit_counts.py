@@ -19,6 +19,7 @@ are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import saved, text_or_empty
 from pagewright.llm.tokens import cuts
 
-LEAF_CHARS = 256
+LEAF_CHARS = 128
 
 
 def split_leaves(text: str) -> tuple[list[str], list[int]]:
@@ -41,13 +42,15 @@ def split_leaves(text: str) -> tuple[list[str], list[int]]:
 def pieces(text: str, lo: int, hi: int, at: np.ndarray, before: np.ndarray, ids_lo: int, ids_hi: int) -> tuple[list[str], list[int]]:
     """The stretch from ``lo`` to ``hi`` as leaves with their ids, from the cuts of ``text`` and the ids before both ends."""
     out, ids = [], []
+    if hi - lo >= 2 * LEAF_CHARS:
+        at, before = at.tolist(), before.tolist()
     while hi - lo >= 2 * LEAF_CHARS:
-        k = int(np.searchsorted(at, lo + LEAF_CHARS))
+        k = bisect_left(at, lo + LEAF_CHARS)
         if k == len(at) or at[k] >= hi:
             break
         out.append(text[lo : at[k]])
-        ids.append(int(before[k]) - ids_lo)
-        lo, ids_lo = int(at[k]), int(before[k])
+        ids.append(before[k] - ids_lo)
+        lo, ids_lo = at[k], before[k]
     return [*out, text[lo:hi]], [*ids, ids_hi - ids_lo]
 
 

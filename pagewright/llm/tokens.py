@@ -59,6 +59,8 @@ def token_bytes(name: str = RANKS) -> np.ndarray:
 
 #: White space as the split pattern sees it.
 WHITE = np.array([*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+LAST_WHITE = int(WHITE.max())
+IS_WHITE = np.isin(np.arange(LAST_WHITE + 2), WHITE)
 
 
 def cuts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -69,17 +71,20 @@ def cuts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     the end of a text it is split in another way), and those before an apostrophe (which might begin a contraction).
     """
     ids = encode(text)
+    at, before = np.cumsum(token_bytes()[ids]), np.arange(1, len(ids) + 1)
     data = np.frombuffer(text.encode(), np.uint8)
-    begins = np.append((data & 0xC0) != 0x80, True)
-    ends = np.cumsum(token_bytes()[ids])
-    chars = np.concatenate([[0], np.cumsum(begins[:-1])])
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    white = np.isin(points, WHITE)
-    whole = begins[ends]
-    at, before = chars[ends[whole]], np.flatnonzero(whole) + 1
-    inner = at < len(points)
-    at, before = at[inner], before[inner]
-    safe = ~(white[at - 1] & ~white[at]) & (points[at] != ord("'"))
+    if len(data) == len(text):  # bytes are characters
+        points = data
+    else:
+        begins = np.append((data & 0xC0) != 0x80, True)
+        whole = begins[at]
+        before, at = before[whole], np.cumsum(begins)[at[whole]] - 1
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if len(at) and at[-1] == len(points):
+        at, before = at[:-1], before[:-1]
+    white = lambda x: IS_WHITE[x if x.dtype == np.uint8 else np.minimum(x, LAST_WHITE + 1)]
+    right = points[at]
+    safe = (~white(points[at - 1]) | white(right)) & (right != ord("'"))
     return at[safe], before[safe], len(ids)
 
 

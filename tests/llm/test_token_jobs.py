@@ -129,7 +129,7 @@ def test_leaves_of_texts_without_single_spaces(kind):
     leaves, ids = split_leaves(text)
     tree = TokenTree(list(leaves), ids)
     assert "".join(leaves) == text and tree.tokens == len(encode(text)) and ids == [len(encode(x)) for x in leaves]
-    assert max(map(len, leaves)) < 2 * LEAF_CHARS + 64
+    assert max(map(len, leaves)) < 2 * LEAF_CHARS + 64  # the longest tokens go beyond
     for _ in range(12):
         at, remove, insert = rng.randint(0, len(text)), rng.choice([0, 1, 9]), rng.choice(["", "中", " ", "x", "'", "\n"])
         tree.encoded = 0
