@@ -31,25 +31,26 @@ SELECT doc_id AS image_id, 0 AS variant, 3 AS psm, 'spa' AS language, 2800 AS im
 FROM tokens
 """
 
-#: Texts with question heads, code, options and blank lines; every third document has options only, every fifth none.
+#: Texts with question heads, code, options and blank lines, all set in as lines of their own between the given ones;
+#: every third document has options only, every fifth none.
 EXAM_LINES = """
-SELECT doc_id AS image_id, line_no,
-       CASE WHEN doc_id % 5 = 4 THEN line
-            WHEN line_no % 8 = 0 AND doc_id % 3 = 2 THEN line
-            WHEN line_no % 8 = 0 THEN 'Pregunta ' || CAST(line_no AS STRING)
-            WHEN line_no % 8 = 1 THEN line || ':'
-            WHEN line_no % 8 = 2 THEN 'x = ' || CAST(line_no AS STRING)
-            WHEN line_no % 8 = 3 THEN 'print(x)'
-            WHEN line_no % 8 = 4 THEN 'O ' || line
-            WHEN line_no % 8 = 5 THEN 'a) ' || line
-            WHEN line_no % 8 = 6 THEN ''
-            ELSE line END AS line
-FROM lines0
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY place) - 1 AS line_no, line FROM (
+  SELECT doc_id AS image_id, 2 * line_no + 1 AS place,
+         CASE WHEN doc_id % 5 = 4 THEN line
+              WHEN line_no % 8 = 1 THEN line || ':'
+              WHEN line_no % 8 = 4 THEN 'O ' || line
+              WHEN line_no % 8 = 5 THEN 'a) ' || line
+              ELSE line END AS line
+  FROM lines0
+  UNION ALL
+  SELECT doc_id AS image_id, 2 * line_no AS place,
+         CASE line_no % 8 WHEN 0 THEN 'Pregunta ' || CAST(line_no AS STRING) WHEN 2 THEN 'x = ' || CAST(line_no AS STRING) WHEN 3 THEN 'print(x)' ELSE '' END AS line
+  FROM lines0 WHERE doc_id % 5 <> 4 AND (line_no % 8 IN (2, 3, 6) OR (line_no % 8 = 0 AND doc_id % 3 <> 2)))
 """
 
-#: Whole lines with literals that trigger every repair rule; only literals that must stand alone replace a line.
+#: Whole lines with literals that trigger every repair rule; literals that must stand alone are lines of their own.
 DIRTY_LINES = """
-SELECT doc_id AS image_id, line_no,
+SELECT doc_id AS image_id, 2 * line_no + 1 AS line_no,
        CASE line_no % 25
          WHEN 0 THEN '“' || line || '” — ﬁn ﬂor «a» „b’'
          WHEN 1 THEN 'str(¡+1) (¡) x=¡+1 ¡hola ' || line
@@ -67,16 +68,15 @@ SELECT doc_id AS image_id, line_no,
          WHEN 13 THEN 'diferencía funcíón operacíón condícíón varíable ' || line
          WHEN 14 THEN '1l0 y 1O0 y 2l3 al ' || line
          WHEN 15 THEN '............ ------------ ____________ ' || line
-         WHEN 16 THEN '||'
-         WHEN 17 THEN 'ab'
-         WHEN 18 THEN '○'
          WHEN 19 THEN 'b. ' || line
          WHEN 20 THEN 'Orden ' || line
-         WHEN 21 THEN 'O rden'
          WHEN 22 THEN '0.' || line
          WHEN 23 THEN '© ' || line
          ELSE line END AS line
 FROM lines0
+UNION ALL
+SELECT doc_id AS image_id, 2 * line_no AS line_no, CASE line_no % 25 WHEN 16 THEN '||' WHEN 17 THEN 'ab' WHEN 18 THEN '○' ELSE 'O rden' END AS line
+FROM lines0 WHERE line_no % 25 IN (16, 17, 18, 21)
 """
 
 #: Six variants in two modes, with shifted confidences and lost words.
