@@ -39,6 +39,8 @@ LENGTH, END_ID, SHARD = 2048, 50256, 8192
 KEY, ROUNDS = 20_240_501, 6
 #: Shards that one task writes at most, where there are more shards than shuffle partitions.
 TASK_SHARDS = 16
+#: How ids are packed while they move.
+PACKED = "zstd"
 #: Ranges whose counts are added up together.
 BLOCK = 1024
 
@@ -117,7 +119,8 @@ def bases(rows: DataFrame) -> DataFrame:
 
 
 def stretches(placed: DataFrame, length: int) -> DataFrame:
-    """seq, at, ids: ``placed`` (place of the first id in the whole stream, n, ids) between multiples of ``length``."""
+    """seq, at, size (bytes), ids (packed): ``placed`` (place of the first id in the whole stream, n, ids) between multiples
+    of ``length``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,33 +131,34 @@ def stretches(placed: DataFrame, length: int) -> DataFrame:
                 # Documents that follow each other are one run; runs begin where a place is not the end of the one before.
                 opens = np.flatnonzero(np.concatenate([[True], place[1:] != (place + n)[:-1]]))
                 offset = np.concatenate([[0], np.cumsum(n)])
-                seq, at, ids = [], [], []
+                seq, at, size, ids = [], [], [], []
                 for lo, first, last in zip(place[opens].tolist(), offset[opens].tolist(), offset[[*opens[1:], len(n)]].tolist(), strict=True):
                     hi = lo + last - first
                     for k in range(lo // length, -(-hi // length)):
                         a, b = max(lo, k * length), min(hi, (k + 1) * length)
                         seq.append(k)
                         at.append(a - k * length)
-                        ids.append(data[2 * (first + a - lo) : 2 * (first + b - lo)])
-                yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], ["seq", "at", "ids"])
+                        size.append(2 * (b - a))
+                        ids.append(pa.compress(data[2 * (first + a - lo) : 2 * (first + b - lo)], codec=PACKED, asbytes=True))
+                yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())], ["seq", "at", "size", "ids"])
 
-    return placed.select("place", "n", "ids").mapInArrow(run, "seq bigint, at int, ids binary")
+    return placed.select("place", "n", "ids").mapInArrow(run, "seq bigint, at int, size int, ids binary")
 
 
 def assembled(pieces: DataFrame, length: int) -> DataFrame:
-    """slot, n_tokens, tokens (padded) from stretches (slot, at, ids) that come by slot and place."""
+    """slot, n_tokens, tokens (padded) from stretches (slot, at, size, ids) that come by slot and place."""
     pad = np.full(length, END_ID, "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, held, out = None, [], []
         rows = lambda: pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([len(t) // 2 for _, t in out], pa.int32()), pa.array([t + pad[len(t) :] for _, t in out], pa.binary())], ["slot", "n_tokens", "tokens"])
         for batch in batches:
-            for s, ids in zip(batch.column("slot").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for s, size, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "size", "ids")), strict=True):
                 if s != slot and held:
                     out.append((slot, b"".join(held)))
                     held = []
                 slot = s
-                held.append(ids)
+                held.append(pa.decompress(ids, decompressed_size=size, codec=PACKED, asbytes=True))
             if len(out) >= 256:
                 yield rows()
                 out = []
@@ -163,7 +167,7 @@ def assembled(pieces: DataFrame, length: int) -> DataFrame:
         if out:
             yield rows()
 
-    return pieces.select("slot", "ids").mapInArrow(run, "slot bigint, n_tokens int, tokens binary")
+    return pieces.select("slot", "size", "ids").mapInArrow(run, "slot bigint, n_tokens int, tokens binary")
 
 
 def in_order(docs: DataFrame, key: int, length: int, shard: int) -> tuple[DataFrame, int]:
@@ -184,7 +188,7 @@ def in_order(docs: DataFrame, key: int, length: int, shard: int) -> tuple[DataFr
         return pd.Series(permute(numbers.to_numpy(), total, key))
 
     placed = stored.join(small_side(places), "row").select("place", "n", "ids")
-    pieces = stretches(placed, length).select(slot_of("seq").alias("slot"), "at", "ids")
+    pieces = stretches(placed, length).select(slot_of("seq").alias("slot"), "at", "size", "ids")
     dealt = pieces.repartitionById(tasks, F.floor(F.floor(F.col("slot") / shard) * tasks / shards).cast("int")).sortWithinPartitions("slot", "at")
     where = assembled(dealt, length).select("slot", F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("record"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "n_tokens", "tokens")
     return where, total
