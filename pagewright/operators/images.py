@@ -49,7 +49,9 @@ def grown(x: np.ndarray, new: int) -> np.ndarray:
 
 
 def resized(grays: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Images of one shape (images, height, width) in a new shape."""
+    """Images of one shape (images, height, width), or a single one, in a new shape."""
+    if grays.ndim == 2:
+        return resized(grays[None], height, width)[0]
     x = grays.astype(float)
     for new in (height, width):  # one side, then the other
         x = (reduced if new <= x.shape[1] else grown)(x, new).transpose(0, 2, 1)
