@@ -11,7 +11,7 @@ from pagewright.functions.text import strip
 
 def filter_words(words: DataFrame, min_conf: float = 0.0) -> DataFrame:
     """Stripped words of at least ``min_conf``, without blanks and single noise characters."""
-    return words.withColumn("text", strip(F.col("text"))).where((F.col("text") != "") & (F.col("conf") >= min_conf) & ~F.col("text").isin(V.NOISE_CHARS))
+    return words.withColumn("text", strip(F.col("text"))).where((F.col("conf") >= min_conf) & ~F.col("text").isin("", *V.NOISE_CHARS))
 
 
 def mark_radio(words: DataFrame) -> DataFrame:
