@@ -148,22 +148,23 @@ def score(x: Column) -> Column:
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``pii``: spans (kind, s, e, m, before, after, score) by kind, then start. All columns of ``docs`` stay, but for one of that name."""
     t = text_or_empty(text)
-    digit = t.rlike("[0-9]{2}|[0-9][ .-][0-9]")
-    dashed = t.rlike("[0-9][./-][0-9]")
 
     def length_between(lo: int, hi: int):
         return lambda x: F.length(digits(x["m"])).between(lo, hi)
 
     steps = {
+        # Conditions for most kinds, each tested once a text: all but addresses of mail and numbers after a plus need two digits.
+        "digit": lambda c: t.rlike("[0-9][ .-]?[0-9]"),
+        "dashed": lambda c: c("digit") & t.rlike("[0-9][./-][0-9]"),
         "email": lambda c: find_spans(t, "email", EMAIL, t.contains("@"), context=True),
-        "ip": lambda c: F.filter(find_spans(t, "ip", IP, t.rlike(r"[0-9]\.[0-9]"), context=True), lambda x: x["m"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
-        "card": lambda c: F.filter(find_spans(t, "card", CARD, digit, context=True), lambda x: luhn_ok(x["m"])),
+        "ip": lambda c: F.filter(find_spans(t, "ip", IP, c("dashed"), context=True), lambda x: x["m"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
+        "card": lambda c: F.filter(find_spans(t, "card", CARD, c("digit"), context=True), lambda x: luhn_ok(x["m"])),
         "phone": lambda c: F.filter(find_spans(t, "phone", PHONE, t.contains("+"), context=True), length_between(9, 15)),
-        "iban_head": lambda c: find_spans(t, "iban", IBAN, digit, ahead=True, context=True),
+        "iban_head": lambda c: find_spans(t, "iban", IBAN, c("digit"), ahead=True, context=True),
         "iban": lambda c: account_numbers(c("iban_head")),
-        "local_phone": lambda c: F.filter(find_spans(t, "local_phone", LOCAL_PHONE, digit, context=True), length_between(7, 12)),
-        "national_id": lambda c: F.filter(find_spans(t, "national_id", NATIONAL_ID, dashed, context=True), lambda x: x["m"].rlike(NATIONAL_ID_OK)),
-        "birth": lambda c: F.filter(find_spans(t, "birth", BIRTH, dashed, context=True), lambda x: x["m"].rlike(BIRTH_OK)),
+        "local_phone": lambda c: F.filter(find_spans(t, "local_phone", LOCAL_PHONE, c("digit"), context=True), length_between(7, 12)),
+        "national_id": lambda c: F.filter(find_spans(t, "national_id", NATIONAL_ID, c("dashed"), context=True), lambda x: x["m"].rlike(NATIONAL_ID_OK)),
+        "birth": lambda c: F.filter(find_spans(t, "birth", BIRTH, c("dashed"), context=True), lambda x: x["m"].rlike(BIRTH_OK)),
         "all": lambda c: F.concat(*[c(k) for k in KINDS]).cast(SPANS),
         "scored": lambda c: F.transform(c("all"), lambda x: F.struct(x["kind"], x["s"], x["e"], x["m"], x["before"], x["after"], score(x).alias("score"))),
         "kept": lambda c: F.filter(c("scored"), lambda x: x["kind"].isin(BASE_KINDS) | (x["score"] >= MIN_SCORE)),
