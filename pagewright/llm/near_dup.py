@@ -10,9 +10,10 @@ Work and data movement:
 * signatures need no shuffle; bands move as (key, node) pairs, and only keys with two nodes or more go on;
 * in each bucket every node is compared with the bucket's lowest node only. In buckets that still hold several
   classes, nodes are dropped whose shingles are their own by more than a similarity of 0.8 allows (exact, from
-  counts of shingles), the rest is compared with the bucket's most typical node, and those pairs of *different*
-  classes are compared too that what they share with it and with others, and their sizes, leave possible. So no link
-  between classes that share a bucket is lost, while the pairs inside a class are never spelled out;
+  counts of shingles), and the rest is compared with the bucket's most typical node. Then a centre is made of that
+  node: linked nodes that are still in different classes differ from it in the same places (``meetings``), so only
+  nodes that meet on such a place are paired, no bucket with itself. So no link between classes that share a bucket is
+  lost, while the pairs inside a class are never spelled out;
 * texts of candidates move once. They meet their pairs by broadcast where their measured bytes allow it; beyond, each
   text goes to as many of ``SLOTS`` places as its partners fall into, so a node met by many is not one task's;
 * every step works on classes found so far: the later ones join whole classes, not nodes.
@@ -43,6 +44,8 @@ BANDS, ROWS = 32, 6
 POINTS_MARGIN = 4.6
 #: Places that the pairs of one node are dealt to, by their other node.
 SLOTS = 256
+#: Longs of a node's parities of differences, and about how many nodes choose the centre of a bucket.
+PARITIES, VOTERS = 4, 32
 #: Bytes of candidates' texts up to which they are broadcast to their pairs.
 TEXT_BYTES = 16 << 20
 U = np.uint64
@@ -166,45 +169,141 @@ def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarr
     return shared.astype(np.int64), shared / np.maximum(sizes - shared, 1)
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b: nodes, and more; a saved table) with text_a and text_b. ``texts`` (node, text) is a saved table."""
+    if is_small(texts, TEXT_BYTES):
+        tasks = max(1, min(4 * pairs.sparkSession.sparkContext.defaultParallelism, rows_of(pairs) // 256))
+        left, right = (F.broadcast(texts.toDF(side, f"text_{side}")) for side in "ab")
+        return pairs.repartition(tasks).join(left, "a").join(right, "b")
+    # A node and a slot in one long: node numbers have at least eight bits to spare.
+    place = lambda node, other: F.col(node) * SLOTS + F.pmod(F.xxhash64(other), F.lit(SLOTS))
+    dealt = pairs.select("*", place("a", "b").alias("place_a"), place("b", "a").alias("place_b"))
+    ends = dealt.select(F.explode(F.array("place_a", "place_b")).alias("place")).distinct()
+    ends = saved(ends.withColumn("node", F.shiftright("place", SLOTS.bit_length() - 1)))
+    held = saved(texts.join(small_side(ends), "node").select("place", "text"), sized=False)
+    left, right = (held.toDF(f"place_{side}", f"text_{side}") for side in "ab")
+    return dealt.join(left, "place_a").join(right, "place_b")
+
+
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ra, rb: nodes and their classes; a saved table) with their shared shingles, and whether they are
-    linked. ``texts`` (node, text) is a saved table."""
+    """``pairs`` (a, b, ra, rb: nodes and their classes; a saved table), and whether they are linked. ``texts`` (node,
+    text) is a saved table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a", 1 << 20):
-                shared, close = overlaps(part.column("text_a"), part.column("text_b"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(shared), pa.array(close >= SIMILARITY)], ["a", "b", "ra", "rb", "shared", "linked"])
+                _, close = overlaps(part.column("text_a"), part.column("text_b"))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(close >= SIMILARITY)], ["a", "b", "ra", "rb", "linked"])
 
-    if is_small(texts, TEXT_BYTES):
-        tasks = max(1, min(4 * pairs.sparkSession.sparkContext.defaultParallelism, rows_of(pairs) // 256))
-        left, right = (F.broadcast(texts.toDF(side, f"text_{side}")) for side in "ab")
-        both = pairs.repartition(tasks).join(left, "a").join(right, "b")
-    else:
-        # A node and a slot in one long: node numbers have at least eight bits to spare.
-        place = lambda node, other: F.col(node) * SLOTS + F.pmod(F.xxhash64(other), F.lit(SLOTS))
-        dealt = pairs.select("*", place("a", "b").alias("place_a"), place("b", "a").alias("place_b"))
-        ends = dealt.select(F.explode(F.array("place_a", "place_b")).alias("place")).distinct()
-        ends = saved(ends.withColumn("node", F.shiftright("place", SLOTS.bit_length() - 1)))
-        held = saved(texts.join(small_side(ends), "node").select("place", "text"), sized=False)
-        left, right = (held.toDF(f"place_{side}", f"text_{side}") for side in "ab")
-        both = dealt.join(left, "place_a").join(right, "place_b")
-    return both.select("a", "b", "ra", "rb", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint, shared bigint, linked boolean")
+    both = with_texts(pairs, texts).select("a", "b", "ra", "rb", "text_a", "text_b")
+    return both.mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint, linked boolean")
+
+
+def each_shingle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, the second of a kind told apart from the first, and their rows."""
+    h, row, count = multisets(*shingles(Texts(texts)))
+    rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return mix(np.repeat(h, count) + rank.astype(U) * GOLD), np.repeat(row, count)
 
 
 def own_shingles(texts: DataFrame) -> DataFrame:
-    """node, own: how many of its shingles (the second of a kind counted apart from the first) no other node has."""
+    """node, own: those of its shingles (the second of a kind told apart from the first) that no other node has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                h, row, count = multisets(*shingles(Texts(part.column("text"))))
-                rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                each = mix(np.repeat(h, count) + rank.astype(U) * GOLD)
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(row, count))), pa.array(each.view(np.int64))], ["node", "shingle"])
+                each, row = each_shingle(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), pa.array(each.view(np.int64))], ["node", "shingle"])
 
     held = texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    return held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return held.where("n = 1").groupBy("node").agg(F.collect_list("shingle").alias("own"))
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Where nodes b differ from the centre of a: the shingles of a, but for those in ``usual``, of which the centre has
+    just those that a has not.
+
+    ``pairs`` (a, b, root: b's class, own: shingles that only b has, usual; a saved table); ``texts`` as in ``measured``.
+    Gives a, node, root, size, d (places, which are shingles of just one of node and centre), places (those that are not
+    the node's own, in one order for all), and bits (parities of these places: two nodes differ in as many places as
+    their bits do, or more).
+    """
+    bits = [f"bits{k}" for k in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_a", 1 << 20):
+                rows = part.num_rows
+                keyed = lambda x, row: mix(x ^ mix(row.astype(U) + U(1)))
+                count = lambda row: np.bincount(row, minlength=rows)
+
+                def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+                    lengths = part.column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)  # noqa: B023
+                    return part.column(name).flatten().to_numpy().view(U), np.repeat(np.arange(rows), lengths)  # noqa: B023
+
+                (there, row_a), (here, row_b), (own, row_own), (usual, row_usual) = each_shingle(part.column("text_a")), each_shingle(part.column("text_b")), lists("own"), lists("usual")
+                key_a, key_usual, key_b = keyed(there, row_a), keyed(usual, row_usual), keyed(here, row_b)
+                left, more = ~np.isin(key_a, key_usual), ~np.isin(key_usual, key_a)
+                there, row_a, key_a = (np.concatenate([x[left], y[more]]) for x, y in ((there, usual), (row_a, row_usual), (key_a, key_usual)))
+                missing, extra = ~np.isin(key_a, key_b), ~np.isin(key_b, key_a)
+                d = count(row_a[missing]) + count(row_b[extra])
+                extra &= ~np.isin(key_b, keyed(own, row_own))
+                # Shingles that the centre has not come first: they are the rarer ones.
+                place, row = np.concatenate([here[extra], there[missing]]), np.concatenate([row_b[extra], row_a[missing]])
+                order = np.lexsort((place, np.arange(len(row)) >= extra.sum(), row))
+                place, row = place[order], row[order]
+                odd = np.zeros((rows, 64 * PARITIES), np.uint8)
+                np.bitwise_xor.at(odd, (row, (mix(place) % U(64 * PARITIES)).astype(np.int64)), 1)
+                parity = np.packbits(odd, axis=1).view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(count(row))]).astype(np.int32)
+                made = [pa.array(count(row_b)), pa.array(d), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.view(np.int64))), *(pa.array(np.ascontiguousarray(x)) for x in parity.T)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "root")), *made], ["a", "node", "root", "size", "d", "places", *bits])
+
+    both = with_texts(pairs, texts).select("a", "b", "root", "own", "usual", "text_a", "text_b")
+    return both.mapInArrow(run, "a bigint, node bigint, root bigint, size bigint, d bigint, places array<bigint>, " + ", ".join(f"{c} bigint" for c in bits))
+
+
+def centred(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``differences`` of ``pairs`` (a, b, root, own; a saved table) from a centre that has what most nodes have: the
+    fewer the places, the fewer the meetings. Some nodes choose it; whatever it is, no link is lost. A saved table."""
+    several = small_side(saved(pairs.groupBy("a").agg(F.count("*").alias("n"))))
+    voters = pairs.join(several, "a").where(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / VOTERS)) == 0)
+    voters = saved(voters.select("a", "b", "root", "own", F.array().cast("array<bigint>").alias("usual")), sized=False)
+    all_votes = small_side(saved(voters.groupBy("a").agg(F.count("*").alias("all"))))
+    votes = differences(voters, texts).select("a", F.explode("places").alias("place")).groupBy("a", "place").agg(F.count("*").alias("votes"))
+    usual = saved(votes.join(all_votes, "a").where("2 * votes > all").groupBy("a").agg(F.collect_list("place").alias("usual")))
+    return saved(differences(saved(pairs.join(small_side(usual), "a", "left"), sized=False), texts), sized=False)
+
+
+def meetings(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``differences`` (a saved table): links (a, b) that are certain, and the pairs (a, b, ra, rb) of different
+    classes that may be linked, but for those that the certain links join.
+
+    Nodes x and y with c places in common are linked if and only if 18 c >= g(x) + g(y), where g is 9 d - size. So each
+    node with g(x) <= -g(y) is linked to the y of the least g, and if any two nodes are linked without a common place,
+    both are linked to that one. Of two others at least one, x, is ``free``: it has g(x) > -least. As g(y) >= least, both
+    need common places: 18 c >= g(x) + least and 18 c > g(y) - least. Of n places of a node (its own ones can't be
+    common) the first common one is among the first n - c + 1.
+    """
+    g = 9 * F.col("d") - F.col("size")
+    least = saved(apart.groupBy("a").agg(F.min(F.struct(g.alias("g"), "node", "root")).alias("least")))
+    apart = apart.withColumn("g", g).join(small_side(least), "a").withColumn("free", F.col("g") + F.col("least.g") > 0)
+    certain = apart.where("not free and root != least.root").select(F.col("least.root").alias("a"), F.col("root").alias("b")).distinct()
+
+    n = F.size("places")
+    some = apart.withColumn("n", n).withColumn("root", F.when(F.col("free"), F.col("root")).otherwise(F.col("least.root")))
+    some = some.withColumn("alone", F.col("d") - n).withColumn("met", n - F.ceil((F.col("g") - F.col("least.g") + 1) / 18) + 1)
+    some = some.withColumn("reach", F.when(F.col("free"), n - F.ceil((F.col("g") + F.col("least.g")) / 18) + 1).otherwise(F.col("met")))
+    kept = ["a", "node", "root", "size", "g", "n", "alone", "free", "met", *[f"bits{k}" for k in range(PARITIES)]]
+    places = saved(some.where("reach > 0").select(*kept, F.posexplode(F.slice("places", 1, F.col("reach").cast("int"))).alias("at", "place")), sized=False)
+    left, right = (places.toDF(*[c if c in ("a", "place") else f"{c}_{side}" for c in places.columns]) for side in "xy")
+    differ = sum((F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(PARITIES)), F.col("alone_x") + F.col("alone_y"))
+    # If this is the first place in common, so many are at most.
+    common = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    able = (9 * differ <= F.col("size_x") + F.col("size_y")) & (F.col("g_x") + F.col("g_y") <= 18 * common)
+    once = ~F.col("free_y") | (F.col("node_x") < F.col("node_y"))
+    both = left.where("free_x").join(right.where("at_y < met_y"), ["a", "place"]).where((F.col("root_x") != F.col("root_y")) & once & able)
+    return certain, both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("root_x").alias("ra"), F.col("root_y").alias("rb")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,7 +378,7 @@ def rest_of(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
     if not rows_of(some):
         return []
     own = saved(own_shingles(texts.join(small_side(some.select("node"), size_of=some), "node", "left_semi")))
-    able = some.join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
+    able = some.join(small_side(own), "node", "left").withColumn("common", F.col("size") - F.coalesce(F.size("own"), F.lit(0))).drop("own").where(F.col("common") >= SIMILARITY * F.col("size"))
     typical = able.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct((F.col("size") - F.col("common")).alias("own"), "node", "root")).alias("t"))
     typical = saved(typical.where("r1 != r2").select("key", F.col("t.node").alias("t"), F.col("t.root").alias("t_root")))
     if not rows_of(typical):
@@ -289,20 +388,14 @@ def rest_of(members: DataFrame, texts: DataFrame) -> list[DataFrame]:
     star = saved(measured(pairs, texts))
     roots = components(linked(star))
 
-    # Shared with the typical node, and at most shared otherwise, for each node of a bucket.
-    met = small_side(star.select(F.col("a").alias("t"), F.col("b").alias("node"), "shared"), size_of=star)
-    known = held.join(met, ["t", "node"], "left").withColumn("shared", F.coalesce("shared", "size")).withColumn("other", F.col("common") - F.col("shared"))
-    some = mixed(placed(known.where("node != t").drop("t", "t_root"), roots, "root"))
+    some = mixed(placed(held.where("node != t").select("key", "t", "node", "root"), roots, "root"))
     if not rows_of(some):
         return [roots]
-    # Sizes that may be close lie in the same band or in neighbouring ones.
-    band = F.floor(F.log("size") / np.log(1.01 / SIMILARITY))
-    left, right = (some.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "common", "shared", "other", "root")], at.alias("band")) for side, at in (("a", F.explode(F.array(band - 1, band, band + 1))), ("b", band)))
-    most = F.least(F.least("common_a", "common_b"), F.least("shared_a", "shared_b") + F.least("other_a", "other_b"))
-    reach = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b")) - 1e-6
-    both = left.join(right, ["key", "band"]).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & reach & close_sizes("size_a", "size_b"))
-    pairs = saved(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb")).distinct())
-    return [roots, components(linked(measured(pairs, texts)))] if rows_of(pairs) else [roots]
+    against = some.select(F.col("t").alias("a"), F.col("node").alias("b"), "root").distinct()
+    against = saved(against.join(small_side(own.toDF("b", "own"), size_of=own), "b", "left"))
+    certain, pairs = meetings(centred(against, texts))
+    pairs = saved(pairs)
+    return [roots, components(certain.union(linked(measured(pairs, texts))) if rows_of(pairs) else certain)]
 
 
 def classified(docs: DataFrame) -> DataFrame:

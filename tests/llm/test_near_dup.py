@@ -9,6 +9,8 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from pagewright.llm import near_dup
+from pagewright.llm.common import rows_of
 from pagewright.llm.near_dup import bag_signatures, components, multisets, near_duplicates, one_of_each, overlaps, shingles
 from pagewright.llm.wordscan import Texts
 
@@ -131,6 +133,23 @@ def test_two_close_texts_in_a_hot_bucket(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
 
 
+def test_a_group_of_near_copies_is_not_paired_with_itself(spark, monkeypatch):
+    """Edited copies of one text share buckets, and most are in classes of their own: few pairs are compared."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(rng.randint(3, 6)):
+            t[rng.randrange(150)] = f"e{rng.randint(0, 300)}"
+        rows.append((i, " ".join(t)))
+    compared = []
+    monkeypatch.setattr(near_dup, "measured", lambda pairs, texts, f=near_dup.measured: (compared.append(rows_of(pairs)), f(pairs, texts))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
+    assert compared[2] < len(rows) < compared[0], compared
+
+
 def test_one_id_with_two_texts(spark):
     """An id that stands for two texts links nothing, and no text is lost."""
     a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
