@@ -39,8 +39,8 @@ LENGTH, END_ID, SHARD = 2048, 50256, 8192
 KEY, ROUNDS = 20_240_501, 6
 #: Shards that one task writes at most, where there are more shards than shuffle partitions.
 TASK_SHARDS = 16
-#: How ids are packed while they move.
-PACKED = "zstd"
+#: How ids are packed where they are encoded and while they move.
+PACKED, PACKED_LEVEL = "zstd", 6
 #: Ranges whose counts are added up together.
 BLOCK = 1024
 
@@ -123,6 +123,7 @@ def stretches(placed: DataFrame, length: int) -> DataFrame:
     of ``length``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = pa.Codec(PACKED, PACKED_LEVEL)
         for batch in batches:
             for part in slices(batch, "ids", 8 << 20):
                 order = np.argsort(part.column("place").to_numpy())
@@ -139,7 +140,7 @@ def stretches(placed: DataFrame, length: int) -> DataFrame:
                         seq.append(k)
                         at.append(a - k * length)
                         size.append(2 * (b - a))
-                        ids.append(pa.compress(data[2 * (first + a - lo) : 2 * (first + b - lo)], codec=PACKED, asbytes=True))
+                        ids.append(packer.compress(data[2 * (first + a - lo) : 2 * (first + b - lo)], asbytes=True))
                 yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())], ["seq", "at", "size", "ids"])
 
     return placed.select("place", "n", "ids").mapInArrow(run, "seq bigint, at int, size int, ids binary")
@@ -174,7 +175,7 @@ def in_order(docs: DataFrame, key: int, length: int, shard: int) -> tuple[DataFr
     """``training_order``, and the number of its records."""
     spark = docs.sparkSession
     with workspace(spark) as keep:
-        stored = saved(encoded(docs).withColumn("row", F.monotonically_increasing_id()), sized=False, codec="zstd")
+        stored = saved(encoded(docs).withColumn("row", F.monotonically_increasing_id()), sized=False, codec=PACKED, level=PACKED_LEVEL)
         rows = ranked(stored)
         base = bases(rows)
         places = saved(rows.join(small_side(base.select("part", "base")), "part").select("row", (F.col("base") + F.col("start")).alias("place")))

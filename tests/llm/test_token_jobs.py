@@ -1,17 +1,21 @@
 """Training order, edit-aware counts and chat rotation against plain Python, SQL and round trips."""
 
 import glob
+import os
 import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright.llm import chat_rotation as cr
 from pagewright.llm import token_store as ts
+from pagewright.llm.common import saved
 from pagewright.llm.edit_counts import LEAF_CHARS, TokenTree, apply_edits, build_trees, edited_counts, split_leaves
 from pagewright.llm.tokens import cuts, encode
 
@@ -57,6 +61,19 @@ def test_training_order_does_not_depend_on_tasks(spark):
     assert sorted(r.n_tokens for r in ts.training_order(docs).collect())[1:] == [ts.LENGTH] * (len(got[0]) - 1)  # only the last is padded
 
 
+def test_ids_are_packed_tightly(spark):
+    """Where they are encoded and while they move: smaller than at the codecs' usual levels."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").coalesce(1)
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    usual = saved(ts.encoded(docs), sized=False, codec="zstd")
+    tight = saved(ts.encoded(docs), sized=False, codec=ts.PACKED, level=ts.PACKED_LEVEL)
+    assert size(tight) < 0.96 * size(usual)
+    placed = tight.withColumn("place", (F.sum("n").over(Window.orderBy("doc_id")) - F.col("n")))
+    moved = ts.stretches(placed, ts.LENGTH).collect()
+    plain = [pa.decompress(r.ids, decompressed_size=r["size"], codec=ts.PACKED, asbytes=True) for r in moved]
+    assert sum(len(r.ids) for r in moved) < 0.97 * sum(len(pa.compress(x, codec="zstd", asbytes=True)) for x in plain)
+
+
 def test_reading_resumes_at_any_slot(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     ts.write_shards(docs, str(tmp_path / "o"), shard=16)
