@@ -14,8 +14,9 @@ Work and data movement:
   node: linked nodes that are still in different classes differ from it in the same places (``meetings``), so only
   nodes that meet on such a place are paired, no bucket with itself. So no link between classes that share a bucket is
   lost, while the pairs inside a class are never spelled out;
-* texts of candidates move once. They meet their pairs by broadcast where their measured bytes allow it; beyond, each
-  text goes to as many of ``SLOTS`` places as its partners fall into, so a node met by many is not one task's;
+* texts of candidates move once. They meet their pairs by broadcast where their measured bytes allow it; beyond, a pair
+  is dealt to a place of its node with more partners, to which that node's text goes once and the other's with the
+  pair; a node met by many has up to ``SLOTS`` places, so it is not one task's;
 * every step works on classes found so far: the later ones join whole classes, not nodes.
 
 Signatures miss a pair of exactly 0.8 with chance (1 - 0.8**ROWS)**BANDS, about 6e-5, and closer pairs less.
@@ -42,8 +43,8 @@ from pagewright.llm.wordscan import Texts, grams, inside, mix, row_index, slices
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 POINTS_MARGIN = 4.6
-#: Places that the pairs of one node are dealt to, by their other node.
-SLOTS = 256
+#: Most places that the pairs of one node are dealt to, by their other node, and about how many pairs a place is for.
+SLOTS, PARTNERS = 256, 16
 #: Longs of a node's parities of differences, and about how many nodes choose the centre of a bucket.
 PARITIES, VOTERS = 4, 32
 #: Bytes of candidates' texts up to which they are broadcast to their pairs.
@@ -175,14 +176,27 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         tasks = max(1, min(4 * pairs.sparkSession.sparkContext.defaultParallelism, rows_of(pairs) // 256))
         left, right = (F.broadcast(texts.toDF(side, f"text_{side}")) for side in "ab")
         return pairs.repartition(tasks).join(left, "a").join(right, "b")
-    # A node and a slot in one long: node numbers have at least eight bits to spare.
-    place = lambda node, other: F.col(node) * SLOTS + F.pmod(F.xxhash64(other), F.lit(SLOTS))
-    dealt = pairs.select("*", place("a", "b").alias("place_a"), place("b", "a").alias("place_b"))
-    ends = dealt.select(F.explode(F.array("place_a", "place_b")).alias("place")).distinct()
-    ends = saved(ends.withColumn("node", F.shiftright("place", SLOTS.bit_length() - 1)))
-    held = saved(texts.join(small_side(ends), "node").select("place", "text"), sized=False)
-    left, right = (held.toDF(f"place_{side}", f"text_{side}") for side in "ab")
-    return dealt.join(left, "place_a").join(right, "place_b")
+    many = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    many = saved(many.where(F.col("n") > PARTNERS))
+    dealt, turned, slots = pairs, F.lit(False), F.lit(1)
+    if rows_of(many):
+        for side in "ab":
+            dealt = dealt.join(small_side(many.toDF(side, f"n_{side}"), size_of=many), side, "left")
+        n_a, n_b = (F.coalesce(f"n_{side}", F.lit(0)) for side in "ab")
+        turned, slots = n_b > n_a, F.least(F.lit(SLOTS), F.ceil(F.greatest(n_a, n_b, F.lit(1)) / PARTNERS))
+    hub, other = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    dealt = dealt.select(*pairs.columns, turned.alias("turned"), hub.alias("hub"), other.alias("other"), F.pmod(F.xxhash64(other), slots).alias("slot"))
+    places = saved(dealt.select(F.col("hub").alias("node"), "slot").distinct(), 2 * rows_of(pairs))
+    at_hub = texts.join(small_side(places), "node").select(F.col("node").alias("hub"), "slot", F.col("text").alias("text_hub"))
+    others = texts.toDF("other", "text_other")
+    if is_small(pairs):
+        others = others.join(F.broadcast(dealt), "other")
+    else:
+        needed = saved(dealt.select("other").distinct(), rows_of(pairs))
+        others = others.join(small_side(needed), "other", "left_semi").join(dealt, "other")
+    both = others.join(at_hub, ["hub", "slot"])
+    text_a, text_b = (F.when(F.col("turned") == flag, F.col("text_other")).otherwise(F.col("text_hub")) for flag in (True, False))
+    return both.select(*pairs.columns, text_a.alias("text_a"), text_b.alias("text_b"))
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -268,11 +282,11 @@ def centred(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     fewer the places, the fewer the meetings. Some nodes choose it; whatever it is, no link is lost. A saved table."""
     several = small_side(saved(pairs.groupBy("a").agg(F.count("*").alias("n"))))
     voters = pairs.join(several, "a").where(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / VOTERS)) == 0)
-    voters = saved(voters.select("a", "b", "root", "own", F.array().cast("array<bigint>").alias("usual")), sized=False)
+    voters = saved(voters.select("a", "b", "root", "own", F.array().cast("array<bigint>").alias("usual")))
     all_votes = small_side(saved(voters.groupBy("a").agg(F.count("*").alias("all"))))
     votes = differences(voters, texts).select("a", F.explode("places").alias("place")).groupBy("a", "place").agg(F.count("*").alias("votes"))
     usual = saved(votes.join(all_votes, "a").where("2 * votes > all").groupBy("a").agg(F.collect_list("place").alias("usual")))
-    return saved(differences(saved(pairs.join(small_side(usual), "a", "left"), sized=False), texts), sized=False)
+    return saved(differences(saved(pairs.join(small_side(usual), "a", "left")), texts), sized=False)
 
 
 def meetings(apart: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.llm import near_dup
-from pagewright.llm.common import rows_of
+from pagewright.llm.common import rows_of, saved
 from pagewright.llm.near_dup import bag_signatures, components, multisets, near_duplicates, one_of_each, overlaps, shingles
 from pagewright.llm.wordscan import Texts
 
@@ -183,6 +183,26 @@ def test_texts_that_are_not_broadcast(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
 
 
+def test_each_text_moves_with_its_pair_only(spark, monkeypatch):
+    """Beyond a broadcast a node's text goes once to all its pairs, a hub's to a few places, and every pair gets its own
+    two texts, whichever of its ends is the hub and whether or not the pairs are broadcast."""
+    monkeypatch.setattr(near_dup, "TEXT_BYTES", 0)
+    ends = [(i, i + 1) for i in range(100, 400, 2)] + [(500, 600 + i) for i in range(90)] + [(700 + i, 501) for i in range(90)] + [(500, 501)]
+    nodes = sorted({n for e in ends for n in e})
+    texts = saved(spark.createDataFrame([(n, f"text {n}") for n in nodes], "node long, text string"))
+    for sized in (True, False):
+        pairs = saved(spark.createDataFrame([(a, b, [a]) for a, b in ends], "a long, b long, own array<long>"), sized=sized)
+        tables = []
+        monkeypatch.setattr(near_dup, "saved", lambda df, *rest, f=saved, **more: (tables.append(f(df, *rest, **more)), tables[-1])[1])
+        both = near_dup.with_texts(pairs, texts)
+        monkeypatch.setattr(near_dup, "saved", saved)
+        assert sorted((r.a, r.b, r.own, r.text_a, r.text_b) for r in both.collect()) == [(a, b, [a], f"text {a}", f"text {b}") for a, b in sorted(ends)]
+        # No table of texts is written, and texts go to fewer places than pairs have ends.
+        assert not any("text" in t.columns for t in tables)
+        places = next(t for t in tables if t.columns == ["node", "slot"])
+        assert 150 + 2 < rows_of(places) <= 150 + 2 * -(-91 // near_dup.PARTNERS)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 200), (7, 7)]
     got = {}
