@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import saved, small_side, text_or_empty, workspace
+from pagewright.llm.common import rows_of, saved, small_side, text_or_empty, workspace
 from pagewright.llm.wordscan import Texts, grams, inside, mix, row_index, slices, span_ids
 
 WINDOW, GRAM = 35, 8
@@ -214,11 +214,12 @@ def sort_buckets(packed: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """did, rid, lo, hi: ranges of words that repeated windows cover."""
     runs = find_super_kmers(docs)  # found twice: that costs less than keeping every run on disk
-    often = saved(runs.groupBy("mini").agg(F.sum("weight").alias("c")).where("c > 1"))
+    often = runs.groupBy("mini").agg(F.sum("weight").alias("c")).where("c > 1")
     shared = saved(runs.join(often, "mini").select("did", "rid", F.struct("mini", "start", "n", F.ceil(F.col("c") / BUCKET_ROWS).cast("int").alias("buckets")).alias("run")))
-    touched = small_side(saved(shared.select("did", "rid").distinct()))
-    texts = saved(keyed(docs).select("did", "rid", "text").join(touched, ["did", "rid"], "left_semi").dropDuplicates(["did", "rid"]))
+    touched = small_side(saved(shared.select("did", "rid").distinct(), rows=rows_of(shared)))
+    texts = keyed(docs).select("did", "rid", "text").join(touched, ["did", "rid"], "left_semi").dropDuplicates(["did", "rid"])
     by_doc = shared.groupBy("did", "rid").agg(F.collect_set("run").alias("runs"))  # rows alike bring the same runs
+    # Texts lie by document once they are told apart, so they meet their runs without being written or moved again.
     hits = saved(sort_buckets(cut_out(texts.join(by_doc, ["did", "rid"]).select("did", "rid", "text", "runs"))))
     split = hits.where(f"kind != {RANGE}")
     across = split.groupBy("mini", "d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("mini", "d1", "d2")

@@ -85,6 +85,15 @@ def test_words_that_share_a_hash(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_texts_are_not_written_between_steps(spark, monkeypatch):
+    """Steps write narrow rows only, and each table once: every file costs its executor further processes."""
+    tables = []
+    monkeypatch.setattr(sd, "saved", lambda df, save=sd.saved, **how: tables.append(df.columns) or save(df, **how))
+    rows = made(5)
+    assert run(spark, rows) == brute(rows)
+    assert tables == [["did", "rid", "run"], ["did", "rid"], sd.FOUND_NAMES, ["did", "rid", "ranges"]]
+
+
 @pytest.mark.parametrize("n", [1, 3, 28])
 def test_sliding_min(n):
     x = np.random.default_rng(n).integers(0, 1000, 200).astype(np.uint64)
