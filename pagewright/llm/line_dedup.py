@@ -90,8 +90,9 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_doc
     own = free_name(docs)
     with workspace(docs.sparkSession) as keep:
         lines = saved(long_lines(docs, least_chars), sized=False)
-        shared = saved(shared_keys(lines, least_docs))
-        lost = saved(lost_lines(lines, shared).groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("gone")))
+        most = rows_of(lines)  # neither keys nor documents are more than lines, so few lines make few files
+        shared = saved(shared_keys(lines, least_docs), rows=most)
+        lost = saved(lost_lines(lines, shared).groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("gone")), rows=most)
         keep.append(lost)
     t1, t2 = two_hashes(text_or_empty())
     rows = docs.withColumns({f"{own}t1": t1, f"{own}t2": t2})

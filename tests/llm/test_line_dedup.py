@@ -60,6 +60,29 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_few_lines_make_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, the keys and positions of few lines are one file each."""
+    files = []
+
+    def save(df, write=ld.saved, **how):
+        out = write(df, **how)
+        files.append((out.columns[0], len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(ld, "saved", save)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = made(4)
+        assert run(spark, rows) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files[1:] == [("k1", 1), ("id", 1)]
+
+
 def test_rows_with_one_id_and_without_any(spark):
     line, other = "a line that is long enough to be judged here", "another line that is long enough to be judged"
     # Five rows of one id are one document; with four further ids the line is shared, and the largest keeps it.
