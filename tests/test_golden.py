@@ -142,6 +142,15 @@ def test_word_rows_good_and_bad(spark, tmp_path):
     assert io.read_ocr_words(spark, str(tmp_path)).count() == 3
 
 
+def test_odd_words_come_back_from_files(spark, tmp_path):
+    texts = ["a ", " a", " ", "\\N", '"', '""', '"a', "a\\", "#", "\u2028", "\ufeff", "", "\x0b", "\x85", "\xa0x\xa0", "a"]
+    words = spark.createDataFrame([(7, 0, 3, "spa", 1, 1, i, t, 50.0, 1, 1, 1, 1, 0, 1, 0, i) for i, t in enumerate(texts)], io.WORD_SCHEMA)
+    io.write_ocr_words(words, str(tmp_path / "w"))
+    good, lost = io.split_ocr_words(spark, str(tmp_path / "w"))
+    assert [r.text for r in good.orderBy("ord").collect()] == texts and lost.count() == 0
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
+
+
 def test_names_and_files(spark, tmp_path):
     """Equal stems get their pages' ids; files written again leave no doubles; a failed job takes its files back."""
     df = spark.createDataFrame([(1, "/a/x.png"), (2, "/b/x.jpg"), (3, "/b/y.v2.png"), (9, "/c/x.png")], "image_id long, path string")
