@@ -203,3 +203,22 @@ def test_derived_lines_hold_all_lines(spark):
                 while given not in x or (re.match(alone, x) and x != given):
                     assert re.match(alone, x)
                     x = next(lines)
+
+
+def test_words_are_derived_where_their_documents_lie(spark):
+    """As the windows of the SQL give them, in lines of any length; only documents move."""
+    texts = ["", " ", "a", "a  b \n\n c", " ".join(f"w{i % 13 * 'x'}é" for i in range(2500)), "\n".join(" ".join("ab" * (i % 5) for i in range(n)) for n in (31, 32, 33, 64, 65, 1023, 1024, 1025)), None]
+    documents = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    plain = "SELECT doc_id, line_no, CAST(word_no AS BIGINT) AS word_no, word FROM lines0 LATERAL VIEW posexplode(split(line, ' ')) b AS word_no, word"
+    windows = [f"{w} AS {c}" for w, c in fixtures.IN_PLACE.items()]
+    want = spark.sql(f"WITH lines0 AS ({fixtures.SPARK_LINES}), tokens AS ({plain}) SELECT *, {', '.join(windows)} FROM tokens", documents=documents)
+    key = lambda r: (r.doc_id, r.line_no, r.word_no, r.word, r.n_lines, r.at)
+    got = sorted(map(key, fixtures.tokens(documents).collect()))
+    assert got == sorted(map(key, want.collect())) and len(got) > 5000
+    assert moved(fixtures.tokens(documents)) == []
+
+
+@pytest.mark.parametrize("name", ["c2_score_candidates", "c3_select_best", "s2_read_ocr_words", "l1_build_lines", "l6_reading_order"])
+def test_only_documents_move_to_queries_of_words(spark, name):
+    df = QUERIES[name](spark, DATA)
+    assert exchanges(df) <= 1 and all("FileScan parquet" in x and "doc_id" in x for x in moved(df) if "OneRow" not in x)
