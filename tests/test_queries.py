@@ -222,3 +222,7 @@ def test_words_are_derived_where_their_documents_lie(spark):
 def test_only_documents_move_to_queries_of_words(spark, name):
     df = QUERIES[name](spark, DATA)
     assert exchanges(df) <= 1 and all("FileScan parquet" in x and "doc_id" in x for x in moved(df) if "OneRow" not in x)
+
+
+def test_scores_are_derived_once_for_pending_tasks(spark):
+    assert "posexplode(split(piece" not in plan_of(QUERIES["c4_pending_tasks"](spark, DATA))
