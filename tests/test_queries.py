@@ -11,9 +11,11 @@ import pytest
 from pagewright import fixtures
 from pagewright.operators import candidates, exam, layout
 from pagewright.operators.words import filter_words, mark_radio
+from pagewright.plans import workflows
 from pagewright.plans.workflows import lay_out, recognised_documents
 from pagewright.queries import ORACLES, QUERIES
 from pagewright.sources import io
+from pagewright import tables
 from pagewright.tables import bucketed
 from pyspark.sql import functions as F
 
@@ -226,3 +228,21 @@ def test_only_documents_move_to_queries_of_words(spark, name):
 
 def test_scores_are_derived_once_for_pending_tasks(spark):
     assert "posexplode(split(piece" not in plan_of(QUERIES["c4_pending_tasks"](spark, DATA))
+
+
+def test_no_page_is_laid_out_for_the_account(spark, monkeypatch):
+    """Nor are words sorted or dealt, whatever does not fit into a broadcast."""
+    monkeypatch.setattr(candidates, "is_small", lambda df: False)
+    monkeypatch.setattr(workflows, "is_small", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = [p for p in tables._loose if "bucketed_" in p]
+    try:
+        for name in ("a1_page_account", "a2_page_rejects"):
+            QUERIES[name](spark, DATA).count()
+        assert [p for p in tables._loose if "bucketed_" in p] == before
+        words = fixtures.candidate_words(spark, DATA)
+        ids = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("image_id"))
+        plan = plan_of(workflows.words_above(ids.withColumn("suggested_confidence", F.lit(8.0)))(words))
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan and exchanges(words) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
