@@ -246,3 +246,15 @@ def test_no_page_is_laid_out_for_the_account(spark, monkeypatch):
         assert "ShuffledHashJoin" in plan and "Sort " not in plan and exchanges(words) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_without_words(spark):
+    """Documents and paragraphs are the same; what is written holds no word twice and no line twice."""
+    words = fixtures.ocr_words(spark, DATA)
+    a, b = (lay_out(words, 8.0, post_process=False, dealt=True, keep_words=k) for k in (True, False))
+    assert "words" in a.placed.columns and "words" not in b.placed.columns and b.lines.columns == [c for c in a.lines.columns if c != "words"]
+    assert sorted(map(tuple, a.docs.collect())) == sorted(map(tuple, b.docs.collect()))
+    assert "formatted" not in spark.read.parquet(a.placed.inputFiles()[0]).columns
+    for name in ("s3_txt_content", "s7_export_paragraphs", "l8_format_text"):
+        scans = re.findall(r"ReadSchema: (.*)", QUERIES[name](spark, DATA)._jdf.queryExecution().toString())
+        assert scans and not any(re.search(r"\bwords\b", x) for x in scans)
