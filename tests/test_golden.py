@@ -166,6 +166,17 @@ def test_names_and_files(spark, tmp_path):
     assert not (tmp_path / "g").exists() or not [p for p in (tmp_path / "g").iterdir()]
 
 
+def test_a_task_without_rows_leaves_no_folder(tmp_path):
+    def failing():
+        raise ValueError("no")
+        yield
+
+    writer = files.NamedFilesWriter(str(tmp_path / "f"))
+    with pytest.raises(ValueError, match="no"):
+        writer.write(failing())
+    assert writer.write(iter([])).files == 0 and not (tmp_path / "f").exists()
+
+
 def test_one_decimal(spark):
     values = [k / 20 for k in range(0, 2001)] + [k / 140 for k in range(0, 14001, 7)] + [0.25, 0.35, 0.15, 53.25, 1e-9, 99.95]
     df = spark.createDataFrame([(v,) for v in values], "x double")
